@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm.common import Scratch
+from tabulon.llm.common import Scratch, table
+from tabulon.llm.language_model import keep_good
 from tabulon.llm.mixing import mix_documents
 from tabulon.llm.packing import pack_documents
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(spark, docs, table(spark, sf_dir, "labels"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_documents(spark, docs)
 
@@ -20,6 +25,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", good),
     ("mix", mixed),
     ("pack", packed),
 ]

@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op1_html_text
+from .language_model import op4_kneser_ney_quality
 from .mixing import op9_source_mixing
 from .packing import op6_best_fit_packing
 from .token_files import op8_token_files
+from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_best_fit_packing, op8_token_files, op9_source_mixing)
+    f.__name__: f for f in (
+        op1_html_text, op4_kneser_ney_quality, op6_best_fit_packing, op8_token_files, op9_source_mixing, op10_toxicity,
+    )
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
