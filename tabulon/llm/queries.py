@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_join import ORACLE as OP3_SQL
+from .embedding_join import op3_embedding_near_dedup
 from .html_text import op1_html_text
 from .language_model import op4_kneser_ney_quality
 from .mixing import op9_source_mixing
@@ -15,9 +17,9 @@ from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_html_text, op4_kneser_ney_quality, op6_best_fit_packing, op8_token_files, op9_source_mixing, op10_toxicity,
+        op1_html_text, op3_embedding_near_dedup, op4_kneser_ney_quality, op6_best_fit_packing, op8_token_files, op9_source_mixing, op10_toxicity,
     )
 }
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_embedding_near_dedup": OP3_SQL}

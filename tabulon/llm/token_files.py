@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import io
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,9 @@ FRAME_IDS = 1 << 22
 #: Compressed bytes of one file, about.
 FILE_BYTES = 32 << 20
 #: Distinct words whose ids a worker remembers; it starts anew beyond.
-WORDS = 400_000
+WORDS = 600_000
+#: Words that are encoded as one text, and what stands between them.
+JOINED, DIVIDER = 500, "\x01"
 
 
 class WordIds:
@@ -43,8 +46,19 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # between words stands a control character that is one id of its own, if the tokenizer has such a one
+        ids = self.tokenizer.encode(f"a {DIVIDER} a", add_special_tokens=False).ids
+        self.divider = ids[1] if len(ids) == 3 and ids[0] == ids[2] else None
         self.clear()
 
+    @staticmethod
+    def of_worker(path: str) -> WordIds:
+        """The worker's own, kept from task to task; what it remembers changes no result."""
+        found = sys.__dict__.setdefault("_tabulon_word_ids", {})
+        if path not in found:
+            found[path] = WordIds(path)
+        return found[path]
+
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -53,10 +67,8 @@ class WordIds:
         self.used = 0
 
     def learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.uint32, int(sizes.sum()))
+        parts = [self._ids([w.decode() for w in words[i : i + 50 * JOINED]]) for i in range(0, len(words), 50 * JOINED)]
+        flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         first = len(self.index) - len(words)
         while len(self.at) < len(self.index):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
@@ -67,6 +79,18 @@ class WordIds:
         self.at[first : len(self.index)] = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has."""
+        joined = [f" {DIVIDER} ".join(texts[i : i + JOINED]) + f" {DIVIDER}" for i in range(0, len(texts), JOINED)]
+        if self.divider is None or sum(x.count(DIVIDER) for x in joined) != len(texts):
+            # a word holds the divider: each word of the batch goes alone
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for one in ids for i in one], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(flat == self.divider)
+        assert len(ends) == len(texts)
+        return flat[flat != self.divider], np.diff(ends, prepend=-1) - 1
+
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's documents, and the number of each document's."""
         if len(self.index) > WORDS:
@@ -111,7 +135,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words = WordIds(tokenizer)
+        words = WordIds.of_worker(tokenizer)
         for block in blocks(batches, 2 << 20):
             ids, counts = words.encode(block)
             rows, at = [], 0
