@@ -9,13 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from tabulon.llm.common import Scratch, table
 from tabulon.llm.language_model import keep_good
 from tabulon.llm.mixing import mix_documents
+from tabulon.llm.ngram_join import one_of_each
 from tabulon.llm.packing import pack_documents
+from tabulon.llm.substring_dedup import without_repeats
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(spark, docs, table(spark, sf_dir, "labels"))
 
 
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(spark, docs)
+
+
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_repeats(spark, docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_documents(spark, docs)
 
@@ -26,8 +36,10 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", good),
-    ("mix", mixed),
-    ("pack", packed),
+    ("n-gram Jaccard join", unique),
+    ("suffix-array dedup", unrepeated),
+    ("mixing sources to target weights", mixed),
+    ("best-fit packing", packed),
 ]
 
 #: No SQL expresses the language model or the hash-driven rounding.

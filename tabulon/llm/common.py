@@ -117,8 +117,8 @@ def text_block(ids: pa.Array, text: pa.Array) -> Block:
     return Block(ids_of(ids), raw[off[0] : off[-1]], off - off[0], nulls)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[Block]:
-    """Blocks of about ``most`` bytes of text; one document is never divided.
+def blocks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, rows: int = 1 << 30) -> Iterator[Block]:
+    """Blocks of about ``most`` bytes of text and ``rows`` documents at most; one document is never divided.
 
     The batches hold ``doc_id`` and ``text``.
     """
@@ -129,7 +129,7 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[B
         lo = 0
         while lo < len(whole):
             hi = int(np.searchsorted(whole.offsets, whole.offsets[lo] + most, side="right")) - 1
-            hi = max(hi, lo + 1)
+            hi = min(max(hi, lo + 1), lo + rows, len(whole))
             a, b = whole.offsets[lo], whole.offsets[hi]
             yield Block(whole.ids[lo:hi], whole.data[a:b], whole.offsets[lo : hi + 1] - a, whole.nulls[lo:hi])
             lo = hi

@@ -206,12 +206,11 @@ def steadied(perplexity: Column, size: Column, mean: float) -> Column:
 def thresholds(own: DataFrame, langs: DataFrame, mean: float, quantile: float, slack: float) -> DataFrame:
     """(lang, threshold): one row per language of ``langs``, from trusted ``own`` (lang, perplexity, size)."""
     q = F.percentile_approx(steadied(F.col("perplexity"), F.col("size"), mean), quantile, 100_000)
-    pooled = own.agg(q.alias("pooled"))
+    pooled = own.agg(q).first()[0]
     per = own.groupBy("lang").agg(q.alias("own"), F.count("*").alias("n"))
-    # both sides of these joins have one row per language, or one row
+    # both sides have one row per language
     langs = langs.join(per.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
-    langs = langs.withColumn("one", F.lit(1)).join(pooled.withColumn("one", F.lit(1)), "one")
-    limit = F.when(F.col("n") >= LEAST, F.col("own")).otherwise(F.col("pooled"))
+    limit = F.when(F.col("n") >= LEAST, F.col("own")).otherwise(F.lit(pooled).cast("double"))
     return langs.select("lang", (limit * slack).alias("threshold"))
 
 
