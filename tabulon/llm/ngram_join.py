@@ -3,7 +3,7 @@
 Sets of shingles with 100 |A and B| >= 85 |A or B| share a shingle among the
 first |A| - ceil(0.85 |A|) + 1 of each, in any one order of all shingles.  The
 order is by a frequency class, rare first, then by hash.  The classes come
-from a table of 2**18 counters of all shingles: bounded, and without influence
+from a table of 2**20 counters of all shingles: bounded, and without influence
 on the result.
 
 Equal sets are one unit.  Units with the same prefix and size form a group;
@@ -20,6 +20,7 @@ that is not yet in one component, so no link between components is missed.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, Block, Scratch, blocks, components, id_text, mix64, table
 
 #: Counters of the frequency classes, and slices in which tasks send them.
-COUNTERS, SLICES = 1 << 18, 64
+COUNTERS, SLICES = 1 << 20, 64
 #: Units of one group at most, about; further ones form groups of their own.
 GROUP = 500
 #: Bins of a unit's histogram.
@@ -117,7 +118,7 @@ def _sum_slices(parts: DataFrame, kind: str, combine) -> np.ndarray:
         out = None
         for frame in frames:
             for raw in frame["data"]:
-                x = np.frombuffer(raw, kind)
+                x = np.frombuffer(zlib.decompress(raw), kind)
                 out = x.copy() if out is None else combine(out, x)
         yield pd.DataFrame({"slice": [key[0]], "data": [out.tobytes()]})
 
@@ -126,20 +127,26 @@ def _sum_slices(parts: DataFrame, kind: str, combine) -> np.ndarray:
 
 
 def frequency_classes(docs: DataFrame, words: int) -> np.ndarray:
-    """For each counter, how many times the mean it holds, as a power of two."""
+    """For each counter, by how much it exceeds what rare shingles put there, as a power of two.
+
+    Rare shingles fill all counters alike, but for the noise of their number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for _, _, h in read(batches, words):
-            total += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            at = (h & np.uint64(COUNTERS - 1)).astype(np.int64)
+            np.add.at(total, at, 1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], names=["slice", "data"]
+            [pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(total, SLICES)], pa.binary())],
+            names=["slice", "data"],
         )
 
     counts = _sum_slices(docs.mapInArrow(run, "slice int, data binary"), "<i8", np.add)
     if not len(counts) or not counts.sum():
         return np.zeros(COUNTERS, np.uint8)
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / counts.mean())), 0, 30).astype(np.uint8)
+    usual = np.median(counts)
+    return np.clip(np.floor(np.log2(np.maximum(counts - usual, 1) / (5 * np.sqrt(usual) + 3))) + 1, 0, 60).astype(np.uint8)
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -147,7 +154,7 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, classes: np.ndarray, percent: int, words: int) -> DataFrame:
-    """(doc_id, n, f1, f2, g1, g2, prefix): size, hashes of the set and of its prefix, and the prefix in order."""
+    """(doc_id, n, f1, f2, g1, g2, prefix, histogram): size, hashes of the set and of its prefix, the prefix in order, counts in bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, cut, h in read(batches, words):
@@ -164,12 +171,18 @@ def profiles(docs: DataFrame, classes: np.ndarray, percent: int, words: int) ->
             raw = chosen.astype("<u8").tobytes()
             pieces = [raw[8 * a : 8 * b] for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
             ids = pa.array(block.ids, pa.int64(), mask=block.ids == NULL_ID)
+            bins = np.bincount(doc * BINS + (h >> np.uint64(20)).astype(np.int64) % BINS, minlength=len(block) * BINS).reshape(-1, BINS)
+            # a count too large for two bytes stands for any: the bound is then that much weaker
+            bins = np.minimum(bins, 0xFFFF).astype("<u2")
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in (*sums, *pre)), pa.array(pieces, pa.binary())],
-                names=["doc_id", "n", "f1", "f2", "g1", "g2", "prefix"],
-            )
+                [
+                    ids, pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in (*sums, *pre)), pa.array(pieces, pa.binary()),
+                    pa.array([x.tobytes() for x in bins], pa.binary()),
+                ],
+                names=["doc_id", "n", "f1", "f2", "g1", "g2", "prefix", "histogram"],
+            )
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, g1 long, g2 long, prefix binary")
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, g1 long, g2 long, prefix binary, histogram binary")
 
 
 def _sums(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -256,13 +269,21 @@ def paired(centers: int, percent: int, blocks_: int):
     return pairs_of
 
 
-def meet(pairs: DataFrame, units: DataFrame, compare, schema: str) -> DataFrame:
-    """Brings the units of both groups of each pair together and compares them.
+def unique(pairs: DataFrame) -> DataFrame:
+    """Each pair of a block pair once."""
 
-    A group goes to a block pair once, however many partners it has there.
-    """
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        both = _unique_pairs(frame["pairs"].tolist())
+        raws = [both[k : k + (1 << 22)].T.astype("<i8").tobytes() for k in range(0, len(both), 1 << 22)]
+        return pd.DataFrame({"bx": frame["bx"].iloc[0], "by": frame["by"].iloc[0], "pairs": raws})
+
+    return pairs.groupBy("bx", "by").applyInPandas(run, PAIRS)
+
+
+def leaders_in(pairs: DataFrame) -> DataFrame:
+    """(bx, by, leader) of the groups in each row of pairs."""
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bx, by, raw in zip(*(batch.column(c).to_pylist() for c in ("bx", "by", "pairs")), strict=True):
                 leaders = np.unique(np.frombuffer(raw, "<i8"))
@@ -271,7 +292,20 @@ def meet(pairs: DataFrame, units: DataFrame, compare, schema: str) -> DataFrame:
                     [pa.array(np.full(k, bx)), pa.array(np.full(k, by)), pa.array(leaders)], names=["bx", "by", "leader"]
                 )
 
-    sent = pairs.mapInArrow(wanted, "bx long, by long, leader long").distinct().join(units, "leader")
+    return pairs.mapInArrow(run, "bx long, by long, leader long")
+
+
+def leaders_of(pairs: DataFrame) -> DataFrame:
+    return leaders_in(pairs).select("leader").distinct()
+
+
+def meet(pairs: DataFrame, units: DataFrame, compare, schema: str) -> DataFrame:
+    """Brings the units of both groups of each pair together and compares them.
+
+    A group goes to a block pair once, however many partners it has there.
+    """
+
+    sent = leaders_in(pairs).distinct().join(units, "leader")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return compare(_unique_pairs(left["pairs"].tolist()), right)
@@ -307,19 +341,26 @@ def bounded(percent: int, blocks_: int):
     """Keeps the pairs of groups of which two members may be similar by their histograms."""
 
     def compare(pairs: np.ndarray, right: pd.DataFrame) -> pd.DataFrame:
-        members = _members(right)
+        right = right.sort_values("leader", kind="stable")
+        leaders, first, size = np.unique(right["leader"].to_numpy(), return_index=True, return_counts=True)
         bins = np.frombuffer(b"".join(right["histogram"]), "<u2").reshape(-1, BINS)
+        full = (bins == 0xFFFF).any(1)
         n, label = right["n"].to_numpy(), right["label"].to_numpy()
-        ok = np.zeros(len(pairs), bool)
-        for k, (a, b) in enumerate(pairs.tolist()):
-            for x in members[a]:
-                ys = np.array(members[b])
-                ys = ys[label[ys] != label[x]]
-                if len(ys):
-                    common = np.minimum(bins[ys], bins[x]).sum(1, dtype=np.int64)
-                    if ((100 + percent) * common >= percent * (n[x] + n[ys])).any():
-                        ok[k] = True
-                        break
+        a, b = (np.searchsorted(leaders, pairs[:, k]) for k in (0, 1))
+        ok, lo = np.zeros(len(pairs), bool), 0
+        upto = np.concatenate([[0], np.cumsum(size[a] * size[b])])
+        while lo < len(pairs):  # member pairs of some pairs of groups at a time
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + 100_000, side="right")) - 1)
+            each = size[a[lo:hi]] * size[b[lo:hi]]
+            pair = np.repeat(np.arange(lo, hi), each)
+            k = np.arange(len(pair)) - np.repeat(np.cumsum(each) - each, each)
+            x, y = first[a[pair]] + k // size[b[pair]], first[b[pair]] + k % size[b[pair]]
+            apart = label[x] != label[y]
+            x, y, pair = x[apart], y[apart], pair[apart]
+            common = np.minimum(bins[x], bins[y]).sum(1, dtype=np.int64)
+            may = full[x] | full[y] | ((100 + percent) * common >= percent * (n[x] + n[y]))
+            ok[pair[may]] = True
+            lo = hi
         made = _packed(pairs[ok, 0], pairs[ok, 1], blocks_)
         return pd.DataFrame(made, columns=["bx", "by", "pairs"])
 
@@ -358,7 +399,7 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
             bits[_bit(batch.column("doc_id").to_numpy(zero_copy_only=False))] = True
         packed = np.packbits(bits)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(packed, SLICES)], pa.binary())], names=["slice", "data"]
+            [pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(packed, SLICES)], pa.binary())], names=["slice", "data"]
         )
 
     packed = _sum_slices(ids.mapInArrow(run, "slice int, data binary"), "u1", np.bitwise_or)
@@ -435,38 +476,37 @@ def similar(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int
     lists = scratch.keep(lists, "lists")
     candidates = lists.select("leader").unionByName(groups.where("units > 1").select("leader")).distinct()
     chosen = scratch.keep(units.join(candidates, "leader", "left_semi").select("leader", "unit", "n", "g1", "g2"), "candidates")
-    bits = spark.sparkContext.broadcast(_filter_bits(chosen.select(F.col("unit").alias("doc_id"))))  # 2 MB
+    sketches = known.select(F.col("doc_id").alias("unit"), "n", "g1", "g2", "histogram").dropDuplicates(["unit", "n", "g1", "g2"])
+    full = scratch.keep(chosen.join(sketches, ["unit", "n", "g1", "g2"]).select("leader", "unit", "n", "histogram"), "sketches")
+    one_each = equal.select("unit", "n", "f1")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = np.unpackbits(bits.value).astype(bool)
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(leader, unit, n, label, shingles) of the units of ``wanted``: their texts are read again."""
+        bits = spark.sparkContext.broadcast(_filter_bits(wanted.select(F.col("unit").alias("doc_id"))))  # 2 MB
 
-        def passing() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column("doc_id")
-                hit = some[_bit(ids.fill_null(0).to_numpy(zero_copy_only=False))] & ids.is_valid().to_numpy(zero_copy_only=False)
-                if hit.any():
-                    yield batch.filter(pa.array(hit))
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            some = np.unpackbits(bits.value).astype(bool)
 
-        for block, cut, h in read(passing(), words):
-            raw, n = h.astype("<u8").tobytes(), np.diff(cut)
-            doc = np.repeat(np.arange(len(block)), n)
-            # large counts are cut off at an upper bound of all: they only make the bound weaker
-            bins = np.bincount(doc * BINS + (h >> np.uint64(20)).astype(np.int64) % BINS, minlength=len(block) * BINS).reshape(-1, BINS)
-            bins = np.minimum(bins, 0xFFFF).astype("<u2")
-            one = _sums(mix64(h + np.uint64(0x632BE59BD9B4E019)), cut).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(block.ids), pa.array(n, pa.int64()), pa.array(one),
-                    pa.array([raw[8 * a : 8 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()),
-                    pa.array([x.tobytes() for x in bins], pa.binary()),
-                ],
-                names=["unit", "n", "f1", "shingles", "histogram"],
-            )
+            def passing() -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    ids = batch.column("doc_id")
+                    hit = some[_bit(ids.fill_null(0).to_numpy(zero_copy_only=False))] & ids.is_valid().to_numpy(zero_copy_only=False)
+                    if hit.any():
+                        yield batch.filter(pa.array(hit))
+
+            for block, cut, h in read(passing(), words):
+                raw = h.astype("<u8").tobytes()
+                one = _sums(mix64(h + np.uint64(0x632BE59BD9B4E019)), cut).view(np.int64)
+                pieces = [raw[8 * a : 8 * b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block.ids), pa.array(np.diff(cut), pa.int64()), pa.array(one), pa.array(pieces, pa.binary())],
+                    names=["unit", "n", "f1", "shingles"],
+                )
+
+        found = texts.mapInArrow(sets, "unit long, n long, f1 long, shingles binary")
+        keyed = wanted.join(one_each, ["unit", "n"])
+        return found.join(keyed, ["unit", "n", "f1"]).dropDuplicates(["unit", "n", "f1", "leader"]).select("leader", "unit", "n", "label", "shingles")
 
-    full = texts.mapInArrow(sets, "unit long, n long, f1 long, shingles binary, histogram binary")
-    one_each = equal.select("unit", "n", "f1").join(chosen.select("unit", "n", "leader"), ["unit", "n"])
-    full = full.join(one_each, ["unit", "n", "f1"]).dropDuplicates(["unit", "n", "f1", "leader"])
-    full = scratch.keep(full.select("leader", "unit", "n", "shingles", "histogram"), "sets")
     some = full.count()
     blocks_ = max(1, round((some / BLOCK_UNITS) ** 0.5))
     labels: DataFrame | None = None
@@ -494,10 +534,10 @@ def similar(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int
                     )
 
             pairs = pairs.unionByName(groups.where("units > 1").select("leader").mapInArrow(own_pairs, PAIRS))
-        pairs = scratch.keep(pairs, f"pairs{number}")
-        small = labelled.select("leader", "unit", "n", "label", "histogram")
-        pairs = scratch.keep(meet(pairs, small, bounded(percent, blocks_), PAIRS), f"bounded{number}")
-        found = meet(pairs, labelled.select("leader", "unit", "n", "label", "shingles"), verified(percent), "a long, b long")
+        pairs = scratch.keep(unique(pairs), f"pairs{number}")
+        pairs = scratch.keep(meet(pairs, labelled, bounded(percent, blocks_), PAIRS), f"bounded{number}")
+        left = scratch.keep(labelled.join(leaders_of(pairs), "leader", "left_semi").select("leader", "unit", "n", "label"), f"left{number}")
+        found = meet(pairs, scratch.keep(sets_of(left), f"sets{number}"), verified(percent), "a long, b long")
         found = scratch.keep(found, f"links{number}")
         links = found if links is None else links.unionByName(found)
         labels = components(scratch, links)
