@@ -219,8 +219,8 @@ ORACLE = """
 WITH RECURSIVE ok AS (
   SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x for x in embedding if x <> 0]) > 0
 ), pairs AS (
   SELECT a.vec_id AS a, b.vec_id AS b, a.r AS ra FROM ok a JOIN ok b
     ON a.r <> b.r AND len(a.v) = len(b.v)
