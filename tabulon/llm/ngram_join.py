@@ -35,8 +35,8 @@ from .common import NULL_ID, Block, Scratch, blocks, components, id_text, mix64,
 COUNTERS, SLICES = 1 << 20, 64
 #: Units of one group at most, about; further ones form groups of their own.
 GROUP = 500
-#: Bins of a unit's histogram.
-BINS = 128
+#: Bins of a unit's histogram, and of the short one that goes with list entries.
+BINS, SHORT = 128, 32
 #: Bits of the filter of candidate documents; where it fills up, it lets all pass.
 FILTER = 1 << 24
 #: Prefix entries in a shard of lists, and candidate units in a block of the comparison, about.
@@ -194,12 +194,16 @@ def _sums(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
 def candidate_pairs(frame: pd.DataFrame, centers: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of groups (smaller, larger leader) from a shard's lists.
 
-    ``centers`` groups of each list meet all others; 0 means all pairs.
+    ``centers`` groups of each list meet all others; 0 means all pairs of the
+    lists that eight centers do not cover.
     """
     frame = frame.sort_values(["token", "leader"], kind="stable")
     token, leader = frame["token"].to_numpy(), frame["leader"].to_numpy()
     n, pos = frame["n"].to_numpy(), frame["pos"].to_numpy()
     label = frame["label"].to_numpy()
+    full = bytes([255]) * SHORT  # no short histogram: it bounds nothing
+    short = np.frombuffer(b"".join(x or full for x in frame["short"]), np.uint8).reshape(-1, SHORT)
+    loose = (short == 255).any(1)
     new = np.ones(len(token), bool)
     new[1:] = token[1:] != token[:-1]
     start = np.flatnonzero(new)
@@ -212,7 +216,14 @@ def candidate_pairs(frame: pd.DataFrame, centers: int, percent: int) -> tuple[np
         most = np.minimum(pos[a], pos[b]) + np.minimum(n[a] - pos[a], n[b] - pos[b])
         ok = (a != b) & (100 * lo >= percent * hi) & ((label[a] != label[b]) | (label[a] == -1))
         ok &= (100 + percent) * most >= percent * (lo + hi)
-        x, y = leader[a[ok]], leader[b[ok]]
+        a, b = a[ok], b[ok]
+        for k in range(0, len(a), 500_000):
+            c, d = a[k : k + 500_000], b[k : k + 500_000]
+            common = np.minimum(short[c], short[d]).sum(1, dtype=np.int64)
+            may = loose[c] | loose[d] | ((100 + percent) * common >= percent * (n[c] + n[d]))
+            emit(leader[c[may]], leader[d[may]])
+
+    def emit(x: np.ndarray, y: np.ndarray) -> None:
         if len(x):
             out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
 
@@ -226,7 +237,7 @@ def candidate_pairs(frame: pd.DataFrame, centers: int, percent: int) -> tuple[np
             offer(np.repeat(middle, z), every)
     else:
         for s, z in zip(start.tolist(), size.tolist(), strict=True):
-            if z > 1 and (z == 2 or (label[s : s + z] != label[s]).any() or label[s] == -1):
+            if z > 8 and ((label[s : s + z] != label[s]).any() or label[s] == -1):
                 for k in range(0, z, 256):
                     a, b = np.arange(s + k, s + min(k + 256, z)), np.arange(s + k + 1, s + z)
                     x, y = np.repeat(a, len(b)), np.tile(b, len(a))
@@ -480,6 +491,17 @@ def similar(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int
     full = scratch.keep(chosen.join(sketches, ["unit", "n", "g1", "g2"]).select("leader", "unit", "n", "histogram"), "sketches")
     one_each = equal.select("unit", "n", "f1")
 
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = np.frombuffer(b"".join(batch.column("histogram").to_pylist()), "<u2").reshape(-1, SHORT, BINS // SHORT)
+            bins = np.minimum(bins.sum(2, dtype=np.int64), 255).astype("u1")
+            yield pa.RecordBatch.from_arrays([batch.column("leader"), pa.array([x.tobytes() for x in bins], pa.binary())], names=["leader", "short"])
+
+    # for groups of one unit; the others are looked at by their members
+    lone = full.join(groups.where("units = 1").select("leader", "n").distinct(), ["leader", "n"]).where("unit = leader")
+    lone = lone.groupBy("leader").agg(F.max("histogram").alias("histogram"), F.count("*").alias("k")).where("k = 1")
+    short = scratch.keep(lone.select("leader", "histogram").mapInArrow(folded, "leader long, short binary"), "short")
+
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(leader, unit, n, label, shingles) of the units of ``wanted``: their texts are read again."""
         bits = spark.sparkContext.broadcast(_filter_bits(wanted.select(F.col("unit").alias("doc_id"))))  # 2 MB
@@ -521,7 +543,7 @@ def similar(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int
             own = own.select("leader", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1).alias("label"))
             listed_as = lists.join(own, "leader")
 
-        pairs = listed_as.select("shard", "token", "leader", "n", "pos", "label").groupBy("shard")
+        pairs = listed_as.join(short, "leader", "left").select("shard", "token", "leader", "n", "pos", "label", "short").groupBy("shard")
         pairs = pairs.applyInPandas(paired(centers, percent, blocks_), PAIRS)
         if number == 0:  # and each group with itself
 
