@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audio import op2_audio_fingerprints
 from .embedding_join import ORACLE as OP3_SQL
 from .embedding_join import op3_embedding_near_dedup
 from .html_text import op1_html_text
@@ -20,7 +21,7 @@ from .toxicity import op10_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_html_text, op3_embedding_near_dedup, op4_kneser_ney_quality, op5_suffix_array_dedup, op6_best_fit_packing, op7_ngram_jaccard,
+        op1_html_text, op2_audio_fingerprints, op3_embedding_near_dedup, op4_kneser_ney_quality, op5_suffix_array_dedup, op6_best_fit_packing, op7_ngram_jaccard,
         op8_token_files, op9_source_mixing, op10_toxicity,
     )
 }
