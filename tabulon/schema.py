@@ -15,6 +15,12 @@ from .errors import IncompatibleValue, NoID, NoName, SQLUnknownField, UnknownTag
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 NUMERIC = (*INTEGRAL, T.FloatType, T.DoubleType, T.DecimalType)
 TIMES = (T.TimestampType, T.TimestampNTZType)
+#: Types by name that need no session to be parsed; unsigned numbers are one step wider.
+PLAIN = {
+    "boolean": T.BooleanType(), "string": T.StringType(), "byte": T.ByteType(), "short": T.ShortType(), "int": T.IntegerType(), "long": T.LongType(),
+    "uint8": T.ShortType(), "uint16": T.IntegerType(), "uint32": T.LongType(), "uint64": T.DecimalType(20, 0), "float": T.FloatType(),
+    "double": T.DoubleType(), "binary": T.BinaryType(), "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(),
+}
 
 
 @dataclass(frozen=True)
@@ -37,7 +43,7 @@ class FieldSpec:
     @classmethod
     def tagged(cls, name: str, type_: T.DataType | str, tags: str = "", json: str = "", nullable: bool = False) -> FieldSpec:
         """From a comma-separated tag string such as ``id,increment=5`` or ``index,composite=by_age:2``."""
-        kind = T._parse_datatype_string(type_) if isinstance(type_, str) else type_
+        kind = (PLAIN.get(type_) or T._parse_datatype_string(type_)) if isinstance(type_, str) else type_
         out: dict[str, Any] = {}
         for tag in filter(None, (t.strip() for t in tags.split(","))):
             key, _, value = tag.partition("=")
