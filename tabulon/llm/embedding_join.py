@@ -101,6 +101,8 @@ def near_links(spark: SparkSession, vectors: DataFrame, scratch: Scratch, cosine
     m = len(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not pivots:  # no vector can be linked
+            return
         p = _unit(pivots, kind)
         between = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
         for batch in batches:

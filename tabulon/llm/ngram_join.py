@@ -231,7 +231,7 @@ def candidate_pairs(frame: pd.DataFrame, centers: int, percent: int) -> tuple[np
         for k in range(centers):
             some = size > max(k, 1)
             s, z = start[some], size[some]
-            middle = s + (k * z) // centers
+            middle = s + np.where(z <= centers, k, (k * z) // centers)
             ends = np.cumsum(z)
             every = np.repeat(s - (ends - z), z) + np.arange(int(ends[-1]) if len(ends) else 0)
             offer(np.repeat(middle, z), every)
