@@ -40,7 +40,7 @@ BINS, SHORT = 128, 32
 #: Bits of the filter of candidate documents; where it fills up, it lets all pass.
 FILTER = 1 << 24
 #: Prefix entries in a shard of lists, and candidate units in a block of the comparison, about.
-SHARD, BLOCK_UNITS = 200_000, 2_000
+SHARD, BLOCK_UNITS = 200_000, 8_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -280,15 +280,22 @@ def paired(centers: int, percent: int, blocks_: int):
     return pairs_of
 
 
-def unique(pairs: DataFrame) -> DataFrame:
-    """Each pair of a block pair once."""
+def unique(pairs: DataFrame, done: list[DataFrame]) -> DataFrame:
+    """Each pair of a block pair once, without those that earlier rounds have compared."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        both = _unique_pairs(frame["pairs"].tolist())
+        both = _unique_pairs(frame["pairs"][frame["fresh"]].tolist())
+        old = _unique_pairs(frame["pairs"][~frame["fresh"]].tolist())
+        if len(old) and len(both):
+            _, at, times = np.unique(np.concatenate([both, old, old]), axis=0, return_index=True, return_counts=True)
+            both = both[np.sort(at[(times == 1) & (at < len(both))])]
         raws = [both[k : k + (1 << 22)].T.astype("<i8").tobytes() for k in range(0, len(both), 1 << 22)]
         return pd.DataFrame({"bx": frame["bx"].iloc[0], "by": frame["by"].iloc[0], "pairs": raws})
 
-    return pairs.groupBy("bx", "by").applyInPandas(run, PAIRS)
+    every = pairs.withColumn("fresh", F.lit(True))
+    for d in done:
+        every = every.unionByName(d.withColumn("fresh", F.lit(False)))
+    return every.groupBy("bx", "by").applyInPandas(run, PAIRS)
 
 
 def leaders_in(pairs: DataFrame) -> DataFrame:
@@ -533,6 +540,7 @@ def similar(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int
     blocks_ = max(1, round((some / BLOCK_UNITS) ** 0.5))
     labels: DataFrame | None = None
     links: DataFrame | None = None
+    compared: list[DataFrame] = []
     for number, centers in enumerate((1, 8, 0)):
         labelled = full.withColumn("label", F.col("unit"))
         listed_as = lists.withColumn("label", F.lit(-1).cast("long") if labels is None else F.lit(0))
@@ -556,8 +564,9 @@ def similar(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int
                     )
 
             pairs = pairs.unionByName(groups.where("units > 1").select("leader").mapInArrow(own_pairs, PAIRS))
-        pairs = scratch.keep(unique(pairs), f"pairs{number}")
+        pairs = scratch.keep(unique(pairs, compared), f"pairs{number}")
         pairs = scratch.keep(meet(pairs, labelled, bounded(percent, blocks_), PAIRS), f"bounded{number}")
+        compared.append(pairs)
         left = scratch.keep(labelled.join(leaders_of(pairs), "leader", "left_semi").select("leader", "unit", "n", "label"), f"left{number}")
         found = meet(pairs, scratch.keep(sets_of(left), f"sets{number}"), verified(percent), "a long, b long")
         found = scratch.keep(found, f"links{number}")
