@@ -194,8 +194,9 @@ def _sums(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
 def candidate_pairs(frame: pd.DataFrame, centers: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of groups (smaller, larger leader) from a shard's lists.
 
-    ``centers`` groups of each list meet all others; 0 means all pairs of the
-    lists that eight centers do not cover.
+    ``centers`` groups of each list meet all others, but for the first one
+    where there are several: an earlier round has compared it.  0 means all
+    pairs of the lists that eight centers do not cover.
     """
     frame = frame.sort_values(["token", "leader"], kind="stable")
     token, leader = frame["token"].to_numpy(), frame["leader"].to_numpy()
@@ -228,7 +229,7 @@ def candidate_pairs(frame: pd.DataFrame, centers: int, percent: int) -> tuple[np
             out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
 
     if centers:
-        for k in range(centers):
+        for k in range(1 if centers > 1 else 0, centers):
             some = size > max(k, 1)
             s, z = start[some], size[some]
             middle = s + np.where(z <= centers, k, (k * z) // centers)
@@ -487,10 +488,11 @@ def similar(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int
         many = count[at] > 1
         return pd.DataFrame({
             "shard": int(frame["shard"].iloc[0]), "token": token[many].astype(np.int64), "leader": leader[many], "n": n[many], "pos": pos[many],
+            "length": count[at][many],
         })
 
     lists = leaders.select("leader", "n", "prefix").mapInArrow(listed, "shard long, k int, payload binary")
-    lists = lists.groupBy("shard").applyInPandas(repeated, "shard long, token long, leader long, n int, pos int")
+    lists = lists.groupBy("shard").applyInPandas(repeated, "shard long, token long, leader long, n int, pos int, length int")
     lists = scratch.keep(lists, "lists")
     candidates = lists.select("leader").unionByName(groups.where("units > 1").select("leader")).distinct()
     chosen = scratch.keep(units.join(candidates, "leader", "left_semi").select("leader", "unit", "n", "g1", "g2"), "candidates")
@@ -541,15 +543,17 @@ def similar(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int
     labels: DataFrame | None = None
     links: DataFrame | None = None
     compared: list[DataFrame] = []
-    for number, centers in enumerate((1, 8, 0)):
+    # centers of each round, and the longest list that the rounds before have covered
+    for number, (centers, covered) in enumerate(((1, 1), (8, 2), (0, 8))):
         labelled = full.withColumn("label", F.col("unit"))
-        listed_as = lists.withColumn("label", F.lit(-1).cast("long") if labels is None else F.lit(0))
+        open_lists = lists.where(F.col("length") > covered).drop("length")
+        listed_as = open_lists.withColumn("label", F.lit(-1).cast("long") if labels is None else F.lit(0))
         if labels is not None:
             labelled = full.join(labels, F.col("unit") == F.col("node"), "left").withColumn("label", F.coalesce("component", "unit")).drop("node", "component")
             # a group has a label where all its units have the same
             own = labelled.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
             own = own.select("leader", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1).alias("label"))
-            listed_as = lists.join(own, "leader")
+            listed_as = open_lists.join(own, "leader")
 
         pairs = listed_as.join(short, "leader", "left").select("shard", "token", "leader", "n", "pos", "label", "short").groupBy("shard")
         pairs = pairs.applyInPandas(paired(centers, percent, blocks_), PAIRS)
