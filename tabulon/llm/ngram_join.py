@@ -35,8 +35,10 @@ from .common import NULL_ID, Block, Scratch, blocks, components, id_text, mix64,
 COUNTERS, SLICES = 1 << 20, 64
 #: Units of one group at most, about; further ones form groups of their own.
 GROUP = 500
-#: Bins of a unit's histogram, and of the short one that goes with list entries.
-BINS, SHORT = 128, 32
+#: Fewest and most bins of a unit's histogram, and those of the short one that goes with list entries.
+BINS, MOST_BINS, SHORT = 64, 1 << 15, 32
+#: Bytes of histograms that a comparison holds side by side, about.
+SIDE = 32 << 20
 #: Bits of the filter of candidate documents; where it fills up, it lets all pass.
 FILTER = 1 << 24
 #: Prefix entries in a shard of lists, and candidate units in a block of the comparison, about.
@@ -153,6 +155,35 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
+def bins_of(n: np.ndarray) -> np.ndarray:
+    """Bins for sets of ``n`` shingles: a power of two, about one for every two shingles."""
+    wanted = 1 << np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64)
+    return np.clip(wanted, BINS, MOST_BINS)
+
+
+def histograms(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Each set's counts in its bins, two to a byte; 15 stands for any larger count too."""
+    bins = bins_of(n)
+    first = np.concatenate([[0], np.cumsum(bins)])
+    at = first[doc] + (h >> np.uint64(20)).astype(np.int64) % bins[doc]
+    counts = np.minimum(np.bincount(at, minlength=first[-1]), 15).astype("u1")
+    raw = (counts[0::2] | counts[1::2] << 4).tobytes()
+    return [raw[a // 2 : b // 2] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def counts_in(raws: list[bytes], bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts in ``bins`` bins, whether a count is not known) of histograms that have as many bins or more."""
+    out, full = np.zeros((len(raws), bins), "u2"), np.zeros(len(raws), bool)
+    sizes = np.array([2 * len(x) for x in raws])
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        packed = np.frombuffer(b"".join(raws[k] for k in rows.tolist()), "u1").reshape(len(rows), -1)
+        counts = np.stack([packed & 15, packed >> 4], 2).reshape(len(rows), size)
+        full[rows] = (counts == 15).any(1)
+        out[rows] = counts.reshape(len(rows), size // bins, bins).sum(1, dtype="u2")
+    return out, full
+
+
 def profiles(docs: DataFrame, classes: np.ndarray, percent: int, words: int) -> DataFrame:
     """(doc_id, n, f1, f2, g1, g2, prefix, histogram): size, hashes of the set and of its prefix, the prefix in order, counts in bins."""
 
@@ -171,13 +202,10 @@ def profiles(docs: DataFrame, classes: np.ndarray, percent: int, words: int) ->
             raw = chosen.astype("<u8").tobytes()
             pieces = [raw[8 * a : 8 * b] for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
             ids = pa.array(block.ids, pa.int64(), mask=block.ids == NULL_ID)
-            bins = np.bincount(doc * BINS + (h >> np.uint64(20)).astype(np.int64) % BINS, minlength=len(block) * BINS).reshape(-1, BINS)
-            # a count too large for two bytes stands for any: the bound is then that much weaker
-            bins = np.minimum(bins, 0xFFFF).astype("<u2")
             yield pa.RecordBatch.from_arrays(
                 [
                     ids, pa.array(n, pa.int64()), *(pa.array(x.view(np.int64)) for x in (*sums, *pre)), pa.array(pieces, pa.binary()),
-                    pa.array([x.tobytes() for x in bins], pa.binary()),
+                    pa.array(histograms(doc, h, n), pa.binary()),
                 ],
                 names=["doc_id", "n", "f1", "f2", "g1", "g2", "prefix", "histogram"],
             )
@@ -362,8 +390,8 @@ def bounded(percent: int, blocks_: int):
     def compare(pairs: np.ndarray, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("leader", kind="stable")
         leaders, first, size = np.unique(right["leader"].to_numpy(), return_index=True, return_counts=True)
-        bins = np.frombuffer(b"".join(right["histogram"]), "<u2").reshape(-1, BINS)
-        full = (bins == 0xFFFF).any(1)
+        raws = right["histogram"].tolist()
+        width = np.array([2 * len(x) for x in raws])
         n, label = right["n"].to_numpy(), right["label"].to_numpy()
         a, b = (np.searchsorted(leaders, pairs[:, k]) for k in (0, 1))
         ok, lo = np.zeros(len(pairs), bool), 0
@@ -376,9 +404,17 @@ def bounded(percent: int, blocks_: int):
             x, y = first[a[pair]] + k // size[b[pair]], first[b[pair]] + k % size[b[pair]]
             apart = label[x] != label[y]
             x, y, pair = x[apart], y[apart], pair[apart]
-            common = np.minimum(bins[x], bins[y]).sum(1, dtype=np.int64)
-            may = full[x] | full[y] | ((100 + percent) * common >= percent * (n[x] + n[y]))
-            ok[pair[may]] = True
+            both = np.minimum(width[x], width[y])
+            for bins in np.unique(both).tolist():
+                here = np.flatnonzero(both == bins)
+                for k in range(0, len(here), max(1, SIDE // (2 * bins))):
+                    some = here[k : k + max(1, SIDE // (2 * bins))]
+                    used, at = np.unique(np.concatenate([x[some], y[some]]), return_inverse=True)
+                    counts, full = counts_in([raws[j] for j in used.tolist()], bins)
+                    c, d = at[: len(some)], at[len(some) :]
+                    common = np.minimum(counts[c], counts[d]).sum(1, dtype=np.int64)
+                    may = full[c] | full[d] | ((100 + percent) * common >= percent * (n[x[some]] + n[y[some]]))
+                    ok[pair[some[may]]] = True
             lo = hi
         made = _packed(pairs[ok, 0], pairs[ok, 1], blocks_)
         return pd.DataFrame(made, columns=["bx", "by", "pairs"])
@@ -502,8 +538,8 @@ def similar(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = np.frombuffer(b"".join(batch.column("histogram").to_pylist()), "<u2").reshape(-1, SHORT, BINS // SHORT)
-            bins = np.minimum(bins.sum(2, dtype=np.int64), 255).astype("u1")
+            bins, full = counts_in(batch.column("histogram").to_pylist(), SHORT)
+            bins = np.where(full[:, None], 255, np.minimum(bins, 255)).astype("u1")
             yield pa.RecordBatch.from_arrays([batch.column("leader"), pa.array([x.tobytes() for x in bins], pa.binary())], names=["leader", "short"])
 
     # for groups of one unit; the others are looked at by their members
