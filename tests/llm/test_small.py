@@ -320,6 +320,19 @@ def test_ngrams(spark, scratch, monkeypatch, group):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(spark, df, scratch).collect()} == similar(docs)
 
 
+def test_histograms():
+    rng = np.random.default_rng(1)
+    n = np.array([0, 5, 130, 1000, 70_000, 600_000])
+    doc, h = np.repeat(np.arange(len(n)), n), rng.integers(0, 1 << 52, n.sum()).astype(np.uint64)
+    raws = ngram_join.histograms(doc, h, n)
+    assert [2 * len(x) for x in raws] == ngram_join.bins_of(n).tolist()
+    for bins in (ngram_join.SHORT, ngram_join.BINS):
+        counts, full = ngram_join.counts_in(raws, bins)
+        assert full.tolist() == [False] * 5 + [True]
+        for d in range(5):
+            assert counts[d].tolist() == np.bincount((h[doc == d] >> np.uint64(20)).astype(np.int64) % bins, minlength=bins).tolist()
+
+
 def test_ngram_documents(spark, scratch):
     t = "a b c d e f g h i"
     docs = spark.createDataFrame([(1, t, "x", "s", 1), (2, t, "x", "s", 1), (2, t, "x", "s", 1), (None, t, "x", "s", 1), (3, "other words", "x", "s", 1)], DOCS)
