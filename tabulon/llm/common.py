@@ -160,6 +160,10 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     while True:
+        # done where every node has one smaller neighbour at most, and that one has none
+        ends = edges.unionByName(edges.select(F.col("v").alias("u"), "v")).groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        if not ends.where("lo < hi").limit(1).count():
+            break
         # large star: the larger neighbours of each node go to its smallest one
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -169,12 +173,8 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = scratch.keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
-        scratch.drop(large)
-        moved = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
-        scratch.drop(edges)
+        scratch.drop(large, edges)
         edges = after
-        if not moved:
-            break
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
