@@ -1,17 +1,22 @@
 """Operator 4: quality by the perplexity of a Kneser-Ney model of trusted text.
 
-The model is an interpolated modified Kneser-Ney model of order 4 over the
-bytes of the text, in 64 classes: the 62 most frequent bytes of the trusted
-text, the start of a document, and all other bytes.  So no language needs a
-word list, invented words included, and a model has 64**4 cells at most.
-
-Counting: each task counts the 4-grams of its trusted documents and sends, for
-each shard (the first symbol of the 4-gram), the cells it saw; a shard's
-counts are summed where the shard is.  The counts of all shards, at most 64 MB
-whatever the input, then meet the documents: each task looks up the 4-grams
-of its documents (a join on the n-gram, the bounded side sent to the tasks).
-A document's perplexity above the quantile of trusted documents of its
-language rejects it.
+The model is an interpolated modified Kneser-Ney model over whole words, open
+to any word: pairs of words, then single words, then the spelling of a word.
+The spelling is a Kneser-Ney model of order 4 over the bytes of the text, in
+64 classes: the 62 most frequent bytes of the trusted text, the start of a
+document, and all other bytes.  So no language needs a word list, invented
+words included.
+
+Counting: each task counts the pairs of words of its trusted documents and
+sends each shard (of the pair's hash) those it saw; what the shards found about
+single words, as left and as right side of a pair, is summed in shards of the
+word.  These counts grow with the trusted text and stay where they are:
+a block of documents sends each shard its distinct pairs and words and gets
+their counts back.  Only the bytes' table, of 64**4 cells at most, goes to all
+tasks.  A trusted document is judged by the counts of the others: its own are
+taken off.  A document's perplexity above the quantile of trusted documents of
+its language rejects it, and so does that of its spelling alone: words that
+never occurred hide odd letters from the first, few odd words hide in the second.
 """
 
 from __future__ import annotations
@@ -22,11 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.ipc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, blocks, id_text, table, text_block
+from .common import Scratch, blocks, mix64, table, text_block
 
 CLASSES, ORDER = 64, 4
 CELLS = CLASSES**ORDER
@@ -35,6 +42,8 @@ LEAST = 30
 #: Bytes at the trusted text's mean that are added to each document before it
 #: is judged: the perplexity of a few words says little about them.
 PRIOR = 100
+#: Bytes of compressed rows for each shard of the counts, about.
+SHARD = 4 << 20
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -149,53 +158,340 @@ def log_table(shards: Iterator[tuple[int, bytes]]) -> np.ndarray:
     return out.reshape(-1)
 
 
-def sums_of(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a hash of a word or pair.
+BITS = 48
+
+
+def pair_of(left: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(left * _BASE + mix64(word)) >> np.uint64(64 - BITS)
+
+
+class Words:
+    """The words of some documents, in order: hash, the pair with the word before, document, first byte and size.
+
+    The word before the first one of a document is 0.
+    """
+
+    __slots__ = ("word", "left", "pair", "doc", "start", "size")
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        inner = ~_IS_SPACE[data]
+        first = inner.copy()
+        first[1:] &= ~inner[:-1]
+        begins = offsets[:-1][np.diff(offsets) > 0]
+        first[begins] = inner[begins]
+        self.start = np.flatnonzero(first)
+        self.doc = np.searchsorted(offsets, self.start, side="right") - 1
+        if not len(self.start):
+            self.size = self.start
+            self.word = self.left = self.pair = np.zeros(0, np.uint64)
+            return
+        self.size = np.add.reduceat(inner.astype(np.int64), self.start)
+        at = np.cumsum(self.size) - self.size
+        power = np.cumprod(np.full(int(self.size.max()), _BASE))
+        place = np.arange(int(self.size.sum())) - np.repeat(at, self.size)
+        h = np.add.reduceat(_BYTE[data[inner]] * power[place], at) + self.size.astype(np.uint64)
+        self.word = np.maximum(mix64(h) >> np.uint64(64 - BITS), np.uint64(1))
+        self.left = np.zeros_like(self.word)
+        self.left[1:] = self.word[:-1]
+        self.left[np.append(True, self.doc[1:] != self.doc[:-1])] = 0
+        self.pair = pair_of(self.left, self.word)
+
+
+def _planes(*arrays: np.ndarray) -> bytes:
+    """Unsigned arrays of one length, byte by byte of equal weight."""
+    return zlib.compress(b"".join(np.ascontiguousarray(a).view("u1").reshape(len(a), -1).T.tobytes() for a in arrays), 1)
+
+
+def _unplanes(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    data = np.frombuffer(zlib.decompress(raw), "u1")
+    n = len(data) // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        size = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(k).reshape(-1))
+        at += n * size
+    return out
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as differences."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """Shards are ranges of hashes; the slice of sorted ``keys`` in each."""
+    shard = (keys * np.uint64(shards)) >> np.uint64(BITS)
+    edges = np.append(np.flatnonzero(np.diff(shard, prepend=np.uint64(shards))), len(keys))
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(shard[lo]), slice(lo, hi)
+
+
+def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, sorted, where each first occurs, and the sums of each of ``counts``."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    new = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    return k[new], order[new], *(np.add.reduceat(c[order], new) if len(k) else c for c in counts)
+
+
+def _counts_of_counts(counts: np.ndarray) -> list[int]:
+    return [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), len(counts)]
+
+
+_COC = ["n1", "n2", "n3", "n4", "n"]
+#: What is known of a word: pairs that end in it; and of those that start with it the sum and how many were seen once, twice, more often.
+_WORD = 5
+
+
+def discounts_of(n: list[int]) -> np.ndarray:
+    """As ``discounts``, from the counts of counts 1 to 4."""
+    n = [max(x, 1) for x in n[:4]]
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [k + 1 - (k + 2) * y * n[k + 1] / n[k] for k in range(3)]
+    return np.array([0.0, *(min(max(x, 0.1), k + 1.0) for k, x in enumerate(d))])
+
+
+def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            with pa.ipc.open_stream(batch.column("payload")[row].as_py()) as f:
+                for part in f:
+                    yield batch.column("block")[row].as_py(), part
+
+
+def text_blocks(docs: DataFrame, most: int = 12 << 20) -> DataFrame:
+    """(block, payload): the rows of ``docs`` (with ``_text``) in blocks of about ``most`` bytes of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            whole = pa.Table.from_batches(held).combine_chunks()
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+                f.write_table(whole)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
+
+        for batch in batches:
+            ends = np.cumsum([x or 0 for x in pa.compute.binary_length(batch.column("_text")).to_pylist()]) if batch.num_rows else []
+            lo = 0
+            while lo < batch.num_rows:
+                before = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + most - size, side="right")))
+                held.append(batch.slice(lo, hi - lo))
+                size += int(ends[hi - 1]) - before
+                lo = hi
+                if size >= most or lo < batch.num_rows:
+                    yield out()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield out()
+
+    return docs.mapInArrow(run, "block long, payload binary")
+
+
+def _block(part: pa.RecordBatch):
+    return text_block(pa.nulls(part.num_rows, pa.int64()), part.column("_text"))
+
+
+def count_pairs(kept: DataFrame, shards: int) -> DataFrame:
+    """(kind, shard, payload, counts of counts): of kind p a shard's pairs with their counts, of kind w what they say of words, by the word's shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in _payloads(batches):
+            part = part.filter(part.column("_trusted"))
+            block = _block(part)
+            w = Words(block.data, block.offsets)
+            pair, at, n = summed(w.pair, np.ones(len(w.pair), np.uint32))
+            rows = []
+            for s, k in _by_shard(pair, shards):
+                left, word = w.left[at[k]], w.word[at[k]]
+                order = np.argsort(left)
+                rows.append((s, _planes(_steps(left[order]), word[order], n[k][order].astype("<u4"))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "payload"])
+
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        got = [_unplanes(raw, "<u8", "<u8", "<u4") for raw in frame["payload"]]
+        left = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
+        word, n = (np.concatenate([g[k] for g in got]) for k in (1, 2))
+        pair, at, n = summed(pair_of(left, word), n.astype(np.uint64))
+        left, word = left[at], word[at]
+        rows = [("p", key[0], _planes(_steps(pair), n.astype("<u4")), *_counts_of_counts(n))]
+        zero, kind = np.zeros_like(n), np.minimum(n, 3)
+        said = [np.concatenate([zero, x]) for x in (n, *((kind == k).astype(np.uint64) for k in (1, 2, 3)))]
+        both, _, *sums = summed(np.concatenate([word, left]), np.concatenate([zero + np.uint64(1), zero]), *said)
+        rows += [("w", s, _planes(_steps(both[k]), *(x[k].astype("<u4") for x in sums)), 0, 0, 0, 0, 0) for s, k in _by_shard(both, shards)]
+        return pd.DataFrame(rows, columns=["kind", "shard", "payload", *_COC])
+
+    schema = "kind string, shard int, payload binary, " + ", ".join(f"{c} long" for c in _COC)
+    return kept.mapInArrow(run, "shard int, payload binary").groupBy("shard").applyInPandas(add, schema)
+
+
+def count_words(said: DataFrame) -> DataFrame:
+    """(kind, shard, payload, counts of counts) of kind w: the sums of what the pairs' shards say of a word."""
+
+    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        got = [_unplanes(raw, "<u8", *["<u4"] * _WORD) for raw in frame["payload"]]
+        sums = [np.concatenate([g[k] for g in got]).astype(np.uint64) for k in range(1, _WORD + 1)]
+        word, _, *sums = summed(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), *sums)
+        known = sums[0][sums[0] > 0]
+        return pd.DataFrame([("w", key[0], _planes(_steps(word), *(x.astype("<u4") for x in sums)), *_counts_of_counts(known))], columns=["kind", "shard", "payload", *_COC])
+
+    return said.groupBy("shard").applyInPandas(add, said.schema)
+
+
+def looked_up(asked: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The values of the ``asked`` keys, 0 where there are none; ``keys`` are sorted."""
+    at = np.searchsorted(keys, asked)
+    found = at < len(keys)
+    found[found] = keys[at[found]] == asked[found]
+    out = []
+    for v in values:
+        x = np.zeros(len(asked), "<u4")
+        x[found] = v[at[found]]
+        out.append(x)
+    return out
+
+
+def word_logs(w: Words, spell: np.ndarray, own: np.ndarray, pairs: list, words: list, levels: tuple) -> np.ndarray:
+    """log p of each word after the one before it.
+
+    ``spell``: log p of its spelling.  ``own``: whether its document was
+    counted; then the document's own counts are taken off.  ``pairs``: sorted
+    hashes and counts; ``words``: sorted hashes and the five numbers.
+    ``levels``: counts of counts of pairs and of words.
+    """
+    coc2, coc1 = levels
+    d2, d1 = discounts_of(coc2), discounts_of(coc1)
+    distinct = float(coc2[4])
+    spare = float(d1[1] * coc1[0] + d1[2] * coc1[1] + d1[3] * (coc1[4] - coc1[0] - coc1[1]))
+    if not distinct:
+        return spell
+    at2, at1, atl = np.searchsorted(pairs[0], w.pair), np.searchsorted(words[0], w.word), np.searchsorted(words[0], w.left)
+    c2, c1 = pairs[1][at2].astype(np.int64), words[1][at1].astype(np.int64)
+    total, *kinds = (words[k][atl].astype(np.int64) for k in range(2, _WORD + 1))
+    mine = np.flatnonzero(own)
+    if len(mine):
+        doc = w.doc[mine]
+        key, first, back, m = np.unique(doc * len(pairs[0]) + at2[mine], return_index=True, return_inverse=True, return_counts=True)
+        before = c2[mine][first]
+        after = np.maximum(before - m, 0)
+        _, of_left = np.unique((doc * len(words[0]) + atl[mine])[first], return_inverse=True)
+        c2[mine] = after[back]
+        total[mine] -= np.bincount(of_left, m)[of_left][back].astype(np.int64)
+        for k in (1, 2, 3):
+            moved = (np.minimum(after, 3) == k).astype(np.int64) - (np.minimum(before, 3) == k)
+            kinds[k - 1][mine] += np.bincount(of_left, moved)[of_left][back].astype(np.int64)
+        _, of_word = np.unique((doc * len(words[0]) + at1[mine])[first], return_inverse=True)
+        c1[mine] -= np.bincount(of_word, after == 0)[of_word][back].astype(np.int64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        low = np.logaddexp(np.log(np.maximum(c1 - d1[np.minimum(c1, 3)], 0)), np.log(spare) + spell) - np.log(distinct)
+        left = sum(d2[k + 1] * x for k, x in enumerate(kinds))
+        high = np.logaddexp(np.log(np.maximum(c2 - d2[np.minimum(c2, 3)], 0)), np.log(left) + low) - np.log(total)
+    return np.where(total > 0, high, low)
 
 
 class Model:
-    def __init__(self, spark: SparkSession, classes: np.ndarray, logs: np.ndarray):
-        self.classes = classes
+    """The counts of pairs and words, in shards, and the table of bytes."""
+
+    def __init__(self, spark: SparkSession, classes: np.ndarray, logs: np.ndarray, shards: int, counted: DataFrame, levels: tuple):
+        self.classes, self.shards, self.counted, self.levels = classes, shards, counted, levels
         self.logs = spark.sparkContext.broadcast(logs)  # 64 MB, whatever the input
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with perplexity (per byte; null without text) as ``_perplexity``."""
-        classes, logs = self.classes, self.logs
+    def score(self, kept: DataFrame, schema: T.StructType, scratch: Scratch) -> DataFrame:
+        """The rows of ``kept`` (of ``schema``) with ``_perplexity`` (per byte; null without text), that of the spelling alone and the size."""
+        classes, logs, shards, levels = self.classes, self.logs, self.shards, self.levels
+        out_names = [f.name for f in schema if f.name != "_text"]
+
+        def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for number, part in _payloads(batches):
+                block = _block(part)
+                w = Words(block.data, block.offsets)
+                rows = []
+                for kind, keys in (("p", np.unique(w.pair)), ("w", np.unique(np.append(w.word, np.uint64(0))))):
+                    rows += [(number, kind, s, _planes(_steps(keys[k]))) for s, k in _by_shard(keys, shards)]
+                kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["block", "kind", "shard", "payload"])
+
+        def answers(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            kind, shard = key
+            numbers = 1 if kind == "p" else _WORD
+            if len(known):
+                keys, *values = _unplanes(known["payload"].iloc[0], "<u8", *["<u4"] * numbers)
+                keys = np.cumsum(keys, dtype=np.uint64)
+            else:
+                keys, values = np.zeros(0, np.uint64), [np.zeros(0, "<u4")] * numbers
+            out = []
+            for raw in asked["payload"]:
+                want = np.cumsum(_unplanes(raw, "<u8")[0], dtype=np.uint64)
+                out.append(_planes(*looked_up(want, keys, *values)))
+            return pd.DataFrame({"block": asked["block"], "kind": kind, "shard": shard, "answer": out})
+
+        asked = kept.mapInArrow(asks, "block long, kind string, shard int, payload binary")
+        said = asked.groupBy("kind", "shard").cogroup(self.counted.groupBy("kind", "shard"))
+        said = said.applyInPandas(answers, "block long, kind string, shard int, answer binary")
+        said = said.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "answer")).alias("answers"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                block = text_block(pa.nulls(batch.num_rows, pa.int64()), batch.column("_text"))
-                out, lo = np.full(len(block), np.nan), 0
-                while lo < len(block):
-                    hi = max(lo + 1, int(np.searchsorted(block.offsets, block.offsets[lo] + (4 << 20), side="right")) - 1)
-                    off = block.offsets[lo : hi + 1] - block.offsets[lo]
-                    data = block.data[block.offsets[lo] : block.offsets[hi]]
-                    if len(data):
-                        sums = sums_of(logs.value[codes(data, off, classes)], off)
-                        size = np.diff(off)
-                        out[lo:hi] = np.where(size > 0, np.exp(-sums / np.maximum(size, 1)), np.nan)
-                    lo = hi
-                cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [*cols, pa.array(out, pa.float64(), mask=np.isnan(out))], names=[*batch.schema.names[:-1], "_perplexity"]
-                )
-
-        kept = [F.col(f"`{c}`") for c in docs.columns]
-        schema = T.StructType([*docs.schema.fields, T.StructField("_perplexity", T.DoubleType())])
-        return docs.select(*kept, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
-
-
-def train(spark: SparkSession, docs: DataFrame, trusted: DataFrame, scratch: Scratch) -> Model:
-    """The model of the texts of all trusted documents."""
-    texts = scratch.keep(id_text(docs).join(trusted, "doc_id"), "trusted")
+                for row in range(batch.num_rows):
+                    heard = {"p": {}, "w": {}}
+                    for a in batch.column("answers")[row].as_py() or ():
+                        heard[a["kind"]][a["shard"]] = a["answer"]
+                    for _, part in _payloads([batch.slice(row, 1)]):
+                        yield scored(part, heard)
+
+        def scored(part: pa.RecordBatch, heard: dict) -> pa.RecordBatch:
+            block = _block(part)
+            w = Words(block.data, block.offsets)
+            sides = []
+            for kind, keys, numbers in (("p", np.unique(w.pair), 1), ("w", np.unique(np.append(w.word, np.uint64(0))), _WORD)):
+                got = [_unplanes(heard[kind][s], *["<u4"] * numbers) for s, _ in _by_shard(keys, shards)]
+                sides.append([keys, *(np.concatenate([g[k] for g in got]) if got else np.zeros(0, "<u4") for k in range(numbers))])
+            by_byte = np.zeros(len(block.data) + 1)
+            if len(block.data):
+                np.cumsum(logs.value[codes(block.data, block.offsets, classes)], dtype=np.float64, out=by_byte[1:])
+            # a word is spelled with the space that ends it; other spaces count as bytes
+            end = w.start + w.size
+            spell = by_byte[end + (end < block.offsets[w.doc + 1])] - by_byte[w.start]
+            own = part.column("_trusted").to_numpy(zero_copy_only=False)[w.doc]
+            size, n = np.diff(block.offsets), len(block)
+            letters = by_byte[block.offsets[1:]] - by_byte[block.offsets[:-1]]
+            total = letters + np.bincount(w.doc, word_logs(w, spell, own, *sides, levels) - spell, n)
+            cols = [part.column(c) for c in out_names]
+            cols += [pa.array(np.exp(-x / np.maximum(size, 1)), pa.float64(), mask=size == 0) for x in (total, letters)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(size.astype(np.int64), mask=block.nulls)], names=[*out_names, *added])
+
+        added = ["_perplexity", "_spelling", "_size"]
+        fields = [f for f in schema if f.name != "_text"]
+        fields += [T.StructField(c, t) for c, t in zip(added, (T.DoubleType(), T.DoubleType(), T.LongType()), strict=True)]
+        return kept.join(said, "block", "left").select("block", "payload", "answers").mapInArrow(run, T.StructType(fields))
+
+
+def train(spark: SparkSession, kept: DataFrame, scratch: Scratch, shards: int) -> Model:
+    """The model of the texts of all trusted rows in the blocks ``kept``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in _payloads(batches):
+            part = part.filter(part.column("_trusted"))
+            yield pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), part.column("_text")], names=["doc_id", "text"])
+
+    texts = kept.mapInArrow(read, "doc_id long, text string")
     classes = alphabet(byte_counts(texts))
-    shards = count_shards(texts, classes)
-    logs = log_table((r["shard"], r["counts"]) for r in shards.toLocalIterator())
-    scratch.drop(texts)
-    return Model(spark, classes, logs)
+    logs = log_table((r["shard"], r["counts"]) for r in count_shards(texts, classes).toLocalIterator())
+    said = scratch.keep(count_pairs(kept, shards), "pairs")
+    words = scratch.keep(count_words(said.where("kind = 'w'")), "words")
+    pairs = said.where("kind = 'p'")
+    levels = tuple([x or 0 for x in df.agg(*[F.sum(c) for c in _COC]).first()] for df in (pairs, words))
+    counted = pairs.unionByName(words).select("kind", "shard", "payload")
+    return Model(spark, classes, logs, shards, counted, levels)
 
 
 def steadied(perplexity: Column, size: Column, mean: float) -> Column:
@@ -215,39 +511,44 @@ def thresholds(own: DataFrame, langs: DataFrame, mean: float, quantile: float, s
 
 
 def judge(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float = 0.999, slack: float = 1.02
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float = 0.999, slack: float = 1.02, texts: bool = True
 ) -> DataFrame:
-    """``docs`` with _perplexity, _judged, _threshold and _kept.
+    """``docs`` with _perplexity, _judged, _threshold, the latter two of the spelling alone, and _kept.
 
     Trusted text: the documents of ``labels`` with quality 1.  Judged is the
     perplexity steadied by ``PRIOR``; the threshold is ``slack`` times that
     quantile of it over the trusted documents
     of the language (null is a language of its own), or of all languages
-    where it has under ``LEAST``.  A document without text has a null
+    where it has under ``LEAST``.  The same holds for the spelling, and a
+    document above either threshold is rejected.  A document without text has a null
     perplexity and is kept, as are all where there is no trusted text.  Rows
-    that repeat an id are judged each for itself.
+    that repeat an id are judged each for itself.  Without ``texts`` the
+    column ``text`` is left out.
     """
-    trusted = scratch.keep(trusted_ids(labels), "ids")
-    model = train(spark, docs, trusted, scratch)
-    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    scores = model.score(short).select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.octet_length("text").alias("size"))
-    scores = scratch.keep(scores, "scores")
-    own = scratch.keep(scores.join(trusted, "doc_id").where("perplexity IS NOT NULL"), "own")
-    mean = own.agg(F.sum(F.log("perplexity") * F.col("size")) / F.sum("size")).first()[0] or 0.0
-    limits = scratch.keep(thresholds(own, scores.select("lang").distinct(), mean, quantile, slack), "limits")
-    judged = model.score(docs).join(
-        limits.select(F.col("lang").alias("_lang"), F.col("threshold").alias("_threshold")),
-        F.col("lang").cast("string").eqNullSafe(F.col("_lang")),
-        "left",
-    )
-    judged = judged.withColumn("_judged", steadied(F.col("_perplexity"), F.octet_length(F.col("text").cast("string")), mean))
-    above = F.coalesce(F.col("_judged") > F.col("_threshold"), F.lit(False))
-    return judged.drop("_lang").withColumn("_kept", ~above)
+    trusted = scratch.keep(trusted_ids(labels).withColumnRenamed("doc_id", "_id"), "ids").withColumn("_yes", F.lit(True))
+    marked = docs.join(trusted, F.col("doc_id").cast("long") == F.col("_id"), "left")
+    kept_columns = [F.col(f"`{c}`") for c in docs.columns if texts or c != "text"]
+    marked = marked.select(*kept_columns, F.coalesce("_yes", F.lit(False)).alias("_trusted"), F.col("text").cast("string").alias("_text"))
+    kept = scratch.keep(text_blocks(marked), "blocks")
+    total = kept.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+    model = train(spark, kept, scratch, max(1, -(-total // SHARD)))
+    scores = scratch.keep(model.score(kept, marked.schema, scratch).withColumn("_lang", F.col("lang").cast("string")), "scores")
+    scratch.drop(kept)
+    langs = scores.select(F.col("_lang").alias("lang")).distinct()
+    judged, above = scores, F.lit(False)
+    for column, result, limit in (("_perplexity", "_judged", "_threshold"), ("_spelling", "_judged_spelling", "_threshold_spelling")):
+        own = scores.where(f"_trusted AND {column} IS NOT NULL").select(F.col("_lang").alias("lang"), F.col(column).alias("perplexity"), F.col("_size").alias("size"))
+        mean = own.agg(F.sum(F.log("perplexity") * F.col("size")) / F.sum("size")).first()[0] or 0.0
+        limits = scratch.keep(thresholds(own, langs, mean, quantile, slack), "limits").select(F.col("lang").alias("_of"), F.col("threshold").alias(limit))
+        judged = judged.join(limits, F.col("_lang").eqNullSafe(F.col("_of")), "left").drop("_of")
+        judged = judged.withColumn(result, steadied(F.col(column), F.col("_size"), mean))
+        above |= F.coalesce(F.col(result) > F.col(limit), F.lit(False))
+    return judged.drop("_lang", "_trusted", "_size", "_spelling").withColumn("_kept", ~above)
 
 
 def op4_kneser_ney_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = judge(spark, docs, table(spark, sf_dir, "labels"), Scratch(spark, "lm"))
+    out = judge(spark, docs, table(spark, sf_dir, "labels"), Scratch(spark, "lm"), texts=False)
     return out.select(
         "doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_judged").alias("judged"), F.col("_threshold").alias("threshold"), F.col("_kept").alias("kept")
     )

@@ -209,6 +209,51 @@ def test_quality(spark, scratch):
     assert language_model.judge(spark, docs.limit(0), labels, scratch).count() == 0
 
 
+def test_quality_word_order(spark, scratch):
+    rnd = random.Random(7)
+    names = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(240)]
+    lines = [names[k : k + 12] for k in range(0, 240, 12)]  # words occur in one order only
+
+    def good():
+        return " ".join(" ".join(rnd.choice(lines)) for _ in range(20))
+
+    def mixed():
+        text = good().split()
+        rnd.shuffle(text)
+        return " ".join(text)
+
+    rows = [(k, good(), "de", "s", 1) for k in range(160)] + [(500 + k, mixed(), "de", "s", 1) for k in range(20)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(120)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r._kept for r in language_model.judge(spark, spark.createDataFrame(rows, DOCS), labels, scratch).collect()}
+    assert not any(out[500 + k] for k in range(20))
+    assert sum(out[k] for k in range(160)) >= 156
+
+    # a document's own counts are taken off: it scores as if it had not been counted
+    texts = [good().encode() for _ in range(30)]
+
+    def model(chosen):
+        data = np.frombuffer(b"".join(chosen), np.uint8)
+        w = language_model.Words(data, np.cumsum([0, *map(len, chosen)]))
+        pair, at, n = language_model.summed(w.pair, np.ones(len(w.pair), np.uint64))
+        left, word = w.left[at], w.word[at]
+        every = np.unique(np.concatenate([w.word, w.left]))
+        said = [np.array([(word == x).sum() for x in every])]
+        said += [np.array([f(n[left == x]) for x in every]) for f in (np.sum, *(lambda v, k=k: (np.minimum(v, 3) == k).sum() for k in (1, 2, 3)))]
+        return [pair, n], [every, *said]
+
+    w = language_model.Words(np.frombuffer(texts[0], np.uint8), np.array([0, len(texts[0])]))
+    spell, levels = np.full(len(w.word), -9.0), ([40, 20, 10, 5, 100], [30, 20, 10, 5, 80])
+
+    def got(chosen, own):
+        sides = []
+        for asked, (keys, *values) in zip((np.unique(w.pair), np.unique(np.append(w.word, np.uint64(0)))), model(chosen), strict=True):
+            sides.append([asked, *language_model.looked_up(asked, keys, *values)])
+        return language_model.word_logs(w, spell, np.full(len(w.word), own), *sides, levels)
+
+    assert np.allclose(got(texts, True), got(texts[1:], False))
+    assert not np.allclose(got(texts, False), got(texts[1:], False))
+
+
 # op5
 
 
