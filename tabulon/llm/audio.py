@@ -144,8 +144,8 @@ def matched(spark: SparkSession, prints: DataFrame, scratch: Scratch, every: int
     """Each recording of (rec_id, items) with its class and, for queries, its best match.
 
     Equal fingerprints are one class, named by its smallest id.  Queries are
-    the ids divisible by ``every``, against all other classes that share a
-    pair of neighbouring integers.  Recordings without a fingerprint have no
+    the ids divisible by ``every``, against all other classes that share an
+    integer: without one there is no alignment, so no match is left out.  Recordings without a fingerprint have no
     class.
     """
     prints = scratch.keep(prints, "prints")
@@ -157,7 +157,7 @@ def matched(spark: SparkSession, prints: DataFrame, scratch: Scratch, every: int
             ids, keys, asks = [], [], []
             for ident, raw, ask in zip(*(batch.column(c).to_pylist() for c in ("class_id", "items", "asks")), strict=True):
                 x = np.frombuffer(raw, "<u4").astype(np.int64)
-                own = np.unique((x[:-1] << 32) ^ x[1:]) if len(x) > 1 else x
+                own = np.unique(x)
                 ids.append(np.full(len(own), ident))
                 keys.append(own)
                 asks.append(np.full(len(own), ask))

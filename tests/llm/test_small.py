@@ -120,6 +120,31 @@ def test_audio(spark, scratch):
     assert (audio.packed(frames)[0] >> np.uint32(2 * (15 - 4))) & 3 == audio.GRAY[level]
 
 
+def test_audio_recall(spark, scratch):
+    rng = np.random.default_rng(11)
+    base = [rng.normal(size=64) for _ in range(12)]
+    played = [audio.tune(list(v)) for v in base]
+
+    def altered(wav, skip, noise):
+        head, x = wav[:44], np.frombuffer(wav[44:], "<i2")[skip:].astype(float)
+        x = np.clip(x + rng.normal(size=len(x)) * noise * 32767, -32768, 32767).astype("<i2").tobytes()
+        return head[:4] + (36 + len(x)).to_bytes(4, "little") + head[8:40] + len(x).to_bytes(4, "little") + x
+
+    rows = [(20 * k, w) for k, w in enumerate(played)]
+    rows += [(1000 + 20 * k + j, altered(w, skip, noise)) for k, w in enumerate(played) for j, (skip, noise) in enumerate([(100, 0), (250, 0), (0, 0.2), (150, 0.1)], 1)]
+    prints = {k: audio.fingerprint(w) for k, w in rows}
+    want, alone = {}, 0
+    for q in range(0, 240, 20):
+        for r in prints:
+            m = audio.align(prints[q], prints[r]) if r != q else None
+            if m and m[1] >= audio.LEAST_OVERLAP and m[2] <= audio.MOST_ERROR:
+                want[q] = want.get(q, 0) + 1
+                pairs = [set(zip(x.tolist(), x[1:].tolist())) for x in (prints[q], prints[r])]
+                alone += not pairs[0] & pairs[1]
+    got = audio.matched(spark, audio.fingerprints(spark.createDataFrame(rows, "rec_id long, audio binary"), "rec_id", "audio"), scratch).where("asked").collect()
+    assert alone and {r.rec_id: r.n_matches for r in got if r.n_matches} == want
+
+
 # op3
 
 
