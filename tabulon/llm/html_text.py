@@ -30,7 +30,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_STOP = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
+_SCREEN = re.compile(r"(?:only\s+)?(?:all|screen)", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _SELECTOR = re.compile(r"^([a-z][a-z0-9-]*)?(?:\.([\w-]+)|#([\w-]+))?$", re.I)
 _HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)\b", re.I)
@@ -209,6 +210,11 @@ def parse(html: str) -> Node:
     return root
 
 
+def on_screen(media: str) -> bool:
+    """Whether a list of media holds for every screen; conditions on its size do not count as holding."""
+    return not media.strip() or any(_SCREEN.fullmatch(x.strip()) for x in media.split(","))
+
+
 class Sheet:
     """Which elements a page's own style sheets hide; simple selectors only."""
 
@@ -220,17 +226,52 @@ class Sheet:
             for x in node.children:
                 if isinstance(x, Node):
                     if x.tag == "style":
-                        self.read("".join(c for c in x.children if isinstance(c, str)))
+                        if on_screen(x.attrs.get("media", "")):
+                            self.read("".join(c for c in x.children if isinstance(c, str)))
                     else:
                         todo.append(x)
 
     def read(self, css: str) -> None:
-        for selectors, body in _RULE.findall(_COMMENT.sub("", css)):
-            if _HIDES.search(body) and "@" not in selectors:
+        css = _COMMENT.sub("", css)
+        head = at = 0
+        while stop := _STOP.search(css, at):
+            at = stop.end()
+            if stop[0] not in "{};":
+                continue
+            selectors = css[head : stop.start()].strip()
+            head = at
+            if stop[0] != "{":
+                continue
+            if selectors[:1] == "@":
+                name, _, given = selectors[1:].partition(" ")
+                if name.lower() == "layer" or (name.lower() == "media" and on_screen(given)):
+                    continue  # what is in it holds; its end is passed like any stray brace
+            body, at = self.block(css, at)
+            head = at
+            if selectors[:1] != "@" and _HIDES.search(body):
                 for s in selectors.split(","):
                     if (m := _SELECTOR.match(s.strip())) and s.strip():
                         self.rules.append((m[1] and m[1].lower(), m[2], m[3]))
 
+    @staticmethod
+    def block(css: str, at: int) -> tuple[str, int]:
+        """What a block that starts at ``at`` declares itself, and where it ends; nested blocks are left out."""
+        depth, parts, last = 1, [], at
+        while stop := _STOP.search(css, at):
+            at = stop.end()
+            if stop[0] == "{":
+                if depth == 1:  # what stands before the brace is a selector
+                    parts.append(css[last : css.rfind(";", last, stop.start()) + 1])
+                depth += 1
+            elif stop[0] == "}":
+                depth -= 1
+                if not depth:
+                    parts.append(css[last : stop.start()])
+                    return ";".join(parts), at
+                last = at
+        parts.append(css[last:] if depth == 1 else "")
+        return ";".join(parts), len(css)
+
     def hides(self, node: Node) -> bool:
         for tag, cls, ident in self.rules:
             if (

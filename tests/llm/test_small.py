@@ -95,6 +95,21 @@ def test_html_takes_anything(seed):
     html_text.visible_text("".join(rnd.choice(parts) for _ in range(rnd.randrange(200))))
 
 
+def test_html_at_rules():
+    def text(css, attrs=""):
+        return html_text.visible_text(f"<style{attrs}>{css}</style><p class=a>A</p><p class=b>B</p>").split()
+
+    assert text("@media print{.a{display:none}}") == ["A", "B"]
+    assert text("@media (max-width:600px){.x{color:red}.a{display:none}} .b{display:none}") == ["A"]
+    assert text("@supports (display:grid){@media screen{.a{display:none}}}") == ["A", "B"]
+    assert text("@media only screen{.x{color:red}.a{display:none}}") == ["B"]
+    assert text("@import url(x.css);.a{display:none}") == ["B"]
+    assert text(".a{color:red;@media print{display:none}}") == ["A", "B"]
+    assert text('.x::after{content:"}"}.a{display:none}') == ["B"]
+    assert text(".a{display:none}", " media=print") == ["A", "B"]
+    assert text("@media print{.a{display:none") == ["A", "B"]
+
+
 # op2
 
 
