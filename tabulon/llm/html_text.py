@@ -40,7 +40,9 @@ _HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 ESCAPABLE = frozenset("title textarea".split())
-NOT_SHOWN = frozenset("head script style template title iframe noembed noframes datalist object audio video canvas svg math".split())
+NOT_SHOWN = frozenset("head script style template title iframe noembed noframes datalist object audio video canvas annotation annotation-xml".split())
+#: What an svg element does not draw where it stands.
+SVG_ASIDE = frozenset("defs symbol desc metadata clippath mask pattern marker".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split()
@@ -192,7 +194,7 @@ def parse(html: str) -> Node:
                 parent = stack[-1]
             node = Node(tag, attrs)
             parent.children.append(node)
-            if tag in VOID:
+            if tag in VOID or (given.endswith("/") and any(x.tag in ("svg", "math") for x in (*stack, node))):
                 continue
             if tag in RAW or tag in ESCAPABLE:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(html, at)
@@ -353,6 +355,11 @@ def _into(node: Node, out: Lines, sheet: Sheet, depth: int) -> None:
             out.end_line(True)
         elif tag == "wbr":
             pass
+        elif tag == "svg":  # each label stands for itself
+            for label in _labels(x, sheet):
+                out.space = True
+                _into(label, out, sheet, depth)
+                out.space = True
         elif tag == "hr":
             out.block(2)
         elif tag in ("ul", "ol", "menu", "dir"):
@@ -416,10 +423,23 @@ def _plain(node: Node, sheet: Sheet) -> str:
         if isinstance(x, str):
             parts.append(x)
         elif shown(x, sheet):
-            parts.append("\n" if x.tag == "br" else _plain(x, sheet))
+            if x.tag == "svg":
+                parts.append(" ".join(_plain(label, sheet) for label in _labels(x, sheet)))
+            else:
+                parts.append("\n" if x.tag == "br" else _plain(x, sheet))
     return "".join(parts)
 
 
+def _labels(node: Node, sheet: Sheet) -> Iterator[Node]:
+    """The text labels of an svg element."""
+    for x in node.children:
+        if isinstance(x, Node) and x.tag not in SVG_ASIDE and shown(x, sheet):
+            if x.tag in ("text", "foreignobject"):
+                yield x
+            else:
+                yield from _labels(x, sheet)
+
+
 def _descend(node: Node, tag: str) -> Iterator[Node]:
     for x in node.children:
         if isinstance(x, Node):
@@ -458,38 +478,69 @@ def _list(node: Node, out: Lines, sheet: Sheet, depth: int) -> None:
             out.put(_lines(inner, sheet, depth + 1), "  ", "  ")
 
 
-def _rows(node: Node, sheet: Sheet) -> Iterator[Node]:
+def _holds(node: Node, tags: tuple[str, ...]) -> bool:
+    """Whether one of ``tags`` is below ``node``, but for those of a table within."""
+    return any(isinstance(x, Node) and x.tag != "table" and (x.tag in tags or _holds(x, tags)) for x in node.children)
+
+
+def _cells(row: Node, sheet: Sheet, stray: list) -> Iterator[Node]:
+    """The cells of a row, also those in wrappers; what else there is goes to ``stray``."""
+    for x in row.children:
+        if isinstance(x, str):
+            stray.append(x)
+        elif not shown(x, sheet):
+            continue
+        elif x.tag in ("td", "th"):
+            yield x
+        elif x.tag != "table" and _holds(x, ("td", "th")):
+            yield from _cells(x, sheet, stray)
+        else:
+            stray.append(x)
+
+
+def _rows(node: Node, sheet: Sheet, stray: list) -> Iterator[list[Node]]:
+    """The cells of each row of a table; what is in no cell goes to ``stray``."""
     for x in node.children:
-        if isinstance(x, Node) and shown(x, sheet):
-            if x.tag == "tr":
-                yield x
-            elif x.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(x, sheet)
+        if isinstance(x, str):
+            stray.append(x)
+        elif not shown(x, sheet) or x.tag in ("caption", "colgroup", "col"):
+            continue
+        elif x.tag == "tr":
+            yield list(_cells(x, sheet, stray))
+        elif x.tag in ("thead", "tbody", "tfoot") or (x.tag != "table" and _holds(x, ("tr",))):
+            yield from _rows(x, sheet, stray)
+        elif x.tag in ("td", "th"):
+            yield [x]
+        elif x.tag != "table" and _holds(x, ("td", "th")):
+            yield list(_cells(x, sheet, stray))
+        else:
+            stray.append(x)
 
 
 def _table(node: Node, out: Lines, sheet: Sheet, depth: int) -> None:
-    for x in node.children:  # captions and what does not belong in a table come first
+    stray: list[str | Node] = []
+    rows = list(_rows(node, sheet, stray))
+    # captions and what does not belong in a table come first
+    for x in [*stray, *(c for c in node.children if isinstance(c, Node) and c.tag == "caption" and shown(c, sheet))]:
         if isinstance(x, str):
             out.flow(x)
-        elif x.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col") and shown(x, sheet):
-            out.block(1)
-            if x.tag == "caption":
-                _into(x, out, sheet, depth)
-            else:
-                outer = Node("div", {})
-                outer.children.append(x)
-                _into(outer, out, sheet, depth)
-            out.block(1)
+            continue
+        out.block(1)
+        if x.tag == "caption":
+            _into(x, out, sheet, depth)
+        else:
+            outer = Node("div", {})
+            outer.children.append(x)
+            _into(outer, out, sheet, depth)
+        out.block(1)
     grid: list[dict[int, tuple[int, list[str]]]] = []
     below: dict[int, int] = {}  # columns that a cell from above still covers
-    for row in _rows(node, sheet):
+    for row in rows:
         cells: dict[int, tuple[int, list[str]]] = {}
         covered = {c for c, k in below.items() if k > 0}
         below = {c: k - 1 for c, k in below.items() if k > 1}
         col = 0
-        for x in row.children:
-            if not (isinstance(x, Node) and x.tag in ("td", "th")) or not shown(x, sheet):
-                continue
+        for x in row:
             while col in covered:
                 col += 1
             wide = min(max(_number(x.attrs.get("colspan"), 1), 1), 100)

@@ -95,6 +95,20 @@ def test_html_takes_anything(seed):
     html_text.visible_text("".join(rnd.choice(parts) for _ in range(rnd.randrange(200))))
 
 
+def test_html_all_of_a_table():
+    def text(html):
+        return html_text.visible_text(html).split()
+
+    assert text("<table><tr><form><td>Hello</td><td>you</td></form></tr></table>") == ["Hello", "you"]
+    assert text("<table><form><tr><td>a</td></tr></form><tr><td>b</table>") == ["a", "b"]
+    assert text("<table><tbody><p>note</p><tr><td>x</table>") == ["note", "x"]
+    assert text("<table><tr>stray<td>x</td> more<tr><td>y</table>") == ["stray", "more", "x", "y"]
+    assert text("<table><tr><div>in<table><tr><td>inner</table></div><td>x</table>") == ["in", "inner", "x"]
+    assert text("<p><math><mi>x</mi><mo> = </mo><mn>1</mn><annotation>tex</annotation></math>") == ["x", "=", "1"]
+    assert text("<svg><title>t</title><defs><text>no</text></defs><path d='M0'/><text>one</text><g><text>two</text></g></svg>") == ["one", "two"]
+    assert text("<svg/><p>after") == ["after"]
+
+
 def test_html_at_rules():
     def text(css, attrs=""):
         return html_text.visible_text(f"<style{attrs}>{css}</style><p class=a>A</p><p class=b>B</p>").split()
