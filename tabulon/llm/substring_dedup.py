@@ -644,16 +644,14 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated strings out of ``text``.
 
     A character that a removal has cut is left out; ``n_chars``, if there, is
-    counted anew where the text changed.
+    counted anew where the text changed.  Of rows that share an id, or have
+    none, each counts for itself.
     """
-    changed = remove_repeats(spark, docs, Scratch(spark, "spandocs"), texts=True).where("n_removed > 0")
-    changed = changed.groupBy(F.col("doc_id").alias("_id"), F.col("n_bytes").alias("_n"), F.col("crc").alias("_crc")).agg(F.min("kept").alias("_kept"))
-    changed = changed.withColumn("_kept", _decoded("_kept"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.octet_length(text) == F.col("_n")) & (F.crc32(text.cast("binary")) == F.col("_crc"))
-    )
-    joined = docs.join(changed, same, "left")
+    scratch = Scratch(spark, "spandocs")
+    keyed = _keyed(docs, scratch)
+    found = remove_repeats(spark, keyed.select(F.col("_key").alias("doc_id"), "text"), scratch, texts=True).where("n_removed > 0")
+    changed = found.select(F.col("doc_id").alias("_id"), _decoded("kept").alias("_kept"))
+    joined = keyed.join(changed, F.col("_key").eqNullSafe(F.col("_id")), "left")
     out = [F.coalesce("_kept", F.col("text").cast("string")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if "n_chars" in docs.columns:
         k = docs.columns.index("n_chars")
@@ -662,6 +660,19 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return joined.select(*out)
 
 
+def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with ``_key``, in the order of the ids and different for each row."""
+    ident = F.col("doc_id").cast("long")
+    if not docs.groupBy(F.coalesce(ident, F.lit(int(NULL_ID))).alias("_id")).count().where("count > 1").limit(1).count():
+        return docs.withColumn("_key", ident)
+    rows = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    order = rows.select("_row", ident.alias("_id")).orderBy(F.col("_id").asc_nulls_last(), "_row")
+    order = scratch.keep(order.select("_row", F.monotonically_increasing_id().alias("_key")), "order")
+    keyed = scratch.keep(rows.join(order, "_row").drop("_row"), "keyed")
+    scratch.drop(rows, order)
+    return keyed
+
+
 def _decoded(column: str):
     @F.pandas_udf("string")
     def decode(raw: pd.Series) -> pd.Series:

@@ -355,6 +355,19 @@ def test_repeats_in_documents(spark, scratch):
     assert substring_dedup.remove_repeats(spark, docs.limit(0), scratch).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 2])
+def test_repeated_rows_keep_one_copy(spark, parts):
+    rnd = random.Random(9)
+    a, b, c = (" ".join(str(rnd.random()) for _ in range(12)) for _ in range(3))
+    rows = [(5, a, "x", "s", 1), (5, a, "y", "s", 1), (None, b, "x", "s", 1), (None, b, "y", "s", 1), (7, c, "x", "s", 1), (3, c, "y", "s", 1)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), DOCS)
+    got = substring_dedup.without_repeats(spark, docs)
+    assert got.columns == docs.columns
+    got = got.collect()
+    assert len(got) == 6 and sorted(r.text for r in got) == sorted([a, b, c, "", "", ""])
+    assert {(r.doc_id, r.text) for r in got if r.doc_id in (3, 7)} == {(3, c), (7, "")}
+
+
 # op6
 
 
