@@ -1,22 +1,22 @@
 """Operator 4: quality by the perplexity of a Kneser-Ney model of trusted text.
 
-The model is an interpolated modified Kneser-Ney model over whole words, open
-to any word: pairs of words, then single words, then the spelling of a word.
-The spelling is a Kneser-Ney model of order 4 over the bytes of the text, in
-64 classes: the 62 most frequent bytes of the trusted text, the start of a
-document, and all other bytes.  So no language needs a word list, invented
-words included.
-
-Counting: each task counts the pairs of words of its trusted documents and
-sends each shard (of the pair's hash) those it saw; what the shards found about
-single words, as left and as right side of a pair, is summed in shards of the
-word.  These counts grow with the trusted text and stay where they are:
-a block of documents sends each shard its distinct pairs and words and gets
-their counts back.  Only the bytes' table, of 64**4 cells at most, goes to all
-tasks.  A trusted document is judged by the counts of the others: its own are
-taken off.  A document's perplexity above the quantile of trusted documents of
-its language rejects it, and so does that of its spelling alone: words that
-never occurred hide odd letters from the first, few odd words hide in the second.
+The model is an interpolated modified Kneser-Ney model of order ``ORDER`` over
+the bytes of the text, so no language needs a word list, invented words
+included, and its n-grams reach from one word into the next.  An n-gram is its
+own key, a whole number: nothing is folded or hashed together.
+
+Documents are read in blocks.  A block gives its distinct n-grams and how often
+each occurs in trusted documents; these counts go to shards and are summed
+there.  A shard is named by the ``KEY`` bytes before the predicted one, so it
+holds whole contexts and whole continuations of all orders above ``KEY``; the
+lower orders have 256**KEY n-grams at most, come from the shards' sums and go
+to all of them.  Then each block sends the shards its distinct n-grams and gets
+their log-probabilities back.  What a shard is asked is dealt to several tasks
+where it is much, so no task grows with the corpus.
+
+One trusted document in ``HELD``, by a hash of its id, is not counted.  The
+thresholds are quantiles of the perplexity of these held-out documents, by
+language; a document above that of its language is rejected.
 """
 
 from __future__ import annotations
@@ -33,177 +33,80 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, blocks, mix64, table, text_block
+from .common import Scratch, mix64, table, text_block
 
-CLASSES, ORDER = 64, 4
-CELLS = CLASSES**ORDER
-#: Trusted documents that a language needs for a threshold of its own.
+#: Bytes of an n-gram, and bytes before its last one that name a shard.
+ORDER, KEY = 6, 3
+#: One trusted document in so many is held out for the thresholds.
+HELD = 5
+#: Held-out documents that a language needs for a threshold of its own.
 LEAST = 30
-#: Bytes at the trusted text's mean that are added to each document before it
+#: Bytes at the held-out text's mean that are added to each document before it
 #: is judged: the perplexity of a few words says little about them.
 PRIOR = 100
-#: Bytes of compressed rows for each shard of the counts, about.
-SHARD = 4 << 20
+#: Bytes of text in a block, and compressed bytes of counts in a shard and of questions to a task, about.
+BLOCK, SHARD, ASKED = 12 << 20, 4 << 20, 64 << 20
+#: Bytes of text whose n-grams are held at once, and n-grams that a shard gathers before it sums them.
+WINDOW, PENDING = 4 << 20, 4 << 20
+#: Log-probabilities are sent in steps of 1 / STEPS, as 16 bits.
+STEPS = 2048
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def byte_counts(texts: DataFrame) -> np.ndarray:
-    """How often each byte occurs in ``texts``: 256 numbers for each task."""
+def _mask(order: int) -> np.uint64:
+    return np.uint64((1 << (8 * order)) - 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for block in blocks(batches):
-            total += np.bincount(block.data, minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
-
-    rows = texts.mapInArrow(run, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(256, np.int64)
-    for r in rows:
-        out[r["byte"]] = r["n"]
-    return out
-
-
-def alphabet(counts: np.ndarray) -> np.ndarray:
-    """The class of each byte; 0 is the start of a document, 63 any other byte."""
-    order = np.lexsort((np.arange(256), -counts))[: CLASSES - 2]
-    out = np.full(256, CLASSES - 1, np.uint8)
-    seen = order[counts[order] > 0]
-    out[seen] = np.arange(1, len(seen) + 1)
-    return out
 
-
-def codes(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The 4-gram that ends at each byte; before a document there are starts."""
-    c = classes[data].astype(np.uint32)
-    out = c.copy()
-    inner = np.ones(len(c), bool)
+def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first place, n-grams that end at it and the following ones); before a document there are zeros."""
     starts = offsets[:-1][np.diff(offsets) > 0]
-    for back in range(1, ORDER):
-        at = starts + back - 1
-        inner[at[at < len(c)]] = False
-        prev = np.zeros_like(c)
-        prev[back:] = c[:-back]
-        # a byte fewer than ``back`` places into its document has a start there
-        prev[~inner] = 0
-        out |= prev << np.uint32(6 * back)
-    return out
-
-
-def count_shards(texts: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(shard, counts): the summed counts of the 64**3 cells of each shard."""
-    per_shard = CELLS // CLASSES
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.uint32)
-        for block in blocks(batches, 8 << 20):
-            if len(block.data):
-                total += np.bincount(codes(block.data, block.offsets, classes), minlength=CELLS).astype(np.uint32)
-        shards, cells = [], []
-        for k in range(CLASSES):
-            own = total[k * per_shard : (k + 1) * per_shard]
-            at = np.flatnonzero(own)
-            if len(at):
-                shards.append(k)
-                cells.append(zlib.compress(np.concatenate([at.astype("<u4"), own[at]]).tobytes(), 1))
-        if shards:
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(cells, pa.binary())], names=["shard", "cells"])
-
-    def add(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(per_shard, np.uint64)
-        for frame in batches:
-            for raw in frame["cells"]:
-                both = np.frombuffer(zlib.decompress(raw), "<u4").reshape(2, -1)
-                total[both[0]] += both[1]
-        yield pd.DataFrame({"shard": [key[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    return texts.mapInArrow(run, "shard int, cells binary").groupBy("shard").applyInPandas(add, "shard int, counts binary")
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """The modified discounts for counts 1, 2 and more; from the counts of counts."""
-    n = [max(int((counts == k).sum()), 1) for k in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [k + 1 - (k + 2) * y * n[k + 1] / n[k] for k in range(3)]
-    return np.array([0.0, *(min(max(x, 0.1), k + 1.0) for k, x in enumerate(d))])
-
-
-def smoothed(counts: np.ndarray, lower: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Interpolated probabilities of the last axis given the others; ``lower`` lacks the first axis."""
-    kind = np.minimum(counts, 3).astype(np.uint8)
-    total = counts.sum(-1, keepdims=True, dtype=np.float64)
-    back = sum(d[k] * (kind == k).sum(-1, keepdims=True) for k in (1, 2, 3))
-    safe = np.maximum(total, 1)
-    p = (np.maximum(counts - d[kind], 0) + back * lower) / safe
-    return np.where(total > 0, p, lower)
-
-
-def log_table(shards: Iterator[tuple[int, bytes]]) -> np.ndarray:
-    """log p of every 4-gram, from the shards' counts."""
-    side = (CLASSES,) * ORDER
-    c4 = np.zeros(side, np.uint32)
-    for k, raw in shards:
-        c4[k] = np.minimum(np.frombuffer(zlib.decompress(raw), np.uint64), 0xFFFFFFFF).reshape(side[1:])
-    c3 = (c4 > 0).sum(0, dtype=np.int64)  # in how many contexts a 3-gram continues
-    c2 = (c3 > 0).sum(0, dtype=np.int64)
-    c1 = (c2 > 0).sum(0, dtype=np.int64)
-    p = np.full((), 1.0 / CLASSES)
-    for c in (c1, c2, c3):
-        p = smoothed(c, p, discounts(c))
-    d, out = discounts(c4), np.empty(side, np.float32)
-    for k in range(CLASSES):  # by shard, to hold one at a time as doubles
-        out[k] = np.log(smoothed(c4[k].astype(np.int64), p, d))
-    return out.reshape(-1)
-
-
-_IS_SPACE = np.isin(np.arange(256), [0x20, *range(9, 14)])
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of a hash of a word or pair.
-BITS = 48
-
-
-def pair_of(left: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(left * _BASE + mix64(word)) >> np.uint64(64 - BITS)
-
+    for lo in range(0, len(data), WINDOW):
+        hi, first = min(lo + WINDOW, len(data)), max(lo - ORDER + 1, 0)
+        part = data[first:hi].astype(np.uint64)
+        out = part.copy()
+        for back in range(1, ORDER):
+            out[back:] |= part[:-back] << np.uint64(8 * back)
+        near = starts[np.searchsorted(starts, first) : np.searchsorted(starts, hi)] - first
+        for k in range(ORDER - 1):  # the k-th byte of a document has k before it
+            at = near + k
+            out[at[at < len(out)]] &= _mask(k + 1)
+        yield lo, out[lo - first :]
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of sorted keys, and how many there are of each."""
+    new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[new], np.diff(np.append(new, len(keys)))
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    new = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    return k[new], np.add.reduceat(counts[order], new) if len(k) else counts
 
-class Words:
-    """The words of some documents, in order: hash, the pair with the word before, document, first byte and size.
 
-    The word before the first one of a document is 0.
-    """
-
-    __slots__ = ("word", "left", "pair", "doc", "start", "size")
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        inner = ~_IS_SPACE[data]
-        first = inner.copy()
-        first[1:] &= ~inner[:-1]
-        begins = offsets[:-1][np.diff(offsets) > 0]
-        first[begins] = inner[begins]
-        self.start = np.flatnonzero(first)
-        self.doc = np.searchsorted(offsets, self.start, side="right") - 1
-        if not len(self.start):
-            self.size = self.start
-            self.word = self.left = self.pair = np.zeros(0, np.uint64)
-            return
-        self.size = np.add.reduceat(inner.astype(np.int64), self.start)
-        at = np.cumsum(self.size) - self.size
-        power = np.cumprod(np.full(int(self.size.max()), _BASE))
-        place = np.arange(int(self.size.sum())) - np.repeat(at, self.size)
-        h = np.add.reduceat(_BYTE[data[inner]] * power[place], at) + self.size.astype(np.uint64)
-        self.word = np.maximum(mix64(h) >> np.uint64(64 - BITS), np.uint64(1))
-        self.left = np.zeros_like(self.word)
-        self.left[1:] = self.word[:-1]
-        self.left[np.append(True, self.doc[1:] != self.doc[:-1])] = 0
-        self.pair = pair_of(self.left, self.word)
+def distinct(data: np.ndarray, offsets: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of some documents, sorted, and how often each is in those that are ``counted``."""
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for lo, codes in grams(data, offsets):
+        here = np.repeat(counted, np.diff(np.clip(offsets, lo, lo + len(codes))))
+        unique, _ = runs(np.sort(codes))
+        own, n = runs(np.sort(codes[here]))
+        count = np.zeros(len(unique), np.uint64)
+        count[np.searchsorted(unique, own)] = n
+        keys.append(unique)
+        counts.append(count)
+    return summed(np.concatenate(keys), np.concatenate(counts))
 
 
 def _planes(*arrays: np.ndarray) -> bytes:
     """Unsigned arrays of one length, byte by byte of equal weight."""
-    return zlib.compress(b"".join(np.ascontiguousarray(a).view("u1").reshape(len(a), -1).T.tobytes() for a in arrays), 1)
+    return zlib.compress(b"".join(np.ascontiguousarray(a).view("u1").reshape(len(a), -1).T.tobytes() for a in arrays if len(a)), 1)
 
 
 def _unplanes(raw: bytes, *kinds: str) -> list[np.ndarray]:
@@ -222,49 +125,101 @@ def _steps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=np.uint64(0))
 
 
-def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
-    """Shards are ranges of hashes; the slice of sorted ``keys`` in each."""
-    shard = (keys * np.uint64(shards)) >> np.uint64(BITS)
-    edges = np.append(np.flatnonzero(np.diff(shard, prepend=np.uint64(shards))), len(keys))
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        yield int(shard[lo]), slice(lo, hi)
+def _keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(raw, "<u8")[0], dtype=np.uint64)
 
 
-def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct keys, sorted, where each first occurs, and the sums of each of ``counts``."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    new = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    return k[new], order[new], *(np.add.reduceat(c[order], new) if len(k) else c for c in counts)
+def by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, places of its keys); the keys of a shard stay in order."""
+    context = (keys >> np.uint64(8)) & _mask(KEY)
+    shard = ((mix64(context) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    for places in np.split(order, cuts) if len(order) else ():
+        yield int(shard[places[0]]), places
 
 
-def _counts_of_counts(counts: np.ndarray) -> list[int]:
-    return [*(int((counts == k).sum()) for k in (1, 2, 3, 4)), len(counts)]
+def discounts(n: list[int]) -> np.ndarray:
+    """The modified discounts for counts 1, 2 and more, from the counts of the counts 1 to 4."""
+    n = [max(int(x), 1) for x in n]
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [k + 1 - (k + 2) * y * n[k + 1] / n[k] for k in range(3)]
+    return np.array([0.0, *(min(max(x, 0.1), k + 1.0) for k, x in enumerate(d))])
 
 
-_COC = ["n1", "n2", "n3", "n4", "n"]
-#: What is known of a word: pairs that end in it; and of those that start with it the sum and how many were seen once, twice, more often.
-_WORD = 5
+def counts_of_counts(counts: np.ndarray) -> list[int]:
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def discounts_of(n: list[int]) -> np.ndarray:
-    """As ``discounts``, from the counts of counts 1 to 4."""
-    n = [max(x, 1) for x in n[:4]]
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [k + 1 - (k + 2) * y * n[k + 1] / n[k] for k in range(3)]
-    return np.array([0.0, *(min(max(x, 0.1), k + 1.0) for k, x in enumerate(d))])
+class Level:
+    """The n-grams of one order, sorted, with their counts and what those of one context sum up to."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        self.codes, self.counts = codes, counts.astype(np.int64)
+        context = codes >> np.uint64(8)
+        new = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(codes) else np.zeros(0, np.int64)
+        self.contexts = context[new]
+        kind = np.minimum(self.counts, 3)
+        add = lambda x: np.add.reduceat(x, new) if len(new) else np.zeros(0, np.int64)
+        self.totals, self.kinds = add(self.counts), [add((kind == k).astype(np.int64)) for k in (1, 2, 3)]
+
+    def below(self, order: int) -> Level:
+        """The next lower order: in how many contexts each of its n-grams occurs."""
+        return Level(*np.unique(self.codes & _mask(order), return_counts=True))
+
+    def p(self, asked: np.ndarray, lower: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Interpolated probabilities of the ``asked`` n-grams; ``lower`` are those of the order below."""
+        count, total = _found(asked, self.codes, self.counts), _found(asked >> np.uint64(8), self.contexts, self.totals)
+        back = sum(d[k + 1] * _found(asked >> np.uint64(8), self.contexts, x) for k, x in enumerate(self.kinds))
+        p = (np.maximum(count - d[np.minimum(count, 3)], 0) + back * lower) / np.maximum(total, 1)
+        return np.where(total > 0, p, lower)
+
+
+def _found(asked: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values of the ``asked`` keys, 0 where there are none; ``keys`` are sorted."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], 0)
+
 
+def levels(codes: np.ndarray, counts: np.ndarray) -> list[Level]:
+    """A shard's orders above ``KEY``, the highest first."""
+    out = [Level(codes, counts)]
+    for order in range(ORDER - 1, KEY, -1):
+        out.append(out[-1].below(order))
+    return out
+
+
+def low_levels(codes: np.ndarray, counts: np.ndarray) -> list[tuple[Level, np.ndarray]]:
+    """The orders 1 to ``KEY`` with their discounts, from the continuation counts of order ``KEY``."""
+    out = [Level(codes, counts)]
+    for order in range(KEY - 1, 0, -1):
+        out.append(out[-1].below(order))
+    return [(x, discounts(counts_of_counts(x.counts))) for x in reversed(out)]
+
+
+def log_p(asked: np.ndarray, low: list[tuple[Level, np.ndarray]], high: list[Level], d: list[np.ndarray]) -> np.ndarray:
+    """log p of the last byte of each n-gram after the others; ``d`` are the discounts of ``high``."""
+    p = np.full(len(asked), 1 / 256)
+    for k, (level, own) in enumerate(low):
+        p = level.p(asked & _mask(k + 1), p, own)
+    for k in range(len(high) - 1, -1, -1):
+        p = high[k].p(asked & _mask(ORDER - k), p, d[k])
+    return np.log(p)
 
-def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    for batch in batches:
-        for row in range(batch.num_rows):
-            with pa.ipc.open_stream(batch.column("payload")[row].as_py()) as f:
-                for part in f:
-                    yield batch.column("block")[row].as_py(), part
+
+def _parts(raw: bytes) -> Iterator[pa.RecordBatch]:
+    with pa.ipc.open_stream(raw) as f:
+        yield from f
+
+
+def _block(part: pa.RecordBatch):
+    return text_block(pa.nulls(part.num_rows, pa.int64()), part.column("text"))
 
 
-def text_blocks(docs: DataFrame, most: int = 12 << 20) -> DataFrame:
-    """(block, payload): the rows of ``docs`` (with ``_text``) in blocks of about ``most`` bytes of text."""
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """(block, payload): the rows of ``docs`` in blocks of about ``BLOCK`` bytes of ``text``; a block is one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -280,15 +235,16 @@ def text_blocks(docs: DataFrame, most: int = 12 << 20) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
 
         for batch in batches:
-            ends = np.cumsum([x or 0 for x in pa.compute.binary_length(batch.column("_text")).to_pylist()]) if batch.num_rows else []
+            length = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(length, dtype=np.int64)
             lo = 0
             while lo < batch.num_rows:
                 before = int(ends[lo - 1]) if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(ends, before + most - size, side="right")))
+                hi = max(lo + 1, int(np.searchsorted(ends, before + BLOCK - size, side="right")))
                 held.append(batch.slice(lo, hi - lo))
                 size += int(ends[hi - 1]) - before
                 lo = hi
-                if size >= most or lo < batch.num_rows:
+                if size >= BLOCK or lo < batch.num_rows:
                     yield out()
                     held, size, number = [], 0, number + 1
         if held:
@@ -297,201 +253,155 @@ def text_blocks(docs: DataFrame, most: int = 12 << 20) -> DataFrame:
     return docs.mapInArrow(run, "block long, payload binary")
 
 
-def _block(part: pa.RecordBatch):
-    return text_block(pa.nulls(part.num_rows, pa.int64()), part.column("_text"))
+def _whole(raw: bytes) -> pa.RecordBatch:
+    return pa.Table.from_batches(list(_parts(raw))).combine_chunks().to_batches()[0]
 
 
-def count_pairs(kept: DataFrame, shards: int) -> DataFrame:
-    """(kind, shard, payload, counts of counts): of kind p a shard's pairs with their counts, of kind w what they say of words, by the word's shard."""
+def seen(blocks: DataFrame) -> DataFrame:
+    """(block, mark, keys, counts): a block's distinct n-grams and their counts; ``mark`` tells whether a block read again is the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in _payloads(batches):
-            part = part.filter(part.column("_trusted"))
-            block = _block(part)
-            w = Words(block.data, block.offsets)
-            pair, at, n = summed(w.pair, np.ones(len(w.pair), np.uint32))
-            rows = []
-            for s, k in _by_shard(pair, shards):
-                left, word = w.left[at[k]], w.word[at[k]]
-                order = np.argsort(left)
-                rows.append((s, _planes(_steps(left[order]), word[order], n[k][order].astype("<u4"))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "payload"])
-
-    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        got = [_unplanes(raw, "<u8", "<u8", "<u4") for raw in frame["payload"]]
-        left = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
-        word, n = (np.concatenate([g[k] for g in got]) for k in (1, 2))
-        pair, at, n = summed(pair_of(left, word), n.astype(np.uint64))
-        left, word = left[at], word[at]
-        rows = [("p", key[0], _planes(_steps(pair), n.astype("<u4")), *_counts_of_counts(n))]
-        zero, kind = np.zeros_like(n), np.minimum(n, 3)
-        said = [np.concatenate([zero, x]) for x in (n, *((kind == k).astype(np.uint64) for k in (1, 2, 3)))]
-        both, _, *sums = summed(np.concatenate([word, left]), np.concatenate([zero + np.uint64(1), zero]), *said)
-        rows += [("w", s, _planes(_steps(both[k]), *(x[k].astype("<u4") for x in sums)), 0, 0, 0, 0, 0) for s, k in _by_shard(both, shards)]
-        return pd.DataFrame(rows, columns=["kind", "shard", "payload", *_COC])
-
-    schema = "kind string, shard int, payload binary, " + ", ".join(f"{c} long" for c in _COC)
-    return kept.mapInArrow(run, "shard int, payload binary").groupBy("shard").applyInPandas(add, schema)
-
-
-def count_words(said: DataFrame) -> DataFrame:
-    """(kind, shard, payload, counts of counts) of kind w: the sums of what the pairs' shards say of a word."""
-
-    def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        got = [_unplanes(raw, "<u8", *["<u4"] * _WORD) for raw in frame["payload"]]
-        sums = [np.concatenate([g[k] for g in got]).astype(np.uint64) for k in range(1, _WORD + 1)]
-        word, _, *sums = summed(np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got]), *sums)
-        known = sums[0][sums[0] > 0]
-        return pd.DataFrame([("w", key[0], _planes(_steps(word), *(x.astype("<u4") for x in sums)), *_counts_of_counts(known))], columns=["kind", "shard", "payload", *_COC])
-
-    return said.groupBy("shard").applyInPandas(add, said.schema)
-
-
-def looked_up(asked: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """The values of the ``asked`` keys, 0 where there are none; ``keys`` are sorted."""
-    at = np.searchsorted(keys, asked)
-    found = at < len(keys)
-    found[found] = keys[at[found]] == asked[found]
-    out = []
-    for v in values:
-        x = np.zeros(len(asked), "<u4")
-        x[found] = v[at[found]]
-        out.append(x)
-    return out
+        for batch in batches:
+            for number, raw in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                part = _whole(raw)
+                block = _block(part)
+                keys, counts = distinct(block.data, block.offsets, part.column("counted").to_numpy(zero_copy_only=False))
+                row = (number, zlib.crc32(raw), _planes(_steps(keys)), _planes(counts.astype("<u4")))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "mark", "keys", "counts"]
+                )
 
+    return blocks.mapInArrow(run, "block long, mark long, keys binary, counts binary")
 
-def word_logs(w: Words, spell: np.ndarray, own: np.ndarray, pairs: list, words: list, levels: tuple) -> np.ndarray:
-    """log p of each word after the one before it.
 
-    ``spell``: log p of its spelling.  ``own``: whether its document was
-    counted; then the document's own counts are taken off.  ``pairs``: sorted
-    hashes and counts; ``words``: sorted hashes and the five numbers.
-    ``levels``: counts of counts of pairs and of words.
-    """
-    coc2, coc1 = levels
-    d2, d1 = discounts_of(coc2), discounts_of(coc1)
-    distinct = float(coc2[4])
-    spare = float(d1[1] * coc1[0] + d1[2] * coc1[1] + d1[3] * (coc1[4] - coc1[0] - coc1[1]))
-    if not distinct:
-        return spell
-    at2, at1, atl = np.searchsorted(pairs[0], w.pair), np.searchsorted(words[0], w.word), np.searchsorted(words[0], w.left)
-    c2, c1 = pairs[1][at2].astype(np.int64), words[1][at1].astype(np.int64)
-    total, *kinds = (words[k][atl].astype(np.int64) for k in range(2, _WORD + 1))
-    mine = np.flatnonzero(own)
-    if len(mine):
-        doc = w.doc[mine]
-        key, first, back, m = np.unique(doc * len(pairs[0]) + at2[mine], return_index=True, return_inverse=True, return_counts=True)
-        before = c2[mine][first]
-        after = np.maximum(before - m, 0)
-        _, of_left = np.unique((doc * len(words[0]) + atl[mine])[first], return_inverse=True)
-        c2[mine] = after[back]
-        total[mine] -= np.bincount(of_left, m)[of_left][back].astype(np.int64)
-        for k in (1, 2, 3):
-            moved = (np.minimum(after, 3) == k).astype(np.int64) - (np.minimum(before, 3) == k)
-            kinds[k - 1][mine] += np.bincount(of_left, moved)[of_left][back].astype(np.int64)
-        _, of_word = np.unique((doc * len(words[0]) + at1[mine])[first], return_inverse=True)
-        c1[mine] -= np.bincount(of_word, after == 0)[of_word][back].astype(np.int64)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        low = np.logaddexp(np.log(np.maximum(c1 - d1[np.minimum(c1, 3)], 0)), np.log(spare) + spell) - np.log(distinct)
-        left = sum(d2[k + 1] * x for k, x in enumerate(kinds))
-        high = np.logaddexp(np.log(np.maximum(c2 - d2[np.minimum(c2, 3)], 0)), np.log(left) + low) - np.log(total)
-    return np.where(total > 0, high, low)
+def count(found: DataFrame, shards: int) -> DataFrame:
+    """(shard, payload, low, sizes): a shard's n-grams with their counts, the continuation counts of order ``KEY``, and counts of counts by order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, raw_counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                keys, counts = _keys(raw), _unplanes(raw_counts, "<u4")[0]
+                keys, counts = keys[counts > 0], counts[counts > 0]
+                rows = [(s, _planes(_steps(keys[at]), counts[at])) for s, at in by_shard(keys, shards)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "payload"])
+
+    def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, counts, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
+        for frame in frames:
+            for raw in frame["payload"]:
+                steps, n = _unplanes(raw, "<u8", "<u4")
+                keys.append(np.cumsum(steps, dtype=np.uint64))
+                counts.append(n.astype(np.uint64))
+                size += len(n)
+                if size > PENDING:
+                    k, c = summed(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts, size = [k], [c], 0
+        k, c = summed(np.concatenate(keys), np.concatenate(counts))
+        own = levels(k, c)
+        low = own[-1].below(KEY)
+        sizes = [x for level in own for x in counts_of_counts(level.counts)]
+        raw_low = _planes(_steps(low.codes), low.counts.astype("<u4"))
+        yield pd.DataFrame({"shard": [key[0]], "payload": [_planes(_steps(k), c.astype("<u8"))], "low": [raw_low], "sizes": [sizes]})
+
+    sent = found.mapInArrow(run, "shard int, payload binary")
+    return sent.groupBy("shard").applyInPandas(add, "shard int, payload binary, low binary, sizes array<long>")
 
 
 class Model:
-    """The counts of pairs and words, in shards, and the table of bytes."""
+    """The counts in their shards, and what all shards have in common."""
+
+    def __init__(self, spark: SparkSession, found: DataFrame, scratch: Scratch):
+        total = found.agg(F.sum(F.octet_length("keys")), F.sum(F.octet_length("counts"))).first()
+        asked, counted = (x or 0 for x in total)
+        self.shards = max(1, -(-(asked + counted) // SHARD) if asked + counted < 64 * SHARD else 64 + (asked + counted) // (64 * SHARD))
+        self.counted = scratch.keep(count(found, self.shards), "counts")
+        # tasks that share the questions to one shard
+        self.salts = max(1, -(-asked // (self.shards * ASKED)))
+        low = np.zeros(1 << (8 * KEY), np.uint32)  # 64 MB at most, whatever the input
+        sizes = np.zeros(4 * (ORDER - KEY), np.int64)
+        for row in self.counted.select("low", "sizes").toLocalIterator():
+            steps, n = _unplanes(row["low"], "<u8", "<u4")
+            low[np.cumsum(steps, dtype=np.uint64).astype(np.int64)] += n
+            sizes += np.array(row["sizes"])
+        self.known = bool(low.any())
+        d = [discounts(sizes[4 * k : 4 * k + 4]) for k in range(ORDER - KEY)]
+        codes = np.flatnonzero(low).astype(np.uint64)
+        self.shared = spark.sparkContext.broadcast((codes, low[codes.astype(np.int64)], d)) if self.known else None
+
+    def answers(self, found: DataFrame) -> DataFrame:
+        """(block, mark, answers): the log-probabilities of each block's n-grams, by shard."""
+        shards, salts, shared = self.shards, self.salts, self.shared
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number, mark, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "mark", "keys")), strict=True):
+                    keys = _keys(raw)
+                    rows = [(number, mark, s, mark % salts, _planes(_steps(keys[at]))) for s, at in by_shard(keys, shards)]
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["block", "mark", "shard", "salt", "asked"])
+
+        def answer(key: tuple, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            if len(own):
+                steps, n = _unplanes(own["payload"].iloc[0], "<u8", "<u8")
+                high = levels(np.cumsum(steps, dtype=np.uint64), n)
+            else:
+                high = levels(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+            *lowest, d = shared.value
+            low, out = low_levels(*lowest), []
+            for raw in asked["asked"]:
+                out.append(_planes(np.clip(np.round(-STEPS * log_p(_keys(raw), low, high, d)), 0, 65535).astype("<u2")))
+            return pd.DataFrame({"block": asked["block"], "mark": asked["mark"], "shard": key[0], "answer": out})
+
+        asks = found.select("block", "mark", "keys").mapInArrow(ask, "block long, mark long, shard int, salt int, asked binary")
+        own = self.counted.select("shard", "payload", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        said = asks.groupBy("shard", "salt").cogroup(own.groupBy("shard", "salt")).applyInPandas(answer, "block long, mark long, shard int, answer binary")
+        return said.groupBy("block", "mark").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))
+
+
+def doc_logs(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """The summed log-probabilities of each document; ``keys`` are sorted n-grams with their ``logs``."""
+    out = np.zeros(len(offsets) - 1)
+    most = 1 << (64 - 8 * ORDER)  # documents whose number fits beside an n-gram
+    for lo, codes in grams(data, offsets):
+        first = int(np.searchsorted(offsets, lo, side="right")) - 1
+        last = int(np.searchsorted(offsets, lo + len(codes), side="left"))
+        for d in range(first, last, most):
+            edges = np.clip(offsets[d : min(d + most, last) + 1], lo, lo + len(codes)) - lo
+            size = np.diff(edges)
+            doc = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+            both = np.sort((codes[edges[0] : edges[-1]] << np.uint64(64 - 8 * ORDER)) | doc)
+            unique, n = runs(both >> np.uint64(64 - 8 * ORDER))
+            of = np.repeat(logs[np.searchsorted(keys, unique)], n)
+            out[d : d + len(size)] += np.bincount((both & np.uint64(most - 1)).astype(np.int64), of, len(size))
+    return out
 
-    def __init__(self, spark: SparkSession, classes: np.ndarray, logs: np.ndarray, shards: int, counted: DataFrame, levels: tuple):
-        self.classes, self.shards, self.counted, self.levels = classes, shards, counted, levels
-        self.logs = spark.sparkContext.broadcast(logs)  # 64 MB, whatever the input
 
-    def score(self, kept: DataFrame, schema: T.StructType, scratch: Scratch) -> DataFrame:
-        """The rows of ``kept`` (of ``schema``) with ``_perplexity`` (per byte; null without text), that of the spelling alone and the size."""
-        classes, logs, shards, levels = self.classes, self.logs, self.shards, self.levels
-        out_names = [f.name for f in schema if f.name != "_text"]
+def scored(blocks: DataFrame, found: DataFrame, model: Model, schema: T.StructType, texts: bool) -> DataFrame:
+    """The rows of the blocks (of ``schema``) with perplexity (per byte; null without text) and size (null for null)."""
+    shards = model.shards
+    names = [f.name for f in schema if texts or f.name != "text"]
 
-        def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for number, part in _payloads(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                raw = batch.column("payload")[row].as_py()
+                if batch.column("mark")[row].as_py() != zlib.crc32(raw):
+                    raise RuntimeError("the documents were not the same when they were read again")
+                part = _whole(raw)
+                keys = _keys(batch.column("keys")[row].as_py())
+                heard = {a["shard"]: a["answer"] for a in batch.column("answers")[row].as_py() or ()}
+                logs = np.zeros(len(keys))
+                for s, at in by_shard(keys, shards):
+                    logs[at] = _unplanes(heard[s], "<u2")[0] / -STEPS
                 block = _block(part)
-                w = Words(block.data, block.offsets)
-                rows = []
-                for kind, keys in (("p", np.unique(w.pair)), ("w", np.unique(np.append(w.word, np.uint64(0))))):
-                    rows += [(number, kind, s, _planes(_steps(keys[k]))) for s, k in _by_shard(keys, shards)]
-                kinds = (pa.int64(), pa.string(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["block", "kind", "shard", "payload"])
-
-        def answers(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-            kind, shard = key
-            numbers = 1 if kind == "p" else _WORD
-            if len(known):
-                keys, *values = _unplanes(known["payload"].iloc[0], "<u8", *["<u4"] * numbers)
-                keys = np.cumsum(keys, dtype=np.uint64)
-            else:
-                keys, values = np.zeros(0, np.uint64), [np.zeros(0, "<u4")] * numbers
-            out = []
-            for raw in asked["payload"]:
-                want = np.cumsum(_unplanes(raw, "<u8")[0], dtype=np.uint64)
-                out.append(_planes(*looked_up(want, keys, *values)))
-            return pd.DataFrame({"block": asked["block"], "kind": kind, "shard": shard, "answer": out})
-
-        asked = kept.mapInArrow(asks, "block long, kind string, shard int, payload binary")
-        said = asked.groupBy("kind", "shard").cogroup(self.counted.groupBy("kind", "shard"))
-        said = said.applyInPandas(answers, "block long, kind string, shard int, answer binary")
-        said = said.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "answer")).alias("answers"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    heard = {"p": {}, "w": {}}
-                    for a in batch.column("answers")[row].as_py() or ():
-                        heard[a["kind"]][a["shard"]] = a["answer"]
-                    for _, part in _payloads([batch.slice(row, 1)]):
-                        yield scored(part, heard)
-
-        def scored(part: pa.RecordBatch, heard: dict) -> pa.RecordBatch:
-            block = _block(part)
-            w = Words(block.data, block.offsets)
-            sides = []
-            for kind, keys, numbers in (("p", np.unique(w.pair), 1), ("w", np.unique(np.append(w.word, np.uint64(0))), _WORD)):
-                got = [_unplanes(heard[kind][s], *["<u4"] * numbers) for s, _ in _by_shard(keys, shards)]
-                sides.append([keys, *(np.concatenate([g[k] for g in got]) if got else np.zeros(0, "<u4") for k in range(numbers))])
-            by_byte = np.zeros(len(block.data) + 1)
-            if len(block.data):
-                np.cumsum(logs.value[codes(block.data, block.offsets, classes)], dtype=np.float64, out=by_byte[1:])
-            # a word is spelled with the space that ends it; other spaces count as bytes
-            end = w.start + w.size
-            spell = by_byte[end + (end < block.offsets[w.doc + 1])] - by_byte[w.start]
-            own = part.column("_trusted").to_numpy(zero_copy_only=False)[w.doc]
-            size, n = np.diff(block.offsets), len(block)
-            letters = by_byte[block.offsets[1:]] - by_byte[block.offsets[:-1]]
-            total = letters + np.bincount(w.doc, word_logs(w, spell, own, *sides, levels) - spell, n)
-            cols = [part.column(c) for c in out_names]
-            cols += [pa.array(np.exp(-x / np.maximum(size, 1)), pa.float64(), mask=size == 0) for x in (total, letters)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(size.astype(np.int64), mask=block.nulls)], names=[*out_names, *added])
-
-        added = ["_perplexity", "_spelling", "_size"]
-        fields = [f for f in schema if f.name != "_text"]
-        fields += [T.StructField(c, t) for c, t in zip(added, (T.DoubleType(), T.DoubleType(), T.LongType()), strict=True)]
-        return kept.join(said, "block", "left").select("block", "payload", "answers").mapInArrow(run, T.StructType(fields))
-
-
-def train(spark: SparkSession, kept: DataFrame, scratch: Scratch, shards: int) -> Model:
-    """The model of the texts of all trusted rows in the blocks ``kept``."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part in _payloads(batches):
-            part = part.filter(part.column("_trusted"))
-            yield pa.RecordBatch.from_arrays([pa.nulls(part.num_rows, pa.int64()), part.column("_text")], names=["doc_id", "text"])
-
-    texts = kept.mapInArrow(read, "doc_id long, text string")
-    classes = alphabet(byte_counts(texts))
-    logs = log_table((r["shard"], r["counts"]) for r in count_shards(texts, classes).toLocalIterator())
-    said = scratch.keep(count_pairs(kept, shards), "pairs")
-    words = scratch.keep(count_words(said.where("kind = 'w'")), "words")
-    pairs = said.where("kind = 'p'")
-    levels = tuple([x or 0 for x in df.agg(*[F.sum(c) for c in _COC]).first()] for df in (pairs, words))
-    counted = pairs.unionByName(words).select("kind", "shard", "payload")
-    return Model(spark, classes, logs, shards, counted, levels)
+                size, total = np.diff(block.offsets), doc_logs(block.data, block.offsets, keys, logs)
+                perplexity = pa.array(np.exp(-total / np.maximum(size, 1)), pa.float64(), mask=size == 0)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), perplexity, pa.array(size.astype(np.int64), mask=block.nulls)], names=[*names, "perplexity", "size"])
+
+    fields = [f for f in schema if f.name in names] + [T.StructField("perplexity", T.DoubleType()), T.StructField("size", T.LongType())]
+    said = found.select("block", "mark", "keys").join(model.answers(found), ["block", "mark"], "left")
+    met = blocks.join(said, "block", "left").select("block", "mark", "payload", "keys", "answers")
+    return met.mapInArrow(run, T.StructType(fields))
 
 
 def steadied(perplexity: Column, size: Column, mean: float) -> Column:
@@ -500,7 +410,7 @@ def steadied(perplexity: Column, size: Column, mean: float) -> Column:
 
 
 def thresholds(own: DataFrame, langs: DataFrame, mean: float, quantile: float, slack: float) -> DataFrame:
-    """(lang, threshold): one row per language of ``langs``, from trusted ``own`` (lang, perplexity, size)."""
+    """(lang, threshold): one row per language of ``langs``, from held-out ``own`` (lang, perplexity, size)."""
     q = F.percentile_approx(steadied(F.col("perplexity"), F.col("size"), mean), quantile, 100_000)
     pooled = own.agg(q).first()[0]
     per = own.groupBy("lang").agg(q.alias("own"), F.count("*").alias("n"))
@@ -510,50 +420,66 @@ def thresholds(own: DataFrame, langs: DataFrame, mean: float, quantile: float, s
     return langs.select("lang", (limit * slack).alias("threshold"))
 
 
-def judge(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float = 0.999, slack: float = 1.02, texts: bool = True
-) -> DataFrame:
-    """``docs`` with _perplexity, _judged, _threshold, the latter two of the spelling alone, and _kept.
+def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float, slack: float, texts: bool) -> DataFrame:
+    """(row, text, lang, ..., perplexity, judged, threshold, kept): ``row`` holds the columns of ``docs`` but for the text."""
+    trusted = scratch.keep(trusted_ids(labels).withColumnRenamed("doc_id", "trusted_id"), "ids")
+    ident = F.col("doc_id").cast("long")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    rows = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), ident.alias("id"))
+    marked = rows.join(trusted, F.col("id") == F.col("trusted_id"), "left")
+    out = F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(HELD)) == 0
+    known = F.col("trusted_id").isNotNull()
+    marked = marked.select("row", "text", "lang", (known & ~out).alias("counted"), (known & out).alias("held"))
+    blocks = text_blocks(marked)
+    found = scratch.keep(seen(blocks), "seen")
+    model = Model(spark, found, scratch)
+    if not model.known:
+        nothing = [F.lit(None).cast("double").alias(c) for c in ("perplexity", "judged", "threshold")]
+        return marked.select("row", "text", *nothing, F.lit(True).alias("kept"))
+    scores = scratch.keep(scored(blocks, found, model, marked.schema, texts), "scores")
+    scratch.drop(found)
+    own = scores.where("held AND perplexity IS NOT NULL").select("lang", "perplexity", "size")
+    mean = own.agg(F.sum(F.log("perplexity") * F.col("size")) / F.sum("size")).first()[0] or 0.0
+    limits = scratch.keep(thresholds(own, scores.select("lang").distinct(), mean, quantile, slack), "limits").withColumnRenamed("lang", "of")
+    both = scores.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("judged", steadied(F.col("perplexity"), F.col("size"), mean))
+    kept = ~F.coalesce(F.col("judged") > F.col("threshold"), F.lit(False))
+    return both.select("row", *(["text"] if texts else []), "perplexity", "judged", "threshold", kept.alias("kept"))
+
+
+#: Of the held-out documents' perplexity, and what the threshold is above it.
+QUANTILE, SLACK = 0.995, 1.02
+
+
+def _columns(docs: DataFrame, texts: bool = True) -> list[Column]:
+    """The columns of ``docs`` from the rows of ``judged``."""
+    own = lambda c: F.col("text").cast(docs.schema["text"].dataType) if c == "text" else F.col("row")[c]
+    return [own(c).alias(c) for c in docs.columns if texts or c != "text"]
+
+
+def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float = QUANTILE, slack: float = SLACK, texts: bool = True) -> DataFrame:
+    """``docs`` with _perplexity, _judged, _threshold and _kept.
 
     Trusted text: the documents of ``labels`` with quality 1.  Judged is the
     perplexity steadied by ``PRIOR``; the threshold is ``slack`` times that
-    quantile of it over the trusted documents
-    of the language (null is a language of its own), or of all languages
-    where it has under ``LEAST``.  The same holds for the spelling, and a
-    document above either threshold is rejected.  A document without text has a null
-    perplexity and is kept, as are all where there is no trusted text.  Rows
-    that repeat an id are judged each for itself.  Without ``texts`` the
-    column ``text`` is left out.
+    quantile of it over the held-out trusted documents of the language (null is
+    a language of its own), or of all languages where it has under ``LEAST``.
+    A document without text has a null perplexity and is kept, as are all where
+    there is no trusted text.  Rows that repeat an id are judged each for
+    itself; ties and an empty table need nothing.  A very long text is taken
+    in windows.  Without ``texts`` the column ``text`` is left out.  Other
+    columns may have any name; ``keep_good`` adds none.
     """
-    trusted = scratch.keep(trusted_ids(labels).withColumnRenamed("doc_id", "_id"), "ids").withColumn("_yes", F.lit(True))
-    marked = docs.join(trusted, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    kept_columns = [F.col(f"`{c}`") for c in docs.columns if texts or c != "text"]
-    marked = marked.select(*kept_columns, F.coalesce("_yes", F.lit(False)).alias("_trusted"), F.col("text").cast("string").alias("_text"))
-    kept = scratch.keep(text_blocks(marked), "blocks")
-    total = kept.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    model = train(spark, kept, scratch, max(1, -(-total // SHARD)))
-    scores = scratch.keep(model.score(kept, marked.schema, scratch).withColumn("_lang", F.col("lang").cast("string")), "scores")
-    scratch.drop(kept)
-    langs = scores.select(F.col("_lang").alias("lang")).distinct()
-    judged, above = scores, F.lit(False)
-    for column, result, limit in (("_perplexity", "_judged", "_threshold"), ("_spelling", "_judged_spelling", "_threshold_spelling")):
-        own = scores.where(f"_trusted AND {column} IS NOT NULL").select(F.col("_lang").alias("lang"), F.col(column).alias("perplexity"), F.col("_size").alias("size"))
-        mean = own.agg(F.sum(F.log("perplexity") * F.col("size")) / F.sum("size")).first()[0] or 0.0
-        limits = scratch.keep(thresholds(own, langs, mean, quantile, slack), "limits").select(F.col("lang").alias("_of"), F.col("threshold").alias(limit))
-        judged = judged.join(limits, F.col("_lang").eqNullSafe(F.col("_of")), "left").drop("_of")
-        judged = judged.withColumn(result, steadied(F.col(column), F.col("_size"), mean))
-        above |= F.coalesce(F.col(result) > F.col(limit), F.lit(False))
-    return judged.drop("_lang", "_trusted", "_size", "_spelling").withColumn("_kept", ~above)
+    out = judged(spark, docs, labels, scratch, quantile, slack, texts)
+    return out.select(*_columns(docs, texts), *[F.col(c).alias(f"_{c}") for c in ("perplexity", "judged", "threshold", "kept")])
 
 
 def op4_kneser_ney_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = judge(spark, docs, table(spark, sf_dir, "labels"), Scratch(spark, "lm"), texts=False)
-    return out.select(
-        "doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_judged").alias("judged"), F.col("_threshold").alias("threshold"), F.col("_kept").alias("kept")
-    )
+    out = judged(spark, docs, table(spark, sf_dir, "labels"), Scratch(spark, "lm"), QUANTILE, SLACK, False)
+    return out.select("row.doc_id", "row.lang", "perplexity", "judged", "threshold", "kept")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model keeps, with their columns."""
-    return judge(spark, docs, labels, Scratch(spark, "lmdocs")).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = judged(spark, docs, labels, Scratch(spark, "lmdocs"), QUANTILE, SLACK, True)
+    return out.where("kept").select(*_columns(docs))

@@ -203,52 +203,60 @@ def test_vectors(spark, scratch, monkeypatch):
 # op4
 
 
-def test_kneser_ney():
+def test_kneser_ney(monkeypatch):
+    """Every probability by the definition, over texts in windows, from several shards."""
+    monkeypatch.setattr(language_model, "WINDOW", 700)
     rng = np.random.default_rng(2)
-    old = language_model.CLASSES, language_model.CELLS
-    text = bytes(rng.integers(97, 101, 3000, dtype=np.uint8))
-    data, off = np.frombuffer(text, np.uint8), np.array([0, 1000, 1000, 3000])
-    classes = language_model.alphabet(np.bincount(data, minlength=256))
-    seen = Counter()
-    for a, b in zip(off[:-1], off[1:], strict=True):
-        doc = [0, 0, 0, *classes[data[a:b]].tolist()]
-        seen.update(tuple(doc[i : i + 4]) for i in range(len(doc) - 3))
-    got = Counter(language_model.codes(data, off, classes).tolist())
-    assert got == {a << 18 | b << 12 | c << 6 | d: n for (a, b, c, d), n in seen.items()}
-    shards = []
-    for k in range(64):
-        cells = np.zeros(64**3, np.uint64)
-        for (a, b, c, d), n in seen.items():
-            if a == k:
-                cells[b << 12 | c << 6 | d] = n
-        shards.append((k, zlib.compress(cells.tobytes())))
-    p = np.exp(language_model.log_table(iter(shards))).reshape(64, 64, 64, 64)
-    assert np.allclose(p[:6, :6, :6].sum(-1), 1, atol=1e-4)
-
-    # one probability by the definition
-    def level(counts, lower, d):
-        out = {}
-        for ctx in {g[:-1] for g in counts}:
-            total = sum(n for g, n in counts.items() if g[:-1] == ctx)
-            back = sum(d[min(n, 3)] for g, n in counts.items() if g[:-1] == ctx)
-            for w in range(64):
-                n = counts.get((*ctx, w), 0)
-                out[(*ctx, w)] = (max(n - d[min(n, 3)], 0) + back * lower.get((*ctx[1:], w), 1 / 64)) / total
-        return out
+    order, key = language_model.ORDER, language_model.KEY
+    text = bytes(rng.choice([97, 98, 99, 195], 3000, p=[0.5, 0.3, 0.15, 0.05]).astype(np.uint8))
+    data, off = np.frombuffer(text, np.uint8), np.array([0, 1000, 1000, 1003, 2000, 3000])
+    counted = np.array([True, True, False, True, False])
+    whole, seen, every = [], Counter(), []
+    for k, (a, b) in enumerate(zip(off[:-1], off[1:], strict=True)):
+        doc = [0] * (order - 1) + list(text[a:b])
+        own = [tuple(doc[i : i + order]) for i in range(b - a)]
+        every.append(own)
+        whole += own
+        if counted[k]:
+            seen.update(own)
+    code = lambda g: int.from_bytes(bytes(g), "big")
+    assert [int(x) for _, part in language_model.grams(data, off) for x in part] == [code(g) for g in whole]
+    keys, counts = language_model.distinct(data, off, counted)
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == {code(g): seen[g] for g in whole}
 
     tables = [dict(seen)]
-    for _ in range(3):
+    for _ in range(order - 1):
         tables.append(Counter(g[1:] for g in tables[-1]))
-    lower = {(w,): 1 / 64 for w in range(64)}
-    below = {}
-    for counts in reversed(tables):
-        n = [max(sum(v == k for v in counts.values()), 1) for k in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        d = [0, *(min(max(k + 1 - (k + 2) * y * n[k + 1] / n[k], 0.1), k + 1.0) for k in range(3))]
-        below = level(counts, below or {(): 1 / 64} | {(w,): 1 / 64 for w in range(64)}, d)
-    for g in list(seen)[:50]:
-        assert abs(below[g] - p[g]) < 1e-5
-    assert lower and old == (language_model.CLASSES, language_model.CELLS)
+    p = {}
+    for counts_of in reversed(tables):
+        d = language_model.discounts([sum(v == k for v in counts_of.values()) for k in (1, 2, 3, 4)])
+        context = {}
+        for g, n in counts_of.items():
+            total = context.setdefault(g[:-1], [0, 0.0])
+            total[0] += n
+            total[1] += d[min(n, 3)]
+        n = len(next(iter(counts_of)))
+        lower = p
+        p = {}
+        for g in {g[-n:] for g in whole}:
+            below = lower[g[1:]] if n > 1 else 1 / 256
+            total, back = context.get(g[:-1], (0, 0.0))
+            c = counts_of.get(g, 0)
+            p[g] = (max(c - d[min(c, 3)], 0) + back * below) / total if total else below
+
+    have = keys[counts > 0]
+    shards = [at for _, at in language_model.by_shard(have, 5)]
+    high = [language_model.levels(have[at], counts[counts > 0][at]) for at in shards]
+    lows = [x[-1].below(key) for x in high]
+    low = language_model.low_levels(*language_model.summed(np.concatenate([x.codes for x in lows]), np.concatenate([x.counts for x in lows])))
+    d = [language_model.discounts(np.sum([language_model.counts_of_counts(x[k].counts) for x in high], 0)) for k in range(order - key)]
+    own = {s: language_model.levels(have[at], counts[counts > 0][at]) for s, at in language_model.by_shard(have, 5)}
+    logs = np.zeros(len(keys))
+    for s, at in language_model.by_shard(keys, 5):
+        logs[at] = language_model.log_p(keys[at], low, own.get(s) or language_model.levels(have[:0], counts[:0]), d)
+    assert np.allclose(np.exp(logs), [p[tuple(int(k).to_bytes(order, "big"))] for k in keys])
+    got = language_model.doc_logs(data, off, keys, logs)
+    assert np.allclose(got, [sum(np.log(p[g]) for g in own) for own in every])
 
 
 def test_quality(spark, scratch):
@@ -282,30 +290,25 @@ def test_quality_word_order(spark, scratch):
     assert not any(out[500 + k] for k in range(20))
     assert sum(out[k] for k in range(160)) >= 156
 
-    # a document's own counts are taken off: it scores as if it had not been counted
-    texts = [good().encode() for _ in range(30)]
-
-    def model(chosen):
-        data = np.frombuffer(b"".join(chosen), np.uint8)
-        w = language_model.Words(data, np.cumsum([0, *map(len, chosen)]))
-        pair, at, n = language_model.summed(w.pair, np.ones(len(w.pair), np.uint64))
-        left, word = w.left[at], w.word[at]
-        every = np.unique(np.concatenate([w.word, w.left]))
-        said = [np.array([(word == x).sum() for x in every])]
-        said += [np.array([f(n[left == x]) for x in every]) for f in (np.sum, *(lambda v, k=k: (np.minimum(v, 3) == k).sum() for k in (1, 2, 3)))]
-        return [pair, n], [every, *said]
-
-    w = language_model.Words(np.frombuffer(texts[0], np.uint8), np.array([0, len(texts[0])]))
-    spell, levels = np.full(len(w.word), -9.0), ([40, 20, 10, 5, 100], [30, 20, 10, 5, 80])
-
-    def got(chosen, own):
-        sides = []
-        for asked, (keys, *values) in zip((np.unique(w.pair), np.unique(np.append(w.word, np.uint64(0)))), model(chosen), strict=True):
-            sides.append([asked, *language_model.looked_up(asked, keys, *values)])
-        return language_model.word_logs(w, spell, np.full(len(w.word), own), *sides, levels)
-
-    assert np.allclose(got(texts, True), got(texts[1:], False))
-    assert not np.allclose(got(texts, False), got(texts[1:], False))
+
+def test_quality_of_whole_texts(spark, scratch, monkeypatch):
+    """Blocks, windows, shards and shared questions change no perplexity; odd columns and long texts pass."""
+    rnd = random.Random(8)
+    rows = [(k, words(rnd, 30), "de", "s", 1) for k in range(150)] + [(200, words(rnd, 60_000), "fr", "s", 1), (None, "x", "de", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(7) for c in ("_text", "_perplexity", "perplexity", "row", "counted", "kept", "threshold", "block", "of")})
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(150)], "doc_id long, quality int, toxic int")
+
+    def got():
+        out = language_model.judge(spark, docs.select("doc_id", "text", "lang").repartition(3), labels, scratch).collect()
+        return {r.doc_id: (round(r._perplexity, 6), r._kept) for r in out}
+
+    whole = got()
+    for name, value in (("BLOCK", 3000), ("WINDOW", 1000), ("SHARD", 500), ("ASKED", 2000), ("PENDING", 50)):
+        monkeypatch.setattr(language_model, name, value)
+    parts = got()
+    assert whole.keys() == parts.keys() and all(abs(whole[k][0] - parts[k][0]) < 1e-3 and whole[k][1] == parts[k][1] for k in whole)
+    out = language_model.keep_good(spark, docs, labels)
+    assert out.dtypes == docs.dtypes and 140 <= out.count() <= len(rows) and {r.kept for r in out.collect()} == {7}
 
 
 # op5
