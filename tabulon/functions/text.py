@@ -22,8 +22,7 @@ _TOKEN = r"[\p{L}\p{N}_]+"
 def tokens(text: Column) -> Column:
     """The lower-cased words of a text without stop words, in order; empty for null."""
     words = F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.coalesce(F.filter(words, lambda w: ~F.array_contains(stop, w)), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(words, lambda w: ~w.isin(STOP_WORDS)), F.array().cast("array<string>"))
 
 
 def query_tokens(text: str) -> list[str]:
@@ -32,31 +31,38 @@ def query_tokens(text: str) -> list[str]:
     return list(dict.fromkeys(w for w in found if w not in STOP_WORDS))
 
 
+def _whole(words: list[str]) -> str:
+    """A pattern for any of ``words`` as a whole token."""
+    return r"(?<![\p{L}\p{N}_])(?:" + "|".join(re.escape(w) for w in words) + r")(?![\p{L}\p{N}_])"
+
+
 def any_token(text: Column, query: str) -> Column:
     """Whether a text holds a token of the query; a query of stop words alone matches nothing."""
     wanted = query_tokens(query)
     if not wanted:
         return F.lit(False)
-    return F.arrays_overlap(tokens(text), F.array(*map(F.lit, wanted)))
+    return F.coalesce(F.rlike(F.lower(text), F.lit(_whole(wanted))), F.lit(False))
 
 
-def _times(word: str) -> Column:
-    return F.size(F.filter("_toks", lambda t: t == F.lit(word)))
+def score_of(times: list[Column], held: list[int], total: int, length: Column) -> Column:
+    """tf-idf, normalised by length: ``times`` a row holds each token, ``held`` the rows with it, of ``total`` rows."""
+    score = F.lit(0.0)
+    for tf, n in zip(times, held, strict=True):
+        score = score + F.sqrt(tf) * F.log(F.lit(1.0 + total / (1.0 + n)))
+    return score / F.sqrt(F.greatest(length, F.lit(1)))
 
 
 def scored(df: DataFrame, text: Column, query: str, to: str = "score") -> DataFrame:
-    """The matching rows with a tf-idf score, normalised by length."""
+    """The matching rows with a tf-idf score.  Only these are divided into words; the others are searched for the query's."""
     wanted = query_tokens(query)
     if not wanted:
         return df.where(F.lit(False)).withColumn(to, F.lit(0.0))
-    toks = df.withColumn("_toks", tokens(text))
-    held = toks.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("_toks", w)).alias(f"d{k}") for k, w in enumerate(wanted)]).first()
-    score = F.lit(0.0)
-    for k, w in enumerate(wanted):
-        idf = F.log(F.lit(1.0 + held["n"] / (1.0 + held[f"d{k}"])))
-        score = score + F.sqrt(_times(w)) * idf
-    hits = toks.where(F.arrays_overlap("_toks", F.array(*map(F.lit, wanted))))
-    return hits.withColumn(to, score / F.sqrt(F.greatest(F.size("_toks"), F.lit(1)))).drop("_toks")
+    low = F.lower(text)
+    each = [F.count_if(F.rlike(low, F.lit(_whole([w])))).alias(f"d{k}") for k, w in enumerate(wanted)]
+    hits = df.where(any_token(text, query))
+    held = hits.agg(*each).first()
+    times = [F.regexp_count(low, F.lit(_whole([w]))) for w in wanted]
+    return hits.withColumn(to, score_of(times, [held[f"d{k}"] for k in range(len(wanted))], df.count(), F.size(tokens(text))))
 
 
 def contains_fold(text: Column, query: str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from decimal import Decimal
 from typing import Any
 
@@ -21,8 +22,9 @@ from .query import page
 class Finder:
     """``skip``, ``limit`` and ``reverse`` apply to the hits in index order: the field, then the key."""
 
-    def __init__(self, df: DataFrame, spec: TableSpec):
+    def __init__(self, df: DataFrame, spec: TableSpec, index: Callable[[str, str, int], DataFrame | None] | None = None):
         self.df, self.spec = df, spec
+        self.index = index  # (field, query, rows) to (id, score), or None where it is behind the rows
 
     def _by(self, df: DataFrame, field: FieldSpec | None, skip: int, limit: int, reverse: bool) -> DataFrame:
         own = key_order(self.spec.id.column, self.spec.id.type, reverse)
@@ -89,11 +91,16 @@ class Finder:
         return self._by(self.df.where(non_zero(f.column, f.type)), f, skip, limit, reverse)
 
     def search(self, field: str, text: str, skip: int = 0, limit: int = -1) -> DataFrame:
-        """Full text, best first; the score is the last column."""
+        """Full text, best first; the score is the last column.  The index is read where it has all writes."""
         f = self.spec.lookup(field)
         if f.index != "fulltext":
             raise IndexNotFound(f"field {field} has no full-text index")
-        hits = scored(self.df, F.col(f"`{f.column}`"), text)
+        found = self.index(f.column, text, self.df.count()) if self.index else None
+        if found is None:
+            hits = scored(self.df, F.col(f"`{f.column}`"), text)
+        else:
+            found = found.withColumnRenamed("id", "_hit")
+            hits = self.df.join(found, F.col(f"`{self.spec.id.column}`").cast("string") == F.col("_hit")).drop("_hit")
         return page(hits.orderBy(F.col("score").desc(), *key_order(self.spec.id.column, self.spec.id.type)), skip, limit)
 
     def search_substring(self, field: str, text: str, skip: int = 0, limit: int = -1, reverse: bool = False) -> DataFrame:

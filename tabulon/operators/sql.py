@@ -130,9 +130,11 @@ class SQL:
             return SQLResult(len(ids), ids[-1] if ids else None)
         if table is None:
             raise UnsupportedSQL("the table is not stored")
-        n = Query(table.df, table.spec, what).count()
+        hit = Query(table.df, table.spec, what)
+        n = hit.count()
         if n:
-            table.replace(after, check=isinstance(node, front.Update))
+            update = isinstance(node, front.Update)
+            table.replace(after, check=update, change=("update" if update else "delete", hit.filtered().select(table.spec.id.column)))
         return SQLResult(n)
 
 

@@ -47,10 +47,13 @@ def number(batch: DataFrame, target: DataFrame, spec: TableSpec, counters: dict[
             batch = batch.join(known, F.col(key.column) == F.col("_known"), "left")
             need = need & F.col("_known").isNull()
         start = after.get(f.column, f.increment - 1)
-        # the batch is one client's input; its numbering is one ordered run
-        place = F.sum(F.when(need, 1).otherwise(0)).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-        batch = batch.withColumn(f.column, F.when(need, F.lit(start) + place).otherwise(col).cast(f.type))
-        batch = batch.drop("_known") if not f.id else batch
+        # numbered within the runs that ``order`` names in its upper bits (a partition of the input), after what the runs before need
+        batch = batch.withColumns({"_run": F.shiftright(F.col(order).cast("long"), 33), "_need": F.when(need, 1).otherwise(0)})
+        runs = batch.groupBy("_run").agg(F.sum("_need").alias("_n"))  # one row per run
+        runs = runs.select("_run", F.coalesce(F.sum("_n").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        place = F.col("_before") + F.sum("_need").over(Window.partitionBy("_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        batch = batch.join(runs, "_run").withColumn(f.column, F.when(F.col("_need") > 0, F.lit(start) + place).otherwise(col).cast(f.type))
+        batch = batch.drop("_run", "_need", "_before", *(() if f.id else ("_known",)))
         top = batch.agg(F.max(f"`{f.column}`")).first()[0]
         after[f.column] = max(start, top if top is not None else start)
     return batch, after

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.text import STOP_WORDS
 from .operators import writes
 from .operators.finders import Finder
 from .operators.query import Query, select
@@ -16,7 +18,9 @@ from .operators.sql import SQL
 from .plans import predicates as q
 from .schema import FieldSpec, TableSpec
 from .sources.codecs import Aes, Json
-from .streaming.outbox import coalesced
+from .sources.files import shared_folder
+from .sources.store import Database
+from .streaming.outbox import ChangeLog, coalesced
 
 KEYS = {
     "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey",
@@ -150,12 +154,44 @@ finds("x08_all_by_index_page", f"{_C} WHERE c_nationkey <> 0 ORDER BY c_nationke
 finds("s05_all", _C, "customer", C, lambda f: f.all())
 finds("s04_reverse_scan", f"{_C} ORDER BY c_custkey DESC LIMIT 25", "customer", C, lambda f: f.all(reverse=True, limit=25))
 
-_TOKENS = "list_has_any(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), ['thentest', 'ering', 'und'])"
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_HITS = f"""WITH t AS (SELECT doc_id, [x FOR x IN regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') IF x NOT IN ({_STOP})] AS w FROM documents),
+c AS (SELECT doc_id, len([x FOR x IN w IF x = 'thentest']) AS a, len([x FOR x IN w IF x = 'ering']) AS b, len([x FOR x IN w IF x = 'und']) AS c, len(w) AS n FROM t),
+d AS (SELECT count(*) AS n, count(*) FILTER (a > 0) AS a, count(*) FILTER (b > 0) AS b, count(*) FILTER (c > 0) AS c FROM c),
+s AS (SELECT doc_id, (sqrt(c.a) * ln(1 + d.n / (1.0 + d.a)) + sqrt(c.b) * ln(1 + d.n / (1.0 + d.b)) + sqrt(c.c) * ln(1 + d.n / (1.0 + d.c))) / sqrt(greatest(c.n, 1)) AS score FROM c, d WHERE c.a + c.b + c.c > 0)
+SELECT doc_id, round(score, 6) AS score FROM s ORDER BY score DESC, doc_id"""
+_RANKED = _HITS.replace("SELECT doc_id, round(score, 6) AS score FROM s ORDER BY score DESC, doc_id", "SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS place FROM s ORDER BY place LIMIT 50")
 
 
-@query(f"SELECT doc_id FROM documents WHERE {_TOKENS}")
+def _stored(spark, sf_dir, table: str, sync: bool = True):
+    """A table of the driver's in a store of its own, in the folder that all executors share."""
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    df, spec = load(spark, sf_dir, table)
+    db = Database(spark, f"{root}/db", ChangeLog(spark, f"{root}/log"), sync=sync)
+    stored = db.node().init(spec)
+    stored.replace(df)
+    return stored
+
+
+def _places(hits: DataFrame) -> DataFrame:
+    """The first 50, numbered: a top-k, so the window holds 50 rows."""
+    best = hits.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(50)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id")).cast("long"))
+
+
+@query(_HITS)
 def x09_full_text(spark, sf_dir):
-    return Finder(*load(spark, sf_dir, "documents")).search("text", "thentest of Ering und the").select("doc_id")
+    return Finder(*load(spark, sf_dir, "documents")).search("text", "thentest of Ering und the").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_RANKED)
+def x09_full_text_ranked(spark, sf_dir):
+    return _places(Finder(*load(spark, sf_dir, "documents")).search("text", "thentest of Ering und the"))
+
+
+@query(_RANKED)
+def x09_full_text_index(spark, sf_dir):
+    return _places(_stored(spark, sf_dir, "documents").finder.search("text", "thentest of Ering und the"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license')")
@@ -275,7 +311,7 @@ def w02_upsert(spark, sf_dir):
     df, spec = load(spark, sf_dir, "supplier")
     changed = df.where("s_nationkey = 7").withColumns({"s_name": F.concat("s_name", F.lit("*")), "s_nationkey": F.lit(0)})
     added = df.where("s_nationkey = 8").withColumn("s_suppkey", F.col("s_suppkey") + 1000000)
-    batch = changed.unionByName(added).unionByName(changed.withColumn("s_name", F.lit("first, so not kept")).limit(0))
+    batch = changed.withColumn("s_name", F.lit("first, so not kept")).unionByName(changed).unionByName(added)
     batch = writes.last_of_each(batch.withColumn("_at", F.monotonically_increasing_id()), spec.id.column, "_at")
     return writes.upsert(df, batch, spec)
 
@@ -318,17 +354,26 @@ def w09_delete_by_id(spark, sf_dir):
 # namespaces, codecs, change log
 
 
+def _days(spark, sf_dir):
+    """The events in a store, a namespace for each day."""
+    df, _ = load(spark, sf_dir, "events")
+    db = Database(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    spec = TableSpec("events", (FieldSpec("event_id", T.LongType(), id=True),))
+    node = db.from_("days")
+    node.put_partitioned(df.select("event_id", F.date_format("ts", "yyyyMMdd").alias("day")), "day", spec)
+    return node
+
+
 @query("SELECT event_id, strftime(ts, '%Y%m%d') AS namespace FROM events WHERE strftime(ts, '%Y%m%d') LIKE '2024011%'")
 def s11_prefix_scan(spark, sf_dir):
-    df, _ = load(spark, sf_dir, "events")
-    df = df.select("event_id", F.date_format("ts", "yyyyMMdd").alias("namespace"))
-    return df.where(F.col("namespace").startswith("2024011"))
+    node = _days(spark, sf_dir)
+    return node.gather(node.prefix_scan("2024011"), "events").select("event_id", "namespace")
 
 
-@query("SELECT doc_id, source AS namespace FROM documents WHERE source BETWEEN 'src1' AND 'src15'")
+@query("SELECT event_id, strftime(ts, '%Y%m%d') AS namespace FROM events WHERE strftime(ts, '%Y%m%d') BETWEEN '20240105' AND '20240112'")
 def s12_range_scan(spark, sf_dir):
-    df, spec = load(spark, sf_dir, "documents")
-    return select(df, spec, q.Gte("source", "src1"), q.Lte("source", "src15")).df.select("doc_id", F.col("source").alias("namespace"))
+    node = _days(spark, sf_dir)
+    return node.gather(node.range_scan("20240105", "20240112"), "events").select("event_id", "namespace")
 
 
 @query("SELECT * FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) t(name, type)")
@@ -356,9 +401,10 @@ def s26_aes_round_trip(spark, sf_dir):
 @query("SELECT CAST(c_nationkey AS VARCHAR) AS key, c_custkey AS value FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) = 1")
 def s19_key_value(spark, sf_dir):
     df, _ = load(spark, sf_dir, "customer")
-    spec = TableSpec("kv", (FieldSpec("key", T.StringType(), id=True), FieldSpec("value", T.LongType())))
     sets = df.select(F.col("c_nationkey").cast("string").alias("key"), F.col("c_custkey").alias("value"), F.col("c_custkey").alias("_at"))
-    return writes.upsert(spark.createDataFrame([], spec.schema), writes.last_of_each(sets, "key", "_at"), spec)
+    bucket = Database(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}").node().bucket("last")
+    bucket.set_all(writes.last_of_each(sets, "key", "_at"), "bigint")
+    return bucket.items("bigint").select("key", "value")
 
 
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")

@@ -52,11 +52,14 @@ def _key(namespace: tuple[str, ...], table: str) -> str:
 class Database:
     """A store under ``root``; the session is the caller's."""
 
-    def __init__(self, spark: SparkSession, root: str, changes: Any = None):
+    def __init__(self, spark: SparkSession, root: str, changes: Any = None, sync: bool = False):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
         self.changes = changes  # a streaming.outbox.ChangeLog, if changes are to be logged
+        self.sync = sync  # whether a write returns only when the index has it
+        if changes is not None:
+            changes.attach(self)
         if not self.files.names(f"{self.root}/_manifest"):
-            self.files.create(self._path(0), json.dumps({"version": VERSION, "tables": {}}))
+            self.files.create(self._path(0), json.dumps({"version": VERSION, "number": 0, "logged": 0, "log": [], "tables": {}}))
         if json.loads(self.files.read(self._path(self.current())))["version"].split(".")[0] != VERSION.split(".")[0]:
             raise Conflict("the store has another major version")
 
@@ -66,15 +69,38 @@ class Database:
     def current(self) -> int:
         return max(int(n.split(".")[0]) for n in self.files.names(f"{self.root}/_manifest") if n.endswith(".json"))
 
-    def manifest(self, n: int | None = None) -> dict[str, Entry]:
-        data = json.loads(self.files.read(self._path(self.current() if n is None else n)))
-        return {k: Entry(**v) for k, v in data["tables"].items()}
+    def _data(self, n: int | None = None) -> dict[str, Any]:
+        return json.loads(self.files.read(self._path(self.current() if n is None else n)))
 
-    def commit(self, base: int, tables: dict[str, Entry]) -> int:
-        text = json.dumps({"version": VERSION, "tables": {k: vars(e) for k, e in tables.items()}})
-        if not self.files.create(self._path(base + 1), text):
+    def manifest(self, n: int | None = None) -> dict[str, Entry]:
+        return {k: Entry(**v) for k, v in self._data(n)["tables"].items()}
+
+    def logged(self) -> int:
+        """The last manifest that names logged changes."""
+        return self._data()["logged"]
+
+    def commit(self, base: int, tables: dict[str, Entry], log: list[dict[str, Any]] = ()) -> int:
+        """Makes ``tables`` current, and the changes of ``log`` with them."""
+        log = [e | {"at": k} for k, e in enumerate(log)]
+        number = base + 1
+        data = {"version": VERSION, "number": number, "logged": number if log else self._data(base)["logged"], "log": log}
+        if not self.files.create(self._path(number), json.dumps(data | {"tables": {k: vars(e) for k, e in tables.items()}})):
             raise Conflict()
-        return base + 1
+        if self.sync and log:
+            self.index.flush()
+        return number
+
+    @property
+    def index(self) -> Any:
+        """The stream that keeps the full-text index."""
+        from ..streaming.outbox import IndexStream
+
+        return IndexStream(self.changes)
+
+    def log(self, op: str, key: str, spec: TableSpec, rows: DataFrame | None = None) -> list[dict[str, Any]]:
+        """Writes changed rows to the log, for the manifest to name."""
+        said = self.changes.write(op, key, spec, rows) if self.changes is not None else None
+        return [said] if said else []
 
     def close(self) -> None:
         """Nothing is held open."""
@@ -117,7 +143,8 @@ class Database:
                     raise IncompatibleValue(f"{f.name} cannot become {f.type.simpleString()}")
             df = node.table(table).df
             entry.path = node._store(table, df.select(*[_column(df, f) for f in with_id.fields]), with_id)
-        self.commit(base, tables | {_key(namespace, table): entry})
+        key = _key(namespace, table)
+        self.commit(base, tables | {key: entry}, self.log("reindex", key, with_id) if entry.path else ())
 
     # namespaces
 
@@ -176,31 +203,47 @@ class Node:
         return self.tx.tables if self.tx else self.db.manifest()
 
     def _store(self, table: str, df: DataFrame, spec: TableSpec) -> str:
-        """Writes a version, laid out by key so that key filters prune."""
+        """Writes a version, its files ranges of the key and sorted by it, so that key filters prune."""
         path = f"{self.db.root}/{_key(self.path, table)}/v={uuid.uuid4().hex}"
-        df.select(*spec.schema.names).sortWithinPartitions(*key_order(spec.id.column, spec.id.type)).write.parquet(path)
+        order = key_order(spec.id.column, spec.id.type)
+        df.select(*spec.schema.names).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
         return path
 
-    def _put(self, table: str, entry: Entry | None, log: Any = None) -> None:
+    def _put(self, table: str, entry: Entry | None, log: list[dict[str, Any]] = ()) -> None:
         key = _key(self.path, table)
         if self.tx:
             if not self.tx.writable:
                 raise ReadOnly()
             self.tx.tables = {k: v for k, v in self.tx.tables.items() if k != key} | ({key: entry} if entry else {})
-            if log:
-                self.tx.logs[key] = log  # the last kind of change to a table stands for the earlier ones
+            self.tx.logs += log
             return
         base = self.db.current()
         tables = {k: v for k, v in self.db.manifest(base).items() if k != key}
-        self.db.commit(base, tables | ({key: entry} if entry else {}))
-        if log and self.db.changes is not None:
-            self.db.changes.append(*log)
+        self.db.commit(base, tables | ({key: entry} if entry else {}), list(log))
+
+    def put_partitioned(self, df: DataFrame, by: str, spec: TableSpec) -> list[Node]:
+        """Puts the rows of each value of ``by`` into a namespace of that name, as its table ``spec.name``: one write, one commit."""
+        if self.tx:
+            raise ReadOnly("partitions are put outside transactions")
+        path = f"{self.db.root}/{_key(self.path, spec.name)}-by/v={uuid.uuid4().hex}"
+        order = key_order(spec.id.column, spec.id.type)
+        part = F.col(by).cast("string").alias("_part")
+        df.select(*spec.schema.names, part).repartitionByRange("_part", *order).sortWithinPartitions("_part", *order).write.partitionBy("_part").parquet(path)
+        names = [r[0] for r in df.select(part).distinct().collect()]  # namespaces, not rows
+        base = self.db.current()
+        found = {n: f"{path}/_part={self.db.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(n)}" for n in names}
+        new = {_key((*self.path, n), spec.name): Entry(p, spec.to_json()) for n, p in found.items()}
+        self.db.commit(base, self.db.manifest(base) | new, [e for k in new for e in self.db.log("reindex", k, spec)])
+        return [self.from_(n) for n in sorted(found)]
 
     def init(self, spec: TableSpec) -> Table:
         """An empty table, or the table there is with this description."""
         entries = self._entries()
-        old = entries.get(_key(self.path, spec.name))
-        self._put(spec.name, Entry(old.path if old else None, spec.to_json(), old.counters if old else {}, (self.codec or _COLUMNAR).name))
+        key = _key(self.path, spec.name)
+        old = entries.get(key)
+        stored = bool(old and old.path and old.spec != spec.to_json())
+        log = self.db.log("reindex", key, spec) if stored else ()
+        self._put(spec.name, Entry(old.path if old else None, spec.to_json(), old.counters if old else {}, (self.codec or _COLUMNAR).name), log)
         return self.table(spec.name)
 
     def table(self, name: str) -> Table:
@@ -223,7 +266,7 @@ class Node:
             raise NotFound(f"nothing to drop at {name}")
         for k in gone:
             space, _, table = k.rpartition("/")
-            Node(self.db, tuple(filter(None, space.split("/"))), self.tx)._put(table, None, ("drop", k, None, None))
+            Node(self.db, tuple(filter(None, space.split("/"))), self.tx)._put(table, None, self.db.log("drop", k, TableSpec.from_json(entries[k].spec)))
 
     def sql(self) -> SQL:
         def found(name: str) -> Table:
@@ -284,28 +327,45 @@ class Table:
 
     @property
     def finder(self) -> Finder:
-        return Finder(self.df, self.spec)
+        return Finder(self.df, self.spec, self._search if self.node.db.changes is not None and not self.node.tx else None)
+
+    def _search(self, field: str, query: str, rows: int) -> DataFrame | None:
+        """The index's hits, where it has all writes and these rows are the current ones."""
+        index, key = self.node.db.index, _key(self.node.path, self.name)
+        now = self.node.db.manifest().get(key)
+        if now is None or now.path != self.entry.path:
+            return None
+        return index.search(key, field, query, rows) if index.current() else None
 
     def select(self, *predicates: q.Predicate) -> Query:
         query = select(self.df, self.spec, *predicates)
         return Query(query.source, query.spec, query.predicate, table=self)
 
     def _refresh(self) -> None:
-        self.entry = self.node._entries()[_key(self.node.path, self.name)]
+        """Before a write: the rows as the last commit left them."""
+        self.entry = self.node.table(self.name).entry
 
-    def replace(self, rows: DataFrame, counters: dict[str, int] | None = None, check: bool = False, log: Any = None) -> None:
-        """Commits ``rows`` as the table's next version."""
+    def replace(self, rows: DataFrame, counters: dict[str, int] | None = None, check: bool = False, change: tuple[str, DataFrame | None] = ("reindex", None)) -> None:
+        """Commits ``rows`` as the table's next version; ``change`` is its kind, and the changed rows (or the deleted keys)."""
         if self.node.tx and not self.node.tx.writable:
             raise ReadOnly()
+        db, key = self.node.db, _key(self.node.path, self.name)
         path = self.node._store(self.name, rows, self.spec)
+        stored = db.spark.read.schema(self.spec.schema).parquet(path)
         if check:
-            stored = self.node.db.spark.read.schema(self.spec.schema).parquet(path)
             for f in self.spec.fields:
                 if f.index == "unique" and not writes.duplicates(stored, f.column, self.spec).isEmpty():
-                    self.node.db.files.delete(path)
+                    db.files.delete(path)
                     raise AlreadyExists(f"two rows would have one {f.name}")
+        if self.node.table(self.name).entry.path != self.entry.path:  # a commit since these rows were read
+            raise Conflict()
         entry = Entry(path, self.entry.spec, self.entry.counters if counters is None else counters, self.entry.codec)
-        self.node._put(self.name, entry, log or ("reindex", _key(self.node.path, self.name), self.spec, None))
+        op, changed = change
+        if op == "update":  # keys; the rows as they are now
+            op, changed = "upsert", stored.join(changed, self.spec.id.column, "left_semi")
+        if op == "reindex" and self.node.tx:  # the manifest to come has the transaction's last version
+            changed = None
+        self.node._put(self.name, entry, db.log(op, key, self.spec, changed))
         self._refresh()
 
     def _batch(self, records: list[dict[str, Any]] | dict[str, Any] | DataFrame) -> DataFrame:
@@ -321,12 +381,13 @@ class Table:
 
     def save_all(self, records: list[dict[str, Any]] | DataFrame) -> list[Any]:
         """Inserts or replaces by key, all or none; returns the keys of a list in its order."""
+        self._refresh()
         batch, counters = writes.number(self._batch(records), self.df, self.spec, self.entry.counters, "_at")
         key = self.spec.id.column
         writes.check_ids(batch, self.spec)
         one = writes.last_of_each(batch, key, "_at")
         writes.check_unique(self.df, one, self.spec)
-        self.replace(writes.upsert(self.df, one, self.spec), counters, log=("upsert", _key(self.node.path, self.name), self.spec, one))
+        self.replace(writes.upsert(self.df, one, self.spec), counters, change=("upsert", one))
         return [] if isinstance(records, DataFrame) else [r[key] for r in batch.orderBy("_at").select(key).collect()]
 
     def _existing(self, key: Any) -> None:
@@ -335,27 +396,34 @@ class Table:
 
     def update(self, record: dict[str, Any]) -> None:
         """Non-zero fields only; the row must be there."""
+        self._refresh()
         batch = self._batch(record).drop("_at")
         writes.check_ids(batch, self.spec)
         key = self.spec.id
         self._existing(record.get(key.column, record.get(key.name)))
-        self.replace(writes.partial_update(self.df, batch, self.spec), check=True)
+        self.replace(writes.partial_update(self.df, batch, self.spec), check=True, change=("update", batch.select(key.column)))
 
     def update_field(self, key: Any, field: str, value: Any) -> None:
+        self._refresh()
         after = writes.set_field(self.df, self.spec, key, field, value)
         self._existing(key)
-        self.replace(after, check=True)
+        self.replace(after, check=True, change=("update", self._keys(key)))
 
     def delete(self, key: Any) -> None:
+        self._refresh()
         self._existing(key)
-        gone = self.node.db.spark.createDataFrame([(key,)], T.StructType([T.StructField(self.spec.id.column, self.spec.id.type)]))
-        self.delete_ids(gone)
+        self.delete_ids(self._keys(key))
+
+    def _keys(self, key: Any) -> DataFrame:
+        return self.node.db.spark.createDataFrame([(key,)], T.StructType([T.StructField(self.spec.id.column, self.spec.id.type)]))
 
     def delete_ids(self, ids: DataFrame) -> None:
-        self.replace(writes.delete_ids(self.df, ids, self.spec), log=("delete", _key(self.node.path, self.name), self.spec, ids))
+        self._refresh()
+        self.replace(writes.delete_ids(self.df, ids, self.spec), change=("delete", ids))
 
     def reindex(self) -> dict[str, int]:
         """Rewrites the layout and measures how many rows each index covers."""
+        self._refresh()
         counts = {r["field"]: r["n"] for r in self.finder.coverage().collect()}
         self.replace(self.df)
         entry = Entry(self.entry.path, self.entry.spec, self.entry.counters, self.entry.codec, counts)
@@ -376,7 +444,7 @@ class Transaction:
         self.db, self.writable = db, writable
         self.base = db.current()
         self.tables = db.manifest(self.base)
-        self.logs: dict[str, Any] = {}
+        self.logs: list[dict[str, Any]] = []
         self.open = True
 
     def from_(self, *path: str) -> Node:
@@ -389,17 +457,14 @@ class Transaction:
         if not self.open:
             raise NotInTransaction()
         if self.writable and self.tables != self.db.manifest(self.base):
-            self.db.commit(self.base, self.tables)
-            for log in self.logs.values():
-                if self.db.changes is not None:
-                    self.db.changes.append(*log)
+            self.db.commit(self.base, self.tables, self.logs)
         self.open = False
 
     def rollback(self) -> None:
         if not self.open:
             raise NotInTransaction()
         self.open = False
-        self.tables, self.logs = self.db.manifest(self.base), {}
+        self.tables, self.logs = self.db.manifest(self.base), []
 
 
 class Bucket:
@@ -447,6 +512,23 @@ class Bucket:
         one = self.node.db.spark.createDataFrame([(value,)], kind)
         self.set_bytes(key, one.select(self.codec.encode(F.struct("v")).alias("b")).first()[0])
 
+    def set_all(self, pairs: DataFrame, schema: str) -> None:
+        """Sets all pairs (key: text, value of ``schema``) in one write; one row for each key."""
+        kind = T.StructType([T.StructField("v", T._parse_datatype_string(schema))])
+        table = self._table() or Node(self.node.db, self.node.path, self.node.tx, self.codec).init(TableSpec(self.name, self.FIELDS))
+        value = self.codec.encode(F.struct(F.col("value").cast(kind["v"].dataType).alias("v")))
+        # keys are JSON texts, as one key's are
+        table.save_all(pairs.select(F.to_json(F.array("key")).substr(F.lit(2), F.length(F.to_json(F.array("key"))) - 2).alias("key"), value.alias("value")))
+
+    def items(self, schema: str) -> DataFrame:
+        """(key, value) of all pairs whose keys are texts."""
+        kind = T.StructType([T.StructField("v", T._parse_datatype_string(schema))])
+        table = self._table()
+        if table is None:
+            raise NotFound()
+        key = F.from_json(F.concat(F.lit("["), "key", F.lit("]")), "array<string>")[0]
+        return table.df.select(key.alias("key"), self.codec.decode(F.col("value"), kind)["v"].alias("value"))
+
     def exists(self, key: Any) -> bool:
         table = self._table()
         return bool(table) and not table.df.where(F.col("key") == self._text(key)).isEmpty()

@@ -10,7 +10,10 @@ from tabulon.plans import predicates as q
 from tabulon.schema import FieldSpec, TableSpec
 from tabulon.sources.codecs import Aes, Json
 from tabulon.sources.store import Database
-from tabulon.streaming.outbox import ChangeLog, IndexStream
+from tabulon.operators.finders import Finder
+from tabulon.sources.files import Files
+from tabulon.streaming import outbox
+from tabulon.streaming.outbox import ChangeLog
 
 USERS = TableSpec("users", (
     FieldSpec.tagged("id", "long", "id,increment"), FieldSpec.tagged("name", "string", "unique"), FieldSpec.tagged("age", "long", "index,composite=team_age:2"),
@@ -240,7 +243,7 @@ def test_key_value(db, codec):
 
 
 def test_change_log(db, users):
-    index = IndexStream(db.changes)
+    index = db.index
     base = (users.df, "id", F.col("bio"))
     assert not index.current()
     assert {r.id for r in index.matching("users", "search", base).collect()} == {"1", "2"}
@@ -256,3 +259,116 @@ def test_change_log(db, users):
     users.node.drop("users")
     index.flush()
     assert index.rows().count() == 0
+
+
+def found(table, text):
+    """What the index finds; the same as a scan of the rows does, with the same scores."""
+    table = table.node.table("users")
+    index = table.node.db.index
+    index.flush()
+    assert index.current()
+    got = table.finder.search("bio", text).collect()
+    scan = Finder(table.df, table.spec).search("bio", text).collect()
+    assert [(r.id, round(r.score, 9)) for r in got] == [(r.id, round(r.score, 9)) for r in scan]
+    assert {str(r.id) for r in got} == {r.id for r in index.matching("users", text).collect()}
+    return {r.id for r in got}
+
+
+def test_index_follows_every_write(db, users, monkeypatch):
+    assert found(users, "search") == {1, 2}
+    users.update({"id": 2, "name": "Robert"})  # its text stays
+    assert found(users, "search") == {1, 2}
+    users.update({"id": 4, "bio": "a search of its own"})
+    assert found(users, "search separate") == {1, 2, 4}
+    users.update_field(1, "bio", "quiet")
+    assert found(users, "search") == {2, 4} and found(users, "quiet") == {1}
+    sql = users.node.sql()
+    sql.exec("UPDATE users SET bio = 'search party' WHERE id <= 3 AND id >= 3")
+    assert found(users, "search") == {2, 3, 4}
+    monkeypatch.setattr(outbox, "SEGMENTS", 3)
+    sql.exec("DELETE FROM users WHERE id = 2")
+    assert found(users, "search") == {3, 4} and len(db.index._state()["segments"]) == 1
+    users.select(q.Eq("id", 4)).delete()
+    assert found(users, "search") == {3}
+    before = users
+    users = db.node().table("users")
+    assert {r.id for r in before.finder.search("bio", "search").collect()} == {r.id for r in Finder(before.df, before.spec).search("bio", "search").collect()}
+    users.reindex()
+    assert found(users, "search quiet") == {1, 3}
+    db.index.rebuild()
+    assert found(users, "search quiet") == {1, 3}
+
+
+def test_index_follows_a_transaction(db, users):
+    assert found(users, "search") == {1, 2}
+    tx = db.begin()
+    inner = tx.node().table("users")
+    inner.save_all([{"id": 7, "name": "G", "bio": "search seven"}, {"id": 8, "name": "H", "bio": "search eight"}])
+    inner.delete(7)
+    inner.save({"id": 9, "name": "I", "bio": "search nine"})
+    inner.update({"id": 1, "bio": "calm"})
+    assert found(db.node().table("users"), "search") == {1, 2}
+    tx.commit()
+    assert found(db.node().table("users"), "search") == {2, 8, 9}
+    lost = db.begin()
+    lost.node().table("users").save({"id": 10, "name": "J", "bio": "search ten"})
+    lost.rollback()
+    assert found(db.node().table("users"), "search ten") == {2, 8, 9}
+
+
+def test_log_commits_with_the_rows(db, users, monkeypatch):
+    assert found(users, "search") == {1, 2}
+
+    def broken(*_, **__):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:  # the log is written, the manifest is not
+        m.setattr(db.files, "create", broken)
+        with pytest.raises(OSError):
+            users.save({"id": 5, "name": "E", "bio": "search five"})
+    users = db.node().table("users")
+    assert found(users, "search") == {1, 2}
+    users.save({"id": 6, "name": "F", "bio": "search six"})
+    with monkeypatch.context() as m:  # the index fails after the manifest
+        m.setattr(outbox.IndexStream, "_advance", broken)
+        with pytest.raises(OSError):
+            db.index.flush()
+    assert not db.index.current() and names(users.finder.search("bio", "six")) == ["F"]
+    assert found(users, "search") == {1, 2, 6}
+
+
+def test_writes_of_an_older_handle(db, users):
+    other = db.node().table("users")
+    other.delete(1)
+    users.delete(2)  # reads the table anew first
+    assert [r.id for r in db.node().table("users").finder.all().collect()] == [3, 4]
+    stale = db.node().table("users")
+    stale.delete(3)
+    with pytest.raises(e.Conflict):
+        users.replace(users.df)
+
+
+def test_sync_writes(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db", ChangeLog(spark, f"file://{tmp_path}/log"), sync=True)
+    users = db.node().init(USERS)
+    users.save_all(ROWS)
+    assert db.index.current() and names(users.finder.search("bio", "separate")) == ["Dave"]
+
+
+def test_files_appear_whole(spark, tmp_path):
+    files = Files(spark)
+    assert files.create(f"file://{tmp_path}/a/b.json", "one") and not files.create(f"file://{tmp_path}/a/b.json", "two")
+    assert files.read(f"file://{tmp_path}/a/b.json") == "one" and [n for n in files.names(f"file://{tmp_path}/a") if n.startswith(".b.json.") and not n.endswith("crc")] == []
+
+
+def test_numbering_of_many_rows(db, spark):
+    t = db.node().init(TableSpec("t", (FieldSpec.tagged("ID", "long", "increment"), FieldSpec.tagged("m", "long"))))
+    t.save_all(spark.range(1000).repartition(5).select(F.lit(0).cast("long").alias("ID"), F.col("id").alias("m")))
+    assert sorted(r.ID for r in t.df.collect()) == list(range(1, 1001)) and t.save({"m": 1}) == 1001
+
+
+def test_partitioned_namespaces(db, spark):
+    spec = TableSpec("log", (FieldSpec.tagged("ID", "long"),))
+    df = spark.range(10).select(F.col("id").alias("ID"), F.concat(F.lit("a/"), (F.col("id") % 3).cast("string")).alias("day"))
+    nodes = db.from_("logs").put_partitioned(df, "day", spec)
+    assert [n.path[-1] for n in nodes] == ["a/0", "a/1", "a/2"] and sorted(r.ID for r in nodes[1].table("log").df.collect()) == [1, 4, 7]
