@@ -47,7 +47,7 @@ PRIOR = 100
 #: Bytes of text in a block, and compressed bytes of counts in a shard and of questions to a task, about.
 BLOCK, SHARD, ASKED = 12 << 20, 4 << 20, 64 << 20
 #: Bytes of text whose n-grams are held at once, and n-grams that a shard gathers before it sums them.
-WINDOW, PENDING = 4 << 20, 4 << 20
+WINDOW, PENDING = 2 << 20, 4 << 20
 #: Log-probabilities are sent in steps of 1 / STEPS, as 16 bits.
 STEPS = 2048
 
@@ -329,16 +329,16 @@ class Model:
         self.shared = spark.sparkContext.broadcast((codes, low[codes.astype(np.int64)], d)) if self.known else None
 
     def answers(self, found: DataFrame) -> DataFrame:
-        """(block, mark, answers): the log-probabilities of each block's n-grams, by shard."""
+        """(block, answers): the log-probabilities of each block's n-grams, by shard."""
         shards, salts, shared = self.shards, self.salts, self.shared
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for number, mark, raw in zip(*(batch.column(c).to_pylist() for c in ("block", "mark", "keys")), strict=True):
                     keys = _keys(raw)
-                    rows = [(number, mark, s, mark % salts, _planes(_steps(keys[at]))) for s, at in by_shard(keys, shards)]
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["block", "mark", "shard", "salt", "asked"])
+                    rows = [(number, s, mark % salts, _planes(_steps(keys[at]))) for s, at in by_shard(keys, shards)]
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["block", "shard", "salt", "asked"])
 
         def answer(key: tuple, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
             if len(own):
@@ -350,12 +350,12 @@ class Model:
             low, out = low_levels(*lowest), []
             for raw in asked["asked"]:
                 out.append(_planes(np.clip(np.round(-STEPS * log_p(_keys(raw), low, high, d)), 0, 65535).astype("<u2")))
-            return pd.DataFrame({"block": asked["block"], "mark": asked["mark"], "shard": key[0], "answer": out})
+            return pd.DataFrame({"block": asked["block"], "shard": key[0], "answer": out})
 
-        asks = found.select("block", "mark", "keys").mapInArrow(ask, "block long, mark long, shard int, salt int, asked binary")
+        asks = found.select("block", "mark", "keys").mapInArrow(ask, "block long, shard int, salt int, asked binary")
         own = self.counted.select("shard", "payload", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        said = asks.groupBy("shard", "salt").cogroup(own.groupBy("shard", "salt")).applyInPandas(answer, "block long, mark long, shard int, answer binary")
-        return said.groupBy("block", "mark").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))
+        said = asks.groupBy("shard", "salt").cogroup(own.groupBy("shard", "salt")).applyInPandas(answer, "block long, shard int, answer binary")
+        return said.groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))
 
 
 def doc_logs(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
@@ -399,7 +399,7 @@ def scored(blocks: DataFrame, found: DataFrame, model: Model, schema: T.StructTy
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), perplexity, pa.array(size.astype(np.int64), mask=block.nulls)], names=[*names, "perplexity", "size"])
 
     fields = [f for f in schema if f.name in names] + [T.StructField("perplexity", T.DoubleType()), T.StructField("size", T.LongType())]
-    said = found.select("block", "mark", "keys").join(model.answers(found), ["block", "mark"], "left")
+    said = found.select("block", "mark", "keys").join(model.answers(found), "block", "left")
     met = blocks.join(said, "block", "left").select("block", "mark", "payload", "keys", "answers")
     return met.mapInArrow(run, T.StructType(fields))
 
