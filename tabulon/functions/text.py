@@ -31,17 +31,23 @@ def query_tokens(text: str) -> list[str]:
     return list(dict.fromkeys(w for w in found if w not in STOP_WORDS))
 
 
-def _whole(words: list[str]) -> str:
-    """A pattern for any of ``words`` as a whole token."""
-    return r"(?<![\p{L}\p{N}_])(?:" + "|".join(re.escape(w) for w in words) + r")(?![\p{L}\p{N}_])"
+def _whole(word: str) -> str:
+    """A pattern for ``word`` as a whole token; the literal comes first, so that places are found by it."""
+    w = re.escape(word)
+    return w + r"(?![\p{L}\p{N}_])(?<![\p{L}\p{N}_]" + w + ")"
+
+
+def _holds(low: Column, word: str) -> Column:
+    """Whether a lower-cased text has a token; few texts that lack the bare letters cost a pattern."""
+    return F.contains(low, F.lit(word)) & F.rlike(low, F.lit(_whole(word)))
 
 
 def any_token(text: Column, query: str) -> Column:
     """Whether a text holds a token of the query; a query of stop words alone matches nothing."""
-    wanted = query_tokens(query)
-    if not wanted:
-        return F.lit(False)
-    return F.coalesce(F.rlike(F.lower(text), F.lit(_whole(wanted))), F.lit(False))
+    found = F.lit(False)
+    for w in query_tokens(query):
+        found = found | _holds(F.lower(text), w)
+    return F.coalesce(found, F.lit(False))
 
 
 def score_of(times: list[Column], held: list[int], total: int, length: Column) -> Column:
@@ -58,11 +64,12 @@ def scored(df: DataFrame, text: Column, query: str, to: str = "score") -> DataFr
     if not wanted:
         return df.where(F.lit(False)).withColumn(to, F.lit(0.0))
     low = F.lower(text)
-    each = [F.count_if(F.rlike(low, F.lit(_whole([w])))).alias(f"d{k}") for k, w in enumerate(wanted)]
-    hits = df.where(any_token(text, query))
-    held = hits.agg(*each).first()
-    times = [F.regexp_count(low, F.lit(_whole([w]))) for w in wanted]
-    return hits.withColumn(to, score_of(times, [held[f"d{k}"] for k in range(len(wanted))], df.count(), F.size(tokens(text))))
+    times = [F.when(F.contains(low, F.lit(w)), F.regexp_count(low, F.lit(_whole(w)))).otherwise(0) for w in wanted]
+    counted = df.withColumn("_times", F.array(*times)).where(F.exists("_times", lambda n: n > 0))
+    held = counted.agg(*[F.count_if(F.col("_times")[k] > 0).alias(f"d{k}") for k in range(len(wanted))]).first()
+    each = [F.col("_times")[k] for k in range(len(wanted))]
+    score = score_of(each, [held[f"d{k}"] for k in range(len(wanted))], df.count(), F.size(tokens(text)))
+    return counted.withColumn(to, score).drop("_times")
 
 
 def contains_fold(text: Column, query: str) -> Column:
