@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 #: Sorts after every real id; stands for a null doc_id inside Python blocks.
 NULL_ID = np.iinfo(np.int64).max
 
@@ -21,16 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if got.isDefined():
-            return got.get()
-        found = f"file://{tempfile.mkdtemp(prefix='tabulon-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    """The folder all executors share; a temporary one only where driver and executors are one process."""
+    return shared_folder(spark)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 _written: list[tuple[SparkSession, str]] = []

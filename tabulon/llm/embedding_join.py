@@ -27,14 +27,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, table
 
-#: Pivots at most: they are sent to every task.
-PIVOTS = 256
+#: Bytes of pivots at most, as they are sent to every task; their number grows with the root of the vectors'.
+PIVOT_BYTES = 64 << 20
 #: Vectors of a side of a block, about.
 BLOCK = 8192
 
 
 def _unit(raw: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)  # squares of very large or small components stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -77,7 +78,8 @@ def near_links(spark: SparkSession, vectors: DataFrame, scratch: Scratch, cosine
     Null, zero or non-finite vectors, and those with null components, link
     with nothing, nor do vectors of different lengths, nor rows without an id
     (their component is null and they are not kept).  Equal vectors are each
-    other's links.  Rows that repeat an id are vectors of their own.
+    other's links.  Rows that repeat an id are vectors of their own.  Ties need
+    nothing, other columns have no influence, an empty table gives no rows.
     """
     kind = "f8" if "double" in vectors.schema["embedding"].dataType.simpleString() else "f4"
     eps = math.sqrt(2 - 2 * cosine) + 1e-9
@@ -91,10 +93,12 @@ def near_links(spark: SparkSession, vectors: DataFrame, scratch: Scratch, cosine
     rows = rows.mapInArrow(read, "vec_id long, v binary")
     keyed = scratch.keep(rows.select("vec_id", "v", F.xxhash64(F.lit(1), "v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2")), "rows")
     same = keyed.groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "v")).alias("m"), F.count("*").alias("copies"))
-    same = scratch.keep(same.select("h1", "h2", "m.vec_id", "m.v", "copies"), "distinct")
-    count = same.count()
-    wanted = min(PIVOTS, max(1, round(math.sqrt(count) / 16)))
-    sampled = same.select("vec_id", "v").orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(wanted).collect()
+    # each distinct vector is a unit of its own, whatever ids its rows have
+    same = same.select(F.monotonically_increasing_id().alias("unit"), "h1", "h2", "m.vec_id", "m.v", "copies")
+    same = scratch.keep(same, "distinct")
+    count, widest = same.agg(F.count("*"), F.max(F.length("v"))).first()
+    wanted = max(1, min(round(math.sqrt(count) / 16), PIVOT_BYTES // max(widest or 1, 1)))
+    sampled = same.select("h1", "h2", "v").orderBy(F.xxhash64(F.lit(3), "h1", "h2"), "h1", "h2").limit(wanted).collect()
     # pivots are of one length; vectors of others are cells of their own, without a pivot
     width = len(sampled[0]["v"]) if sampled else 0
     pivots = [bytes(r["v"]) for r in sampled if len(r["v"]) == width]
@@ -104,26 +108,27 @@ def near_links(spark: SparkSession, vectors: DataFrame, scratch: Scratch, cosine
         if not pivots:  # no vector can be linked
             return
         p = _unit(pivots, kind)
-        between = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
         for batch in batches:
             raw = batch.column("v").to_pylist()
             home, others = np.full(len(raw), m), [[] for _ in raw]
             at = [i for i, v in enumerate(raw) if len(v) == width]
-            if at:
-                d = np.sqrt(np.maximum(2 - 2 * _unit([raw[i] for i in at], kind) @ p.T, 0))
+            for lo in range(0, len(at), 1024):
+                some = at[lo : lo + 1024]
+                d = np.sqrt(np.maximum(2 - 2 * _unit([raw[i] for i in some], kind) @ p.T, 0))
                 own = d.argmin(1)
-                mine = d[np.arange(len(at)), own][:, None]
-                plane = (d * d - mine * mine) / np.maximum(2 * between[own], 1e-300)
+                mine = d[np.arange(len(some)), own][:, None]
+                between = np.sqrt(np.maximum(2 - 2 * p[own] @ p.T, 0))
+                plane = (d * d - mine * mine) / np.maximum(2 * between, 1e-300)
                 near = (d <= mine + 2 * eps) & (plane <= eps) & (np.arange(m)[None, :] < own[:, None])
-                for k, i in enumerate(at):
+                for k, i in enumerate(some):
                     home[i] = own[k]
                     others[i] = np.flatnonzero(near[k]).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("copies"), batch.column("v"), pa.array(home, pa.int32()), pa.array(others, pa.list_(pa.int32()))],
-                names=["vec_id", "copies", "v", "home", "others"],
+                [batch.column("unit"), batch.column("copies"), batch.column("v"), pa.array(home, pa.int32()), pa.array(others, pa.list_(pa.int32()))],
+                names=["unit", "copies", "v", "home", "others"],
             )
 
-    placed = same.select("vec_id", "copies", "v").mapInArrow(assign, "vec_id long, copies long, v binary, home int, others array<int>")
+    placed = same.select("unit", "copies", "v").mapInArrow(assign, "unit long, copies long, v binary, home int, others array<int>")
     placed = scratch.keep(placed, "placed")
     held = {r["home"]: r["count"] for r in placed.groupBy("home").count().collect()}
     sent = {r["c"]: r["count"] for r in placed.select(F.explode("others").alias("c")).groupBy("c").count().collect()}
@@ -131,13 +136,13 @@ def near_links(spark: SparkSession, vectors: DataFrame, scratch: Scratch, cosine
     all_blocks = [max(1, -(-(held.get(c, 0) + sent.get(c, 0)) // BLOCK)) for c in range(m + 1)]
     of = lambda per, c: F.element_at(F.array(*map(F.lit, per)), F.col(c) + 1)
 
-    homes = placed.select("vec_id", "copies", "v", F.col("home").alias("cell"))
-    homes = homes.withColumn("i", F.pmod(F.xxhash64(F.lit(4), "vec_id"), of(own_blocks, "cell")).cast("int"))
+    homes = placed.select("unit", "copies", "v", F.col("home").alias("cell"))
+    homes = homes.withColumn("i", F.pmod(F.xxhash64(F.lit(4), "unit"), of(own_blocks, "cell")).cast("int"))
     homes = homes.withColumn("j", F.explode(F.sequence(F.lit(0), of(all_blocks, "cell") - 1))).withColumn("side", F.lit(0))
     members = placed.select(
-        "vec_id", "copies", "v", F.explode(F.concat(F.array("home"), "others")).alias("cell"), F.col("home")
+        "unit", "copies", "v", F.explode(F.concat(F.array("home"), "others")).alias("cell"), F.col("home")
     ).withColumn("side", F.when(F.col("home") == F.col("cell"), 1).otherwise(2)).drop("home")
-    members = members.withColumn("j", F.pmod(F.xxhash64(F.lit(5), "vec_id"), of(all_blocks, "cell")).cast("int"))
+    members = members.withColumn("j", F.pmod(F.xxhash64(F.lit(5), "unit"), of(all_blocks, "cell")).cast("int"))
     members = members.withColumn("i", F.explode(F.sequence(F.lit(0), of(own_blocks, "cell") - 1)))
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
@@ -148,7 +153,7 @@ def near_links(spark: SparkSession, vectors: DataFrame, scratch: Scratch, cosine
             if left.empty or right.empty:
                 continue
             a, b = _unit(left["v"].tolist(), kind), _unit(right["v"].tolist(), kind)
-            ida, idb = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
+            ida, idb = left["unit"].to_numpy(), right["unit"].to_numpy()
             ca, cb = left["copies"].to_numpy(), right["copies"].to_numpy()
             visitor = right["side"].to_numpy() == 2
             got_a, got_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
@@ -181,17 +186,18 @@ def near_links(spark: SparkSession, vectors: DataFrame, scratch: Scratch, cosine
             "n": pd.array([x[2] for x in out], dtype="Int64"),
         })
 
-    columns = ["cell", "i", "j", "side", "vec_id", "copies", "v"]
+    columns = ["cell", "i", "j", "side", "unit", "copies", "v"]
     met = homes.select(columns).unionByName(members.select(columns)).groupBy("cell", "i", "j").applyInPandas(join, "a long, b long, n long")
     met = scratch.keep(met, "met")
-    degrees = met.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    classes = components(scratch, met.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
-    found = same.select("h1", "h2", F.col("vec_id").alias("rep"), "copies").join(degrees, "rep", "left").join(classes, "rep", "left")
-    found = found.select(
-        "h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
-    )
+    degrees = met.where("b IS NULL").groupBy(F.col("a").alias("unit")).agg(F.sum("n").alias("others"))
+    classes = components(scratch, met.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "unit")
+    found = same.select("unit", "h1", "h2", "vec_id", "copies").join(degrees, "unit", "left").join(classes, "unit", "left")
+    found = scratch.keep(found.withColumn("component", F.coalesce("component", "unit")), "found")
+    # a component is named by the smallest id in it: a minimum for each task first
+    names = found.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    found = found.join(names, "component").select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     # the vectors' side of this join may have a hot key; the other has one row for each
-    linked = keyed.select("vec_id", "h1", "h2").join(scratch.keep(found, "found"), ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    linked = keyed.select("vec_id", "h1", "h2").join(scratch.keep(found, "named"), ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     apart = ids.where("vec_id IS NULL").select("vec_id").unionByName(_invalid(ids, kind))
     apart = apart.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Block, Scratch, blocks, components, id_text, mix64, table
+from .common import NULL_ID, Block, Scratch, blocks, components, id_text, mix64, table, unused
 
 #: Counters of the frequency classes, and slices in which tasks send them.
 COUNTERS, SLICES = 1 << 20, 64
@@ -634,5 +634,6 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Near-duplicates are at 0.8 or more on shingles of five words.
     """
     found = similar(spark, docs.select("doc_id", "text"), Scratch(spark, "ngramdocs"), 80, 5)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (name,) = unused(docs, "gone")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -23,7 +23,8 @@ packed arrays to shards and get one byte for each segment back:
 
 An anchor with very many distinct segments would make one shard large.  Its
 windows are sent one by one instead, dealt by their own hash, to the same
-expansion.
+expansion, which compares them.  Where a hash brought segments together as
+equal in a shard, their bytes are compared too.
 """
 
 from __future__ import annotations
@@ -354,25 +355,47 @@ def shared_windows(segs: list[np.ndarray], sizes: np.ndarray, ids: np.ndarray, p
     return list(zip(owner[a].tolist(), offset[a].tolist(), offset[b].tolist(), strict=True)) if len(owner) else []
 
 
+def unlike(data: np.ndarray, begin: np.ndarray, size: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which stretches differ from the ones ``of`` in their bytes."""
+    out = size != size[of]
+    check = np.flatnonzero(~out & (of != np.arange(len(of))))
+    step = 1 + (1 << 24) // (2 * SPAN)
+    for lo in range(0, len(check), step):
+        u = check[lo : lo + step]
+        differs = gather(data, begin[u], size[u]) != gather(data, begin[of[u]], size[u])
+        out[u] = np.add.reduceat(differs, np.cumsum(size[u]) - size[u]) > 0
+    return out
+
+
 def second_answers(frame: pd.DataFrame) -> list[tuple[bytes, bytes, int]]:
     """For each message: which units are not the earliest of their string, and runs in those that are."""
     counts = frame["n"].to_numpy()
-    key, seg, ids, place, size, data = [], [], [], [], [], []
+    key, seg, ids, place, size, alone, data = [], [], [], [], [], [], []
     for raw, n in zip(frame["payload"], counts, strict=True):
-        k, s, i, p, z = unpack(raw, n, "<u8", "<u8", "<i8", "<i8", "<i4")
-        key.append(k), seg.append(s), ids.append(i), place.append(p), size.append(z)
-        data.append(np.frombuffer(zlib.decompress(raw), np.uint8)[36 * n :])
-    key, seg, ids, place, size = (np.concatenate(x) for x in (key, seg, ids, place, size))
+        k, s, i, p, z, w = unpack(raw, n, "<u8", "<u8", "<i8", "<i8", "<i4", "u1")
+        key.append(k), seg.append(s), ids.append(i), place.append(p), size.append(z), alone.append(w)
+        data.append(np.frombuffer(zlib.decompress(raw), np.uint8)[37 * n :])
+    key, seg, ids, place, size, alone = (np.concatenate(x) for x in (key, seg, ids, place, size, alone))
     data = np.concatenate(data)
     begin = np.cumsum(size.astype(np.int64)) - size
+    # segments of one hash are one if their bytes are; a window by itself is compared by the expansion alone
+    alone = alone > 0
+    seg = np.where(alone, np.arange(len(seg), dtype=np.uint64), seg)
     first, group = distinct(key, seg, ids, place)
+    other = unlike(data, begin, size.astype(np.int64), first[group])
+    if other.any():
+        seg = seg.copy()
+        for u in np.flatnonzero(other).tolist():
+            raw = data[begin[u] : begin[u] + size[u]].tobytes()
+            seg[u] ^= np.frombuffer(hashlib.sha256(raw).digest()[:8], "<u8")[0] | np.uint64(1)
+        first, group = distinct(key, seg, ids, place)
     # an entry is the earliest if it has the id of the earliest
     earliest = (ids == ids[first][group]) & (place == place[first][group])
     # batches of whole keys
     k = key[first]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
-    many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+    many = (np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1) if len(k) else new
     runs: dict[int, list[tuple[int, int]]] = {}
     todo = first[many]
     starts = np.flatnonzero(new[many])
@@ -454,7 +477,7 @@ def resolve(units: Units, said: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarra
     asks = (answer == ASK) & earliest
     ask = {
         "key": units.anchor[asks] >> np.uint64(16), "seg": units.seg[asks], "doc": units.doc[asks], "place": place[asks],
-        "size": (units.stop - units.start)[asks] + SPAN,
+        "size": (units.stop - units.start)[asks] + SPAN, "alone": np.zeros(int(asks.sum()), np.uint8),
     }
     out = [units.doc[goes], place[goes], last[goes]]
     crowded = np.flatnonzero(answer == WINDOWS)
@@ -465,11 +488,16 @@ def resolve(units: Units, said: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarra
         doc = np.repeat(units.doc[crowded], count)
         at = start - units.offsets[doc]
         h = np.concatenate([window_hashes(units.data[start[k : k + 50_000, None] + np.arange(SPAN)]) for k in range(0, len(start), 50_000)])
-        first, _ = distinct(h, h, units.ids[doc], at)
+        first, group = distinct(h, h, units.ids[doc], at)
         again = np.ones(len(h), bool)
         again[first] = False
+        # a window whose bytes are not those of the first of its hash asks for itself
+        other = unlike(units.data, start, np.full(len(start), SPAN), first[group])
+        again &= ~other
+        first = np.concatenate([first, np.flatnonzero(other)])
         out = [np.concatenate([a, b]) for a, b in zip(out, (doc[again], at[again], at[again]), strict=True)]
-        more = {"key": h[first], "seg": h[first], "doc": doc[first], "place": at[first], "size": np.full(len(first), SPAN)}
+        # all windows that may be equal have one key in a shard, but keys are few, so that a key's windows are expanded together
+        more = {"key": h[first] >> np.uint64(16), "seg": h[first], "doc": doc[first], "place": at[first], "size": np.full(len(first), SPAN), "alone": np.ones(len(first), np.uint8)}
         ask = {k: np.concatenate([v, more[k]]) for k, v in ask.items()}
     return tuple(out), ask
 
@@ -527,9 +555,35 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, texts
 
     With ``texts``, ``kept`` holds the remaining bytes where any were removed.
     A null text is empty; documents under ``SPAN`` bytes lose nothing.  A
-    document without an id comes after all others.  Ids are expected to
-    be unique: of rows that share one, which starts earlier is not defined.
+    document without an id comes after all others.  Rows that share an id, or
+    have none, come in the order of their texts' hashes; equal rows are
+    alike, so the result does not depend on how the table is divided.  Very
+    long texts are scanned in chunks; other columns have no influence; an empty
+    table gives no rows.
     """
+    rows = id_text(docs)
+    if not _repeated_ids(rows):
+        return _removed(spark, rows, scratch, texts)
+    keyed = _keyed(rows, scratch)
+    found = _removed(spark, keyed.select(F.col("key").alias("doc_id"), "text"), scratch, texts).withColumnRenamed("doc_id", "key")
+    return found.join(keyed.select("key", "doc_id"), "key").select(*_NAMES)
+
+
+def _repeated_ids(rows: DataFrame) -> bool:
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NULL_ID)))
+    return bool(rows.groupBy(ident.alias("id")).count().where("count > 1").limit(1).count())
+
+
+def _keyed(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``rows`` with ``key``, different for each, in the order of the ids and then of the texts' hashes."""
+    rows = scratch.keep(rows.withColumn("row_at", F.monotonically_increasing_id()), "rows")
+    order = rows.select("row_at", F.col("doc_id").cast("long").alias("id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("sha"))
+    order = order.orderBy(F.col("id").asc_nulls_last(), "sha", "row_at").select("row_at", F.monotonically_increasing_id().alias("key"))
+    return scratch.keep(rows.join(scratch.keep(order, "order"), "row_at").drop("row_at"), "keyed")
+
+
+def _removed(spark: SparkSession, docs: DataFrame, scratch: Scratch, texts: bool) -> DataFrame:
+    """``remove_repeats`` for ids that are different."""
     texts_of = id_text(docs)
     total = texts_of.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD))
@@ -577,7 +631,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch, texts
                         at = np.flatnonzero(shard == s)
                         size = asks["size"][at]
                         payload = pack(
-                            asks["key"][at], asks["seg"][at], ids[asks["doc"][at]].astype("<i8"), asks["place"][at].astype("<i8"), size.astype("<i4"),
+                            asks["key"][at], asks["seg"][at], ids[asks["doc"][at]].astype("<i8"), asks["place"][at].astype("<i8"), size.astype("<i4"), asks["alone"][at],
                             gather(data, offsets[asks["doc"][at]] + asks["place"][at], size),
                         )
                         out.append(("ask", number, s, len(at), payload, *nobody))
@@ -645,34 +699,24 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     A character that a removal has cut is left out; ``n_chars``, if there, is
     counted anew where the text changed.  Of rows that share an id, or have
-    none, each counts for itself.
+    none, each counts for itself.  Other columns may have any name.
     """
     scratch = Scratch(spark, "spandocs")
-    keyed = _keyed(docs, scratch)
-    found = remove_repeats(spark, keyed.select(F.col("_key").alias("doc_id"), "text"), scratch, texts=True).where("n_removed > 0")
-    changed = found.select(F.col("doc_id").alias("_id"), _decoded("kept").alias("_kept"))
-    joined = keyed.join(changed, F.col("_key").eqNullSafe(F.col("_id")), "left")
-    out = [F.coalesce("_kept", F.col("text").cast("string")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    if "n_chars" in docs.columns:
-        k = docs.columns.index("n_chars")
-        n = F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars"))
-        out[k] = n.cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    keyed = _keyed(rows, scratch) if _repeated_ids(rows) else rows.withColumn("key", F.col("doc_id"))
+    ids = keyed.select(F.col("key").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _removed(spark, ids, scratch, texts=True).where("n_removed > 0")
+    changed = found.select(F.col("doc_id").alias("id"), _decoded("kept").alias("kept"))
+    joined = keyed.join(changed, F.col("key").eqNullSafe(F.col("id")), "left")
+    out = []
+    for c in docs.columns:
+        own = F.col("row")[c] if c != "text" else F.coalesce("kept", F.col("text").cast("string")).cast(docs.schema["text"].dataType)
+        if c == "n_chars":
+            own = F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(own).cast(docs.schema[c].dataType)
+        out.append(own.alias(c))
     return joined.select(*out)
 
 
-def _keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``docs`` with ``_key``, in the order of the ids and different for each row."""
-    ident = F.col("doc_id").cast("long")
-    if not docs.groupBy(F.coalesce(ident, F.lit(int(NULL_ID))).alias("_id")).count().where("count > 1").limit(1).count():
-        return docs.withColumn("_key", ident)
-    rows = scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    order = rows.select("_row", ident.alias("_id")).orderBy(F.col("_id").asc_nulls_last(), "_row")
-    order = scratch.keep(order.select("_row", F.monotonically_increasing_id().alias("_key")), "order")
-    keyed = scratch.keep(rows.join(order, "_row").drop("_row"), "keyed")
-    scratch.drop(rows, order)
-    return keyed
-
-
 def _decoded(column: str):
     @F.pandas_udf("string")
     def decode(raw: pd.Series) -> pd.Series:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,14 @@ def test_vectors(spark, scratch, monkeypatch):
     assert embedding_join.near_links(spark, df.limit(0), scratch).count() == 0
 
 
+def test_vectors_that_share_an_id(spark, scratch):
+    big = [1e200, 2e200, 0.0]
+    rows = [(5, [1.0, 0.1, 0.0]), (5, [1.0, 0.0, 0.0]), (7, big), (8, [1.0, 2.0, 0.0]), (9, [1e-320, 0.0, 1e-320]), (10, [1.0, 0.0, 1.0]), (11, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_join.near_links(spark, df, scratch).collect())
+    assert got == [(5, 1, 5), (5, 1, 5), (7, 1, 7), (8, 1, 7), (9, 1, 9), (10, 1, 9), (11, 0, 11)]
+
+
 # op4
 
 
@@ -349,6 +358,47 @@ def test_repeats(spark, scratch, monkeypatch, block, hot, crowd):
     assert got == repeats([(i, (t or "").encode()) for i, t in docs])
 
 
+def test_crowded_windows_are_expanded(monkeypatch):
+    """All hashes of windows alike: the expansion alone tells them apart, and finds the later ones."""
+    calls = []
+    whole = substring_dedup.expand
+    monkeypatch.setattr(substring_dedup, "expand", lambda *a: calls.append(1) or whole(*a))
+    monkeypatch.setattr(substring_dedup, "window_hashes", lambda w: np.full(len(w), 77 << 16, np.uint64))
+    rnd = random.Random(3)
+    a, b = ("".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (260, 180))
+    texts = [a, "xx" + a[50:230], b, b + a[:120]]
+    frames, gone = [], [np.zeros(len(t), bool) for t in texts]
+    for k, t in enumerate(texts):
+        units = substring_dedup.Units(np.array([k]), np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        (doc, lo, hi), ask = substring_dedup.resolve(units, np.full(len(units.first), substring_dedup.WINDOWS, np.uint8))
+        for x, y in zip(lo.tolist(), hi.tolist(), strict=True):
+            gone[k][x : y + 100] = True
+        size = ask["size"]
+        payload = substring_dedup.pack(
+            ask["key"], ask["seg"], np.full(len(size), k, "<i8"), ask["place"].astype("<i8"), size.astype("<i4"), ask["alone"], substring_dedup.gather(units.data, ask["place"], size)
+        )
+        frames.append((ask, {"payload": payload, "n": len(size)}))
+    answers = substring_dedup.second_answers(pd.DataFrame([f for _, f in frames]))
+    for k, ((ask, _), (later, runs, _)) in enumerate(zip(frames, answers, strict=True)):
+        for u in np.flatnonzero(np.frombuffer(zlib.decompress(later), "u1")).tolist():
+            gone[k][ask["place"][u] : ask["place"][u] + 100] = True
+        for u, x, y in np.frombuffer(runs, "<i4").reshape(-1, 3).tolist():
+            gone[k][ask["place"][u] + x : ask["place"][u] + y + 100] = True
+    assert calls and [int(g.sum()) for g in gone] == [r[2] for r in repeats([(k, t.encode()) for k, t in enumerate(texts)])]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeats_of_rows_that_share_an_id(spark, scratch, parts):
+    rnd = random.Random(19)
+    a, b, c = (" ".join(str(rnd.random()) for _ in range(14)) for _ in range(3))
+    rows = [(5, a), (5, b + a), (5, a), (None, c), (None, c), (None, a + c), (2, b)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in substring_dedup.remove_repeats(spark, df, scratch).collect())
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest()))
+    want = repeats([(k, t.encode()) for k, (_, t) in enumerate(order)])
+    assert got == sorted((order[k][0] or 0, n, gone) for k, n, gone, *_ in want)
+
+
 def test_repeats_in_documents(spark, scratch):
     text = "é" * 120
     docs = spark.createDataFrame([(1, text, "a", "s", 120), (2, "x" + text + "y", "a", "s", 122), (None, text, None, None, None), (3, None, "a", "s", 0)], DOCS)
