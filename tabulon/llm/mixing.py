@@ -22,6 +22,8 @@ from .common import Scratch, table, word_count
 
 #: Documents or residuals that one reduction joins, on average.
 LEAF = 64
+#: Equal rows that are made together.
+RUN = 4096
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -75,7 +77,7 @@ def _pivot(held: Column, unit: Column) -> Column:
     return F.when(a.isNull(), F.struct(b.alias("rest"), held["done"].alias("done"))).otherwise(met)
 
 
-def mix(
+def shares(
     sized: DataFrame,
     scratch: Scratch,
     weights: tuple[float, ...] = (3, 1, 2),
@@ -83,21 +85,16 @@ def mix(
     most: float = 2.0,
     seed: int = 20240,
 ) -> DataFrame:
-    """Rows of ``sized`` (doc_id, source, size) with source_size, target, copies.
-
-    Each row is one unit, rows that repeat an id included; a null source is a
-    source of its own, the last.  A document without words gets no copy.  An
-    empty table gives an empty result.  The draws depend on ids alone, so
-    reruns agree.
-    """
-    units = sized.join(
+    """(doc_id, source, size, rows, source_size, target, copies): equal rows of ``sized``, counted, and their copies together."""
+    alike = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"))
+    units = alike.join(
         source_targets(sized, weights, share, most).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))
     ).drop("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    units = units.withColumn("rate", rate).withColumn("sure", F.floor("rate"))
-    units = units.withColumn("p", F.col("rate") - F.col("sure"))
+    units = units.withColumn("whole", F.col("rows") * rate).withColumn("sure", F.floor("whole"))
+    units = units.withColumn("p", F.col("whole") - F.col("sure")).drop("whole")
     units = scratch.keep(units, "units")
-    out_cols = ["doc_id", "source", "size", "source_size", "target"]
+    out_cols = ["doc_id", "source", "size", "rows", "source_size", "target"]
     decided = [
         units.where("p = 0 OR size = 0").select(
             *out_cols, F.when(F.col("size") > 0, F.col("sure")).otherwise(F.lit(0)).cast("long").alias("copies")
@@ -112,7 +109,7 @@ def mix(
     level = open_units.join(counts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
         "source",
         buckets.alias("nb"),
-        F.pmod(F.xxhash64(F.lit(seed), "doc_id"), buckets).alias("bucket"),
+        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), buckets).alias("bucket"),
         _unit(_uniform(0, seed, "doc_id", "size")).alias("unit"),
     )
     depth, left = 0, -(-most_units // LEAF)
@@ -140,11 +137,36 @@ def mix(
     return reduce(DataFrame.unionByName, decided)
 
 
+def _of_row(nth: Column) -> Column:
+    """The copies of the ``nth`` of some equal rows, as even as whole numbers allow."""
+    extra = F.when(nth <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    return (F.floor(F.col("copies") / F.col("rows")) + extra).cast("long")
+
+
+def mix(sized: DataFrame, scratch: Scratch, **how) -> DataFrame:
+    """Rows of ``sized`` (doc_id, source, size) with source_size, target, copies; ``how`` as in ``shares``.
+
+    A null source is a source of its own, the last; a null id is an id.  Rows
+    alike in all three are one unit of the rounding, so none of them meet in
+    one place, and share its copies as evenly as whole numbers allow.  A
+    document without words gets no copy.  An empty table gives an empty
+    result.  The draws depend on ids and sizes alone, so reruns agree.
+    """
+    found = shares(sized, scratch, **how)
+    cols = ["doc_id", "source", "size", "source_size", "target"]
+    one = found.where("rows = 1").select(*cols, "copies")
+    # the rows of a unit are made in runs, which are dealt to all tasks
+    runs = found.where("rows > 1").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / RUN))).alias("run"))
+    runs = runs.repartition(F.xxhash64("doc_id", "source", "size", "run"))
+    nth = F.explode(F.sequence(F.col("run") * RUN + 1, F.least(F.col("run") * RUN + RUN, F.col("rows")))).alias("nth")
+    return one.unionByName(runs.select("*", nth).select(*cols, _of_row(F.col("nth")).alias("copies")))
+
+
 def _unit(u: Column) -> Column:
     """The unit struct with its uniform number in place."""
     return F.struct(
         u.alias("u"), F.col("doc_id"), F.col("size").cast("double").alias("size"),
-        (F.col("p") * F.col("size")).alias("mass"), F.col("sure"), F.col("source_size"), F.col("target"),
+        (F.col("p") * F.col("size")).alias("mass"), F.col("sure"), F.col("rows"), F.col("source_size"), F.col("target"),
     )
 
 
@@ -152,7 +174,7 @@ def _decided() -> list[Column]:
     extra = F.when(F.col("unit.mass") >= F.col("unit.size"), 1).otherwise(0)
     return [
         F.col("unit.doc_id").alias("doc_id"), "source", F.col("unit.size").cast("long").alias("size"),
-        F.col("unit.source_size").alias("source_size"), F.col("unit.target").alias("target"),
+        F.col("unit.rows").alias("rows"), F.col("unit.source_size").alias("source_size"), F.col("unit.target").alias("target"),
         (F.col("unit.sure") + extra).cast("long").alias("copies"),
     ]
 
@@ -176,22 +198,19 @@ def mix_documents(spark, docs: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it.
 
     Rows alike in id, source and size share their copies as evenly as whole
-    numbers allow.
+    numbers allow, in the order of their texts' hashes.  Other columns may have
+    any name.
     """
     scratch = Scratch(spark, "mixdocs")
-    mixed = mix(scratch.keep(sized(docs), "sized"), scratch)
-    key = ["doc_id", "source", "size"]
-    per = mixed.groupBy(*key).agg(F.sum("copies").alias("all_copies"), F.count("*").alias("rows"))
-    per = per.where("all_copies > 0").select(*[F.col(k).alias(f"_{k}") for k in key], "all_copies", "rows")
-    docs = docs.withColumn("_words", word_count(F.col("text").cast("string")))
-    same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-        & F.col("_words").eqNullSafe(F.col("_size"))
-    )
-    nth = F.row_number().over(Window.partitionBy("_doc_id", "_source", "_size").orderBy(F.lit(0)))
-    joined = docs.join(per, same).withColumn("_nth", F.when(F.col("rows") > 1, nth).otherwise(1))
-    copies = F.floor(F.col("all_copies") / F.col("rows")) + F.when(F.col("_nth") <= F.col("all_copies") % F.col("rows"), 1).otherwise(0)
-    joined = joined.withColumn("_copies", copies.cast("int")).where("_copies > 0")
-    named = [c for c in docs.columns if c != "_words"]
-    return joined.select(*[F.col(f"`{c}`") for c in named], F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_")).drop("_")
+    per = shares(scratch.keep(sized(docs), "sized"), scratch).where("copies > 0")
+    # one hash stands for the three in the exchange, so that rows are numbered where they are joined
+    key = F.xxhash64(F.struct("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull(), "size")).alias("k")
+    per = per.select(key, F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "rows", "copies")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"))
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    joined = rows.withColumn("k", key).join(per, "k").where(same)
+    nth = F.row_number().over(Window.partitionBy("k", "i", "s", "z").orderBy(F.xxhash64(F.col("row")["text"].cast("string"))))
+    copies = F.when(F.col("rows") == 1, F.col("copies")).otherwise(_of_row(nth)).cast("int")
+    taken = joined.select("row", copies.alias("taken")).select("row", F.explode(F.array_repeat(F.lit(0), F.col("taken"))))
+    return taken.select(*[F.col("row")[c].alias(c) for c in docs.columns])

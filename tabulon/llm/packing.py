@@ -1,50 +1,90 @@
 """Operator 6: variable-capacity best-fit packing.
 
-Documents are cut into pieces no longer than the largest permitted sequence;
-pieces go, longest first, to the open bin that they fill best.  Where none
-has room, a bin of the permitted length with the least cost for each token
-that it can still get is opened.  At the end each bin shrinks to the smallest
-permitted length that holds its contents.
-
-Only ids and lengths are shuffled.  Documents are dealt by a hash of their id
-to groups of about ``GROUP``, which are packed independently, so no task
-grows with the input; what this costs is at most the last bins of a group.
+Documents are cut into pieces of no more words than the largest permitted
+sequence; pieces go, longest first, to the open bin that they fill best.  Where
+none has room, a bin is opened: for each permitted length it is worked out what
+the pieces that are left would fill it with, and what the bin, shrunk to that,
+costs a word; the cheapest is taken.  At the end each bin shrinks to the
+smallest permitted length that holds its contents.
+
+Texts are packed where they are read, in blocks of about ``BLOCK`` bytes.  Bins
+that a block leaves under ``FULL`` are opened again, and their pieces, dealt
+evenly to groups of about the same bytes, are packed once more.  So only these
+are shuffled, and no task grows with the input or with a key of it.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, word_count
+from .common import NULL_ID, Block, Scratch, blocks, id_text, table
 
-#: Documents that are packed together, on average.
-GROUP = 20_000
+#: Permitted lengths, in words.
+CAPACITIES = (512, 1024, 2048, 4096)
+#: Bytes of text that are packed together, about.
+BLOCK = 16 << 20
+#: Share of its length that a bin of the first round must hold to stay.
+FULL = 0.97
 
-PACKED = "doc_id long, piece int, start long, length long, bin_id long, capacity int, bin_used int"
+PIECES = "array<struct<doc_id:long,piece:int,start:long,length:long,text:string>>"
+PACKED = f"seq_id long, capacity int, used int, pieces {PIECES}"
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def cost(capacity: int, fixed: float = 64.0, quadratic: float = 1 / 16384) -> float:
-    """Of one sequence: a fixed part, its tokens, and attention over them."""
+    """Of one sequence: a fixed part, its words, and attention over them."""
     return fixed + capacity + quadratic * capacity * capacity
 
 
+class Rest:
+    """The lengths that are not packed yet, and what a bin would be filled with."""
+
+    def __init__(self, lengths: list[int]):
+        values, counts = np.unique(np.array(lengths, np.int64), return_counts=True)
+        self.values, self.left = values.tolist(), dict(zip(values.tolist(), counts.tolist(), strict=True))
+
+    def take(self, n: int) -> None:
+        self.left[n] -= 1
+        if not self.left[n]:
+            del self.left[n]
+            self.values.pop(bisect_left(self.values, n))
+
+    def fill(self, room: int) -> int:
+        """How much of ``room`` the largest pieces that fit take, one size after the other."""
+        start, at = room, len(self.values)
+        while room:
+            at = bisect_left(self.values, room + 1, 0, at) - 1
+            if at < 0:
+                break
+            n = self.values[at]
+            room -= n * min(self.left[n], room // n)
+        return start - room
+
+
 def pack(lengths: list[int], capacities: tuple[int, ...]) -> tuple[list[int], list[int], list[int]]:
     """The bin of each piece, and each bin's final capacity and contents.
 
     ``lengths`` are at most the largest capacity.  Ties keep their order.
     """
     caps = sorted(capacities)
+    shrunk = lambda used: next(c for c in caps if c >= used)
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
-    remaining = sum(lengths)
+    rest = Rest(lengths)
     room: dict[int, list[int]] = {}  # open bins by the room they have
     sizes: list[int] = []  # the keys of room, sorted
     where, used = [0] * len(lengths), []
     for i in order:
         n = lengths[i]
+        rest.take(n)
         at = bisect_left(sizes, n)
         if at < len(sizes):
             space = sizes[at]
@@ -53,64 +93,110 @@ def pack(lengths: list[int], capacities: tuple[int, ...]) -> tuple[list[int], li
                 del room[space]
                 sizes.pop(at)
         else:
-            # what the bin can be filled with bounds the use of a longer one
-            cap = min((c for c in caps if c >= n), key=lambda c: (cost(c) / min(c, remaining), c))
-            space, b = cap, len(used)
+            filled = {c: n + rest.fill(c - n) for c in caps if c >= n}
+            space, b = min(filled, key=lambda c: (cost(shrunk(filled[c])) / filled[c], c)), len(used)
             used.append(0)
         where[i] = b
         used[b] += n
-        remaining -= n
         left = space - n
         if left:
             if left not in room:
                 room[left] = []
                 insort(sizes, left)
             room[left].append(b)
-    return where, [next(c for c in caps if c >= u) for u in used], used
+    return where, [shrunk(u) for u in used], used
+
+
+def pieces_of(block: Block, largest: int) -> tuple[np.ndarray, ...]:
+    """(document, piece, first word, words, first byte) of each piece of a block's documents, in order.
+
+    A piece reaches to the next one's first byte, so pieces give back the text.
+    """
+    inner = ~_SPACE[block.data]
+    first = inner.copy()
+    first[1:] &= ~inner[:-1]
+    begins = block.offsets[:-1][block.lengths > 0]
+    first[begins] = inner[begins]
+    starts = np.flatnonzero(first)
+    upto = np.searchsorted(starts, block.offsets)
+    words = np.diff(upto)
+    n = np.maximum(-(-words // largest), 1)
+    doc = np.repeat(np.arange(len(block)), n)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    start = piece * largest
+    at = block.offsets[doc].copy()
+    later = piece > 0
+    at[later] = starts[upto[doc[later]] + start[later]]
+    return doc, piece, start, np.minimum(words[doc] - start, largest), at
+
+
+def _sequences(rows: list[tuple], ids: pa.Array, piece, start, length, text: pa.Array) -> pa.RecordBatch:
+    """(seq_id, capacity, used, pieces) from ``rows`` with the places of each bin's pieces."""
+    order = pa.array(np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64), pa.int64())
+    columns = [ids, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), text]
+    taken = pa.StructArray.from_arrays([c.take(order) for c in columns], names=["doc_id", "piece", "start", "length", "text"])
+    ends = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
+    whole = pa.ListArray.from_arrays(pa.array(ends), taken)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), whole],
+        names=["seq_id", "capacity", "used", "pieces"],
+    )
+
 
+def _bins(length: np.ndarray, capacities: tuple[int, ...], name) -> list[tuple]:
+    """Rows for ``_sequences``; pieces without words are in no bin."""
+    real = np.flatnonzero(length > 0)
+    where, caps, used = pack(length[real].tolist(), capacities)
+    by = np.argsort(np.array(where, np.int64), kind="stable")
+    cuts = np.cumsum(np.bincount(np.array(where, np.int64), minlength=len(caps)))[:-1] if caps else []
+    rows = [(name(b), caps[b], used[b], real[own]) for b, own in enumerate(np.split(by, cuts))] if caps else []
+    return rows + [(None, 0, 0, np.array([k])) for k in np.flatnonzero(length == 0).tolist()]
 
-def pack_lengths(lengths: DataFrame, capacities: tuple[int, ...] = (512, 1024, 2048, 4096)) -> DataFrame:
-    """One row per piece of ``lengths`` (doc_id, n): where it starts, its bin, the bin's capacity and contents.
+
+def pack_texts(docs: DataFrame, scratch: Scratch, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
+    """The sequences of the documents (doc_id, text): seq_id, capacity, used, and the pieces with their texts.
 
     A document longer than the largest capacity gives several pieces, all but
-    the last of that capacity.  One without tokens (or with a null length) has
-    one piece of length 0 and no bin.  Rows that repeat an id, or have none,
-    are packed each for itself.  An empty table gives no rows.
+    the last of that many words; the pieces of a document, in order, are its
+    text.  One without words, or with a null text, is a piece by itself, with
+    no sequence id and capacity 0.  Rows that repeat an id, or have none, are
+    packed each for itself; other columns have no influence; ties keep their
+    order; an empty table gives no rows.
     """
-    rows = lengths.count()
-    groups = max(1, -(-rows // GROUP))
     largest = max(capacities)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n", "doc_id"], ascending=[False, True], kind="stable")
-        out, pieces = [], []
-        for doc, n in zip(frame["doc_id"].astype("Int64"), frame["n"], strict=True):
-            for k, start in enumerate(range(0, max(n, 1), largest)):
-                out.append((doc, k, start, min(n - start, largest)))
-        pieces = [i for i, x in enumerate(out) if x[3]]
-        where, caps, used = pack([out[i][3] for i in pieces], capacities)
-        group = int(frame["g"].iloc[0])
-        bins = pd.array([pd.NA] * len(out), dtype="Int64")
-        caps_of, used_of = pd.array([pd.NA] * len(out), dtype="Int32"), pd.array([pd.NA] * len(out), dtype="Int32")
-        if pieces:
-            bins[pieces] = [(group << 32) + b for b in where]
-            caps_of[pieces] = [caps[b] for b in where]
-            used_of[pieces] = [used[b] for b in where]
-        made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length"])
-        made["doc_id"] = made["doc_id"].astype("Int64")
-        return made.assign(bin_id=bins, capacity=caps_of, bin_used=used_of)
-
-    # documents with an id are dealt by it, those without by their length
-    dealt = lengths.select(
-        "doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.pmod(F.xxhash64(F.lit(6), F.coalesce("doc_id", "n")), F.lit(groups)).alias("g")
-    )
-    return dealt.groupBy("g").applyInPandas(run, PACKED)
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() << 40
+        for k, block in enumerate(blocks(batches, BLOCK)):
+            doc, piece, start, length, at = pieces_of(block, largest)
+            ends = pa.py_buffer(np.append(at, len(block.data)).astype(np.int64))
+            text = pa.LargeStringArray.from_buffers(len(at), ends, pa.py_buffer(np.ascontiguousarray(block.data))).cast(pa.string())
+            ids = block.ids[doc]
+            rows = _bins(length, capacities, lambda b, k=k: part | k << 22 | b)
+            yield _sequences(rows, pa.array(ids, mask=ids == NULL_ID), piece, start, length, text)
+
+    made = scratch.keep(id_text(docs).mapInArrow(first, PACKED), "first")
+    done = F.col("seq_id").isNull() | (F.col("used") >= F.col("capacity") * FULL)
+    rest = made.where(~done).select("seq_id", F.posexplode("pieces").alias("at", "p"))
+    size = rest.agg(F.sum(F.octet_length("p.text"))).first()[0] or 0
+    groups = max(1, -(-size // BLOCK))
+
+    def again(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["seq_id", "at"], kind="stable").reset_index(drop=True)
+        name = lambda b: -(int(key[0]) << 24 | b) - 1
+        rows = _bins(frame["length"].to_numpy(), capacities, name)
+        ids = pa.array(frame["doc_id"].astype("Int64"), pa.int64())
+        made = _sequences(rows, ids, frame["piece"], frame["start"], frame["length"], pa.array(frame["text"], pa.string()))
+        return made.to_pandas().astype({"seq_id": "Int64"})
+
+    dealt = rest.select(F.pmod(F.xxhash64("seq_id", "at"), F.lit(groups)).alias("g"), "seq_id", "at", "p.*")
+    return made.where(done).unionByName(dealt.groupBy("g").applyInPandas(again, PACKED))
 
 
 def pack_documents(spark, docs: DataFrame) -> DataFrame:
-    lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text").cast("string")).alias("n"))
-    scratch = Scratch(spark, "pack")
-    return pack_lengths(scratch.keep(lengths, "lengths"))
+    return pack_texts(docs, Scratch(spark, "pack"))
 
 
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
