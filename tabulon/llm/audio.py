@@ -33,6 +33,8 @@ LEVELS = (-0.2, 0.0, 0.2)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: An alignment counts from this overlap on, up to this share of differing bits.
 LEAST_OVERLAP, MOST_ERROR = 12, 0.15
+#: The integer of frames in which no filter finds a difference, as in silence.  It says nothing of a recording.
+SILENT = 0xFFFFFFFF
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -109,11 +111,12 @@ def fingerprint(wav: bytes | None) -> np.ndarray | None:
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
     """(offset, overlap, bit error): where ``b`` lies on ``a``, by the histogram of offsets of equal integers.
 
-    Ties go to the larger overlap, then the smaller offset.
+    Ties go to the larger overlap, then the smaller offset.  Silent places have
+    no vote and count neither as overlap nor as error in what is returned.
     """
     order = np.argsort(b, kind="stable")
     lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    n = hi - lo
+    n = np.where(a == SILENT, 0, hi - lo)
     if not n.sum():
         return None
     ends = np.cumsum(n)
@@ -123,7 +126,9 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
     best = np.lexsort((offsets, -overlap, -votes))[0]
     offset, common = int(offsets[best]), int(overlap[best])
     x, y = a[max(0, offset) : max(0, offset) + common], b[max(0, -offset) : max(0, -offset) + common]
-    return offset, common, float(np.bitwise_count(x ^ y).sum() / (32 * common))
+    heard = (x != SILENT) & (y != SILENT)
+    common = int(heard.sum())
+    return offset, common, float(np.bitwise_count(x[heard] ^ y[heard]).sum() / (32 * common))
 
 
 def fingerprints(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -145,8 +150,11 @@ def matched(spark: SparkSession, prints: DataFrame, scratch: Scratch, every: int
 
     Equal fingerprints are one class, named by its smallest id.  Queries are
     the ids divisible by ``every``, against all other classes that share an
-    integer: without one there is no alignment, so no match is left out.  Recordings without a fingerprint have no
-    class.
+    integer other than that of silence: without one there is no alignment, so
+    no match is left out.  Recordings without a fingerprint have no class.  Rows
+    that repeat an id are recordings of their own; ties go to the larger
+    overlap, then the smaller id; a long recording is read in parts; an empty
+    table gives no rows.
     """
     prints = scratch.keep(prints, "prints")
     classes = prints.where("items IS NOT NULL").groupBy("items").agg(F.min("rec_id").alias("class_id"), F.max(F.expr(f"rec_id % {every} = 0")).alias("asks"))
@@ -157,7 +165,7 @@ def matched(spark: SparkSession, prints: DataFrame, scratch: Scratch, every: int
             ids, keys, asks = [], [], []
             for ident, raw, ask in zip(*(batch.column(c).to_pylist() for c in ("class_id", "items", "asks")), strict=True):
                 x = np.frombuffer(raw, "<u4").astype(np.int64)
-                own = np.unique(x)
+                own = np.unique(x[x != SILENT])
                 ids.append(np.full(len(own), ident))
                 keys.append(own)
                 asks.append(np.full(len(own), ask))

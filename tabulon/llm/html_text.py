@@ -1,8 +1,9 @@
 """Operator 1: the visible text of HTML pages, laid out.
 
 A tokeniser feeds a tree builder that supplies implied tags (``html``,
-``body``, end tags of paragraphs, list items, cells, rows, options); a
-renderer walks the tree, leaves out what is not displayed, and keeps block
+``body``, end tags of paragraphs, list items, cells, rows, options).  The page's
+style sheets are cascaded over the tree, for display and visibility alone, and
+what is not visible is taken out.  A renderer walks the rest and keeps block
 spacing, list markers, preformatted text and tables with aligned columns.
 """
 
@@ -33,8 +34,9 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 _STOP = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.S)
 _SCREEN = re.compile(r"(?:only\s+)?(?:all|screen)", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-_SELECTOR = re.compile(r"^([a-z][a-z0-9-]*)?(?:\.([\w-]+)|#([\w-]+))?$", re.I)
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)\b", re.I)
+_COMPOUND = re.compile(r"(\*|[a-z][a-z0-9-]*)?((?:\.[\w-]+|#[\w-]+|\[\s*[\w-]+\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\])*)", re.I)
+_SIMPLE = re.compile(r"\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(=)?\s*(?:\"([^\"]*)\"|'([^']*)'|([\w-]*))\s*\]")
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility|content-visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +50,8 @@ CLOSES_P = frozenset(
     "header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split()
 )
 BLOCK = CLOSES_P | frozenset("html body tr caption legend optgroup option".split())
+#: What makes a table one of layout, when it is in a cell.
+BLOCK_IN_CELL = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre form section article".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre figure hr table fieldset".split())
 HEAD_ONLY = frozenset("base basefont bgsound link meta title style script noscript template head".split())
 #: A start tag ends the open elements named first, found above the scopes named second.
@@ -67,8 +71,12 @@ IMPLIED_ENDS = {
 }
 #: Elements that a paragraph's implied end is not looked for beyond.
 P_SCOPE = frozenset("td th table caption html button object template".split())
-#: Open elements at most; deeper ones become siblings, so no page can exhaust the stack.
-DEPTH = 300
+#: Elements that only format; their end tags leave blocks opened within them open.
+FORMATS = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark nobr q s samp small span strike strong sub sup tt u var".split())
+# The spans of cells that the HTML standard allows, and the depth at which browsers stop nesting (deeper elements become siblings).
+COLSPAN, ROWSPAN, DEPTH = 1000, 65534, 512
+#: Columns of text at which a cell of a table is broken into lines.
+WRAP = 80
 
 
 class Node:
@@ -145,7 +153,10 @@ def parse(html: str) -> Node:
             scope = ("table",) if tag not in ("table",) else ()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    if tag in FORMATS and any(x.tag in CLOSES_P for x in stack[k + 1 :]):
+                        del stack[k]
+                    else:
+                        del stack[k:]
                     break
                 if stack[k].tag in scope and tag not in ("tr", "td", "th"):
                     break
@@ -217,11 +228,23 @@ def on_screen(media: str) -> bool:
     return not media.strip() or any(_SCREEN.fullmatch(x.strip()) for x in media.split(","))
 
 
+def declared(css: str) -> Iterator[tuple[str, str, bool]]:
+    """(property, value, important) of the declarations that count here."""
+    for name, value, important in _DECLARED.findall(css):
+        yield name.lower(), value.lower(), bool(important)
+
+
 class Sheet:
-    """Which elements a page's own style sheets hide; simple selectors only."""
+    """What a page's own style sheets say of display and visibility.
+
+    Selectors of tags, classes, ids and attributes, with descendants and
+    children.  A rule with any other selector (states, siblings) does not count.
+    """
 
     def __init__(self, root: Node):
-        self.rules: list[tuple[str | None, str | None, str | None]] = []
+        #: by what the last compound needs: (compounds from the last one with what joins them, specificity, order, declarations)
+        self.rules: dict[str, list[tuple]] = {}
+        self.order = 0
         todo = [root]
         while todo:
             node = todo.pop()
@@ -250,10 +273,10 @@ class Sheet:
                     continue  # what is in it holds; its end is passed like any stray brace
             body, at = self.block(css, at)
             head = at
-            if selectors[:1] != "@" and _HIDES.search(body):
-                for s in selectors.split(","):
-                    if (m := _SELECTOR.match(s.strip())) and s.strip():
-                        self.rules.append((m[1] and m[1].lower(), m[2], m[3]))
+            if selectors[:1] != "@" and (said := list(declared(body))):
+                self.order += 1
+                for one in selectors.split(","):
+                    self.add(one.strip(), said)
 
     @staticmethod
     def block(css: str, at: int) -> tuple[str, int]:
@@ -274,29 +297,102 @@ class Sheet:
         parts.append(css[last:] if depth == 1 else "")
         return ";".join(parts), len(css)
 
-    def hides(self, node: Node) -> bool:
-        for tag, cls, ident in self.rules:
-            if (
-                (tag is None or tag == node.tag)
-                and (cls is None or cls in node.attrs.get("class", "").split())
-                and (ident is None or ident == node.attrs.get("id"))
-            ):
-                return True
-        return False
-
-
-def shown(node: Node, sheet: Sheet) -> bool:
-    if node.tag in NOT_SHOWN:
-        return False
-    a = node.attrs
-    if a:
-        if "hidden" in a or ("style" in a and _HIDES.search(a["style"])):
-            return False
-        if node.tag == "input" and a.get("type", "").lower() == "hidden":
+    def add(self, selector: str, said: list[tuple[str, str, bool]]) -> None:
+        parts = re.sub(r"\s*>\s*", " > ", re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(" ", ""), selector)).split()
+        chain, joined, weight = [], " ", [0, 0, 0]
+        for part in parts:
+            if part == ">":
+                joined = part
+                continue
+            m = _COMPOUND.fullmatch(part)
+            if m is None or not part:
+                return
+            simple = _SIMPLE.findall(m[2] or "")
+            tag = None if m[1] in (None, "*") else m[1].lower()
+            classes, ids = [x[0] for x in simple if x[0]], [x[1] for x in simple if x[1]]
+            attrs = [(x[2].lower(), (x[4] or x[5] or x[6]) if x[3] else None) for x in simple if x[2]]
+            weight = [weight[0] + len(ids), weight[1] + len(classes) + len(attrs), weight[2] + (tag is not None)]
+            chain.append((joined, tag, classes, ids, attrs))
+            joined = " "
+        if not chain:
+            return
+        _, tag, classes, ids, _ = chain[-1]
+        need = f"#{ids[0]}" if ids else f".{classes[0]}" if classes else tag or "*"
+        self.rules.setdefault(need, []).append((chain[::-1], tuple(weight), self.order, said))
+
+    @staticmethod
+    def fits(node: Node, compound: tuple) -> bool:
+        _, tag, classes, ids, attrs = compound
+        a = node.attrs
+        return (
+            (tag is None or tag == node.tag)
+            and (not classes or set(classes) <= set(a.get("class", "").split()))
+            and all(i == a.get("id") for i in ids)
+            and all(k in a and (v is None or a[k] == v) for k, v in attrs)
+        )
+
+    def holds(self, node: Node, path: list[Node], chain: list[tuple], at: int = 0) -> bool:
+        """Whether the compounds from ``at`` on fit ``node`` and the elements above it."""
+        if not self.fits(node, chain[at]):
             return False
-    if node.tag == "dialog" and "open" not in a:
-        return False
-    return not (sheet.rules and sheet.hides(node))
+        if at + 1 == len(chain):
+            return True
+        above = path[-1:] if chain[at][0] == ">" else path
+        return any(self.holds(x, path[: path.index(x)], chain, at + 1) for x in reversed(above))
+
+    def style(self, node: Node, path: list[Node]) -> dict[str, str]:
+        """The values that win for an element: important, then the more specific, then the later ones."""
+        a = node.attrs
+        won: dict[str, tuple] = {}
+        if "hidden" in a or (node.tag == "dialog" and "open" not in a):
+            won["display"] = ((False, (-1,), 0), "none")
+        if self.rules:
+            needs = ["*", node.tag, *(f".{c}" for c in a.get("class", "").split())]
+            needs += [f"#{a['id']}"] if "id" in a else []
+            for chain, weight, order, said in (r for n in needs for r in self.rules.get(n, ())):
+                if self.holds(node, path, chain):
+                    for name, value, important in said:
+                        rank = (important, weight, order)
+                        if name not in won or rank >= won[name][0]:
+                            won[name] = (rank, value)
+        if "style" in a:
+            for name, value, important in declared(a["style"]):
+                rank = (important, (9, 9, 9), 1 << 30)
+                if name not in won or rank >= won[name][0]:
+                    won[name] = (rank, value)
+        return {k: v for k, (_, v) in won.items()}
+
+
+def prune(node: Node, sheet: Sheet, path: list[Node], visible: bool) -> bool:
+    """Takes out of ``node`` what cannot be seen; whether anything is left to see.
+
+    Hidden elements stay as far as visible ones are in them, and cells stay
+    as they hold their column.
+    """
+    kept: list = []
+    some = False
+    path.append(node)
+    for x in node.children:
+        if isinstance(x, str):
+            if visible:
+                kept.append(x)
+                some = some or not x.isspace()
+            continue
+        if x.tag in NOT_SHOWN or (x.tag == "input" and x.attrs.get("type", "").lower() == "hidden"):
+            continue
+        own = sheet.style(x, path) if sheet.rules or x.attrs or x.tag == "dialog" else {}
+        if own.get("display") == "none":
+            continue
+        seen = {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(own.get("visibility"), visible)
+        if own.get("content-visibility") == "hidden":
+            x.children = []
+        inner = prune(x, sheet, path, seen)
+        if seen or inner or x.tag in ("td", "th"):
+            kept.append(x)
+            some = some or seen or inner
+    path.pop()
+    node.children = kept
+    return some
 
 
 class Lines:
@@ -343,101 +439,114 @@ class Lines:
             self.end_line(True)
 
 
-def _into(node: Node, out: Lines, sheet: Sheet, depth: int) -> None:
+def _into(node: Node, out: Lines, depth: int) -> None:
     for x in node.children:
         if isinstance(x, str):
             out.flow(x)
             continue
         tag = x.tag
-        if not shown(x, sheet):
-            continue
         if tag == "br":
             out.end_line(True)
         elif tag == "wbr":
             pass
+        elif tag == "input":
+            out.space = True
+            if label := _label(x.attrs):
+                out.flow(label)
+            out.space = True
         elif tag == "svg":  # each label stands for itself
-            for label in _labels(x, sheet):
+            for label in _labels(x):
                 out.space = True
-                _into(label, out, sheet, depth)
+                _into(label, out, depth)
                 out.space = True
         elif tag == "hr":
             out.block(2)
         elif tag in ("ul", "ol", "menu", "dir"):
             out.block(1 if depth else 2)
-            _list(x, out, sheet, depth)
+            _list(x, out, depth)
             out.block(1 if depth else 2)
         elif tag == "li":  # outside any list
             out.block(1)
-            out.put(_lines(x, sheet, depth + 1), "- ", "  ")
+            out.put(_lines(x, depth + 1), "- ", "  ")
             out.block(1)
         elif tag == "dd":
             out.block(1)
-            out.put(_lines(x, sheet, depth), "  ", "  ")
+            out.put(_lines(x, depth), "  ", "  ")
             out.block(1)
         elif tag == "blockquote":
             out.block(2)
-            out.put(_lines(x, sheet, depth), "> ", "> ")
+            out.put(_lines(x, depth), "> ", "> ")
             out.block(2)
         elif tag in ("pre", "xmp", "listing", "textarea"):
             out.block(2 if tag != "textarea" else 1)
-            raw = _plain(x, sheet)
+            raw = _plain(x)
             out.put((raw[1:] if raw[:1] == "\n" else raw).replace("\r", "").rstrip("\n").split("\n") if raw else [])
             out.block(2 if tag != "textarea" else 1)
         elif tag == "table":
             out.block(2)
-            _table(x, out, sheet, depth)
+            _table(x, out, depth)
             out.block(2)
         elif tag == "select":
-            options = [o for o in _descend(x, "option") if shown(o, sheet)]
+            options = list(_descend(x, "option"))
             chosen = [o for o in options if "selected" in o.attrs] or ([] if "multiple" in x.attrs else options[:1])
             for o in options if "multiple" in x.attrs else chosen:
                 out.space = True
-                _into(o, out, sheet, depth)
+                _into(o, out, depth)
                 out.space = True
         elif tag == "details" and "open" not in x.attrs:
             out.block(1)
             for s in x.children:
-                if isinstance(s, Node) and s.tag == "summary" and shown(s, sheet):
-                    _into(s, out, sheet, depth)
+                if isinstance(s, Node) and s.tag == "summary":
+                    _into(s, out, depth)
                     break
             out.block(1)
         elif tag in BLOCK:
             gap = 2 if tag in SPACED else 1
             out.block(gap)
-            _into(x, out, sheet, depth)
+            _into(x, out, depth)
             out.block(gap)
         else:
-            _into(x, out, sheet, depth)
+            _into(x, out, depth)
+
 
+def _label(attrs: dict[str, str]) -> str:
+    """The text that a form field shows."""
+    kind = attrs.get("type", "text").lower()
+    if kind in ("submit", "reset"):
+        return attrs.get("value", kind.capitalize())
+    if kind in ("password", "checkbox", "radio", "file", "image", "color", "range"):
+        return ""
+    return attrs.get("value", "") or attrs.get("placeholder", "")
 
-def _lines(node: Node, sheet: Sheet, depth: int) -> list[str]:
+
+def _lines(node: Node, depth: int) -> list[str]:
     out = Lines()
-    _into(node, out, sheet, depth)
+    _into(node, out, depth)
     out.end_line()
     return out.done
 
 
-def _plain(node: Node, sheet: Sheet) -> str:
+def _plain(node: Node) -> str:
     parts: list[str] = []
     for x in node.children:
         if isinstance(x, str):
             parts.append(x)
-        elif shown(x, sheet):
+        else:
             if x.tag == "svg":
-                parts.append(" ".join(_plain(label, sheet) for label in _labels(x, sheet)))
+                parts.append(" ".join(_plain(label) for label in _labels(x)))
             else:
-                parts.append("\n" if x.tag == "br" else _plain(x, sheet))
+                parts.append("\n" if x.tag == "br" else _plain(x))
     return "".join(parts)
 
 
-def _labels(node: Node, sheet: Sheet) -> Iterator[Node]:
+def _labels(node: Node) -> Iterator[Node]:
     """The text labels of an svg element."""
     for x in node.children:
-        if isinstance(x, Node) and x.tag not in SVG_ASIDE and shown(x, sheet):
+        if isinstance(x, Node) and x.tag not in SVG_ASIDE:
             if x.tag in ("text", "foreignobject"):
                 yield x
             else:
-                yield from _labels(x, sheet)
+                yield from _labels(x)
 
 
 def _descend(node: Node, tag: str) -> Iterator[Node]:
@@ -454,7 +563,7 @@ def _number(value: str | None, other: int) -> int:
     return int(m[1]) if m else other
 
 
-def _list(node: Node, out: Lines, sheet: Sheet, depth: int) -> None:
+def _list(node: Node, out: Lines, depth: int) -> None:
     step = -1 if "reversed" in node.attrs else 1
     items = sum(isinstance(x, Node) and x.tag == "li" for x in node.children)
     number = _number(node.attrs.get("start"), items if step < 0 else 1)
@@ -462,20 +571,18 @@ def _list(node: Node, out: Lines, sheet: Sheet, depth: int) -> None:
         if isinstance(x, str):
             out.flow(x)
         elif x.tag == "li":
-            if not shown(x, sheet):
-                continue
             mark = "- "
             if node.tag == "ol":
                 number = _number(x.attrs.get("value"), number)
                 mark = f"{number}. "
                 number += step
             out.block(1)
-            out.put(_lines(x, sheet, depth + 1) or [""], mark, " " * len(mark))
+            out.put(_lines(x, depth + 1) or [""], mark, " " * len(mark))
             out.block(1)
-        elif shown(x, sheet):
+        else:
             inner = Node("div", {})
             inner.children.append(x)
-            out.put(_lines(inner, sheet, depth + 1), "  ", "  ")
+            out.put(_lines(inner, depth + 1), "  ", "  ")
 
 
 def _holds(node: Node, tags: tuple[str, ...]) -> bool:
@@ -483,57 +590,73 @@ def _holds(node: Node, tags: tuple[str, ...]) -> bool:
     return any(isinstance(x, Node) and x.tag != "table" and (x.tag in tags or _holds(x, tags)) for x in node.children)
 
 
-def _cells(row: Node, sheet: Sheet, stray: list) -> Iterator[Node]:
+def _cells(row: Node, stray: list) -> Iterator[Node]:
     """The cells of a row, also those in wrappers; what else there is goes to ``stray``."""
     for x in row.children:
         if isinstance(x, str):
             stray.append(x)
-        elif not shown(x, sheet):
-            continue
         elif x.tag in ("td", "th"):
             yield x
         elif x.tag != "table" and _holds(x, ("td", "th")):
-            yield from _cells(x, sheet, stray)
+            yield from _cells(x, stray)
         else:
             stray.append(x)
 
 
-def _rows(node: Node, sheet: Sheet, stray: list) -> Iterator[list[Node]]:
+def _rows(node: Node, stray: list) -> Iterator[list[Node]]:
     """The cells of each row of a table; what is in no cell goes to ``stray``."""
     for x in node.children:
         if isinstance(x, str):
             stray.append(x)
-        elif not shown(x, sheet) or x.tag in ("caption", "colgroup", "col"):
+        elif x.tag in ("caption", "colgroup", "col"):
             continue
         elif x.tag == "tr":
-            yield list(_cells(x, sheet, stray))
+            yield list(_cells(x, stray))
         elif x.tag in ("thead", "tbody", "tfoot") or (x.tag != "table" and _holds(x, ("tr",))):
-            yield from _rows(x, sheet, stray)
+            yield from _rows(x, stray)
         elif x.tag in ("td", "th"):
             yield [x]
         elif x.tag != "table" and _holds(x, ("td", "th")):
-            yield list(_cells(x, sheet, stray))
+            yield list(_cells(x, stray))
         else:
             stray.append(x)
 
 
-def _table(node: Node, out: Lines, sheet: Sheet, depth: int) -> None:
+def _holds_table(node: Node) -> bool:
+    return any(isinstance(x, Node) and (x.tag == "table" or _holds_table(x)) for x in node.children)
+
+
+def _wrapped(line: str) -> list[str]:
+    """A line broken between words at ``WRAP``; a longer word stands alone."""
+    out, at = [], 0
+    while len(line) - at > WRAP:
+        cut = line.rfind(" ", at, at + WRAP + 1)
+        cut = cut if cut > at else line.find(" ", at + WRAP)
+        if cut < 0:
+            break
+        out.append(line[at:cut])
+        at = cut + 1
+    return [*out, line[at:]]
+
+
+def _table(node: Node, out: Lines, depth: int) -> None:
     stray: list[str | Node] = []
-    rows = list(_rows(node, sheet, stray))
+    rows = list(_rows(node, stray))
     # captions and what does not belong in a table come first
-    for x in [*stray, *(c for c in node.children if isinstance(c, Node) and c.tag == "caption" and shown(c, sheet))]:
+    for x in [*stray, *(c for c in node.children if isinstance(c, Node) and c.tag == "caption")]:
         if isinstance(x, str):
             out.flow(x)
             continue
         out.block(1)
         if x.tag == "caption":
-            _into(x, out, sheet, depth)
+            _into(x, out, depth)
         else:
             outer = Node("div", {})
             outer.children.append(x)
-            _into(outer, out, sheet, depth)
+            _into(outer, out, depth)
         out.block(1)
     grid: list[dict[int, tuple[int, list[str]]]] = []
+    layout = False
     below: dict[int, int] = {}  # columns that a cell from above still covers
     for row in rows:
         cells: dict[int, tuple[int, list[str]]] = {}
@@ -543,27 +666,29 @@ def _table(node: Node, out: Lines, sheet: Sheet, depth: int) -> None:
         for x in row:
             while col in covered:
                 col += 1
-            wide = min(max(_number(x.attrs.get("colspan"), 1), 1), 100)
-            tall = min(max(_number(x.attrs.get("rowspan"), 1), 1), 1000)
-            cells[col] = (wide, _lines(x, sheet, depth))
+            wide = min(max(_number(x.attrs.get("colspan"), 1), 1), COLSPAN)
+            tall = min(max(_number(x.attrs.get("rowspan"), 1), 1), ROWSPAN)
+            layout = layout or _holds(x, tuple(BLOCK_IN_CELL)) or _holds_table(x)
+            cells[col] = (wide, _lines(x, depth))
             for c in range(col, col + wide):
                 if tall > 1:
                     below[c] = tall - 1
             col += wide
         grid.append(cells)
-    widths: dict[int, int] = {}
-    for cells in grid:
-        for c, (wide, lines) in cells.items():
-            if wide == 1:
-                widths[c] = max(widths.get(c, 0), max(map(len, lines), default=0))
     columns = max((c + w for cells in grid for c, (w, _) in cells.items()), default=0)
-    # a table of one column, or whose cells hold long texts, is layout: its cells follow each other
-    if columns == 1 or any(w > 80 for w in widths.values()):
+    # a table of one column, or with blocks in its cells, is layout: its cells follow each other
+    if columns == 1 or layout:
         for cells in grid:
             for c in sorted(cells):
                 out.block(1)
                 out.put(cells[c][1])
         return
+    grid = [{c: (w, [part for line in lines for part in _wrapped(line)]) for c, (w, lines) in cells.items()} for cells in grid]
+    widths: dict[int, int] = {}
+    for cells in grid:
+        for c, (wide, lines) in cells.items():
+            if wide == 1:
+                widths[c] = max(widths.get(c, 0), max((len(x) for x in lines if len(x) <= WRAP), default=0))
     at = [0]
     for c in range(columns):
         at.append(at[-1] + widths.get(c, 0) + 2)
@@ -582,7 +707,10 @@ def visible_text(html: str | None) -> str | None:
     if html is None:
         return None
     root = parse(html)
-    lines = _lines(root, Sheet(root), 0) if shown(root, Sheet(root)) else []
+    page, sheet = Node("", {}), Sheet(root)
+    page.children.append(root)
+    prune(page, sheet, [], True)
+    lines = _lines(page, 0)
     while lines and not lines[-1]:
         lines.pop()
     while lines and not lines[0]:
@@ -594,7 +722,9 @@ def extract(pages: DataFrame, column: str = "html", to: str = "text") -> DataFra
     """``pages`` with the visible text of ``column`` in ``to``.
 
     Row by row: ties, repeated rows and other columns (kept, but for one that
-    is already named ``to``, which is replaced) have no influence.
+    is already named ``to``, which is replaced) have no influence.  A null page
+    gives null, an empty one empty text; a long one is read whole; an empty
+    table gives no rows.
     """
     kept = [c for c in pages.columns if c not in (column, to)]
 

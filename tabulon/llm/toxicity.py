@@ -1,11 +1,13 @@
 """Operator 10: toxicity by a weighted finite-state pattern grammar.
 
 Words are transduced to the classes insult, threat, target, negation, reported
-speech and other; small weighted transducers for each of these are composed
-into one machine, which runs over every clause with an insult or threat and
-says what was matched: a plain insult, one aimed at somebody, a negated or a
-reported one, and the same of threats.  The matches of all clauses, each with
-a learned weight, give the score.
+speech and other, punctuation to quotes, pauses and ends of sentences; small
+weighted transducers are composed into one machine, which runs over every
+line with an insult or threat, forwards and backwards, and says what was
+matched: a plain insult, one aimed at somebody, a negated or a reported one, and
+the same of threats.  What is quoted is reported where a verb of saying
+introduces the quote or follows it.  The matches of all clauses, each with a
+learned weight, give the score.
 
 Insults are learned, not listed: words, and stems of words, that toxic
 documents of the labelled sample hold and clean ones do not.  The functional
@@ -46,14 +48,16 @@ REPORTS = frozenset(
 THREATS = (
     "kill", "murder", "strangle", "stab", "shoot", "töte", "umbring", "ermord", "erschieß", "tuer", "égorg", "assassin", "matar", "mataré", "asesin",
 )
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-#: Words within which a negation or a report reaches what follows, and a target what surrounds it.
-REACH = 3
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, PAUSE, QUOTE, END = range(9)
+#: Words within which a report reaches what follows, and a target what surrounds it; and a negation.
+REACH, NEGATES = 3, 4
 
 MATCHES = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "aimed threat", "negated threat", "reported threat")
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_CLAUSE = re.compile(r"[.,;:!?\n|()\"«»“”„]+")
+_TOKEN = re.compile(_WORD.pattern + r"|[.,;:!?()\"«»“”„]")
+_LINE = re.compile(r"[\n|]")
+_MARKS = dict.fromkeys(",:()", PAUSE) | dict.fromkeys('"«»“”„', QUOTE) | dict.fromkeys(".;!?", END)
 
 
 class Transducer:
@@ -86,13 +90,17 @@ class Transducer:
         return rows, len(number)
 
 
-def _scope(opener: int, mark: str, weight: float) -> Transducer:
-    """Marks insults and threats within ``REACH`` words after ``opener``."""
+def _scope(opener: int, mark: str, weight: float, reach: int, stops: tuple[int, ...]) -> Transducer:
+    """Marks insults and threats within ``reach`` words after ``opener``, not beyond ``stops``."""
 
     def step(left, symbol):
         kind, marks = symbol
         if kind == opener:
-            return REACH, symbol, 0.0
+            return reach, symbol, 0.0
+        if kind in stops:
+            return 0, symbol, 0.0
+        if kind in (PAUSE, QUOTE, END):
+            return left, symbol, 0.0
         if kind in (INSULT, THREAT) and left:
             return left - 1, (kind, marks | {mark}), weight
         return max(left - 1, 0), symbol, 0.0
@@ -100,6 +108,30 @@ def _scope(opener: int, mark: str, weight: float) -> Transducer:
     return Transducer(0, step)
 
 
+def _speech(weight: float) -> Transducer:
+    """Marks insults and threats soon after a verb of saying, and all in a quote that begins there.
+
+    A state is (quote: none, open, reported; words that the verb still reaches).
+    """
+
+    def step(state, symbol):
+        quote, left = state
+        kind, marks = symbol
+        if kind == REPORT:
+            return (quote, REACH), symbol, 0.0
+        if kind == QUOTE:
+            return ((2 if left else 1) if not quote else 0, 0), symbol, 0.0
+        if kind == PAUSE:
+            return state, symbol, 0.0
+        if kind == END:
+            return (quote, 0), symbol, 0.0
+        if kind in (INSULT, THREAT) and (left or quote == 2):
+            return (quote, max(left - 1, 0)), (kind, marks | {"reported"}), weight
+        return (quote, max(left - 1, 0)), symbol, 0.0
+
+    return Transducer((0, 0), step)
+
+
 def _match() -> Transducer:
     """Names the match: insult or threat, with the strongest mark."""
 
@@ -114,16 +146,23 @@ def _match() -> Transducer:
 
 
 def grammar() -> tuple[dict, int]:
-    """The composed machine over the six classes."""
+    """The composed machine over the classes."""
     lift = Transducer("s", lambda s, c: (s, (c, frozenset()), 0.0))
-    composed = lift @ _scope(TARGET, "aimed", 0.5) @ _scope(NEGATION, "negated", -0.5) @ _scope(REPORT, "reported", -0.5) @ _match()
-    return composed.table([OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT])
+    aimed = _scope(TARGET, "aimed", 0.5, REACH, (PAUSE, QUOTE, END))
+    composed = lift @ aimed @ _scope(NEGATION, "negated", -0.5, NEGATES, (QUOTE, END)) @ _speech(-0.5) @ _match()
+    return composed.table(list(range(END + 1)))
+
+
+def _bare(word: str) -> str:
+    """A word without an article or the like before an apostrophe."""
+    return word.replace("’", "'").rpartition("'")[2]
 
 
 def terms(text: str) -> set[str]:
     """The words of a text, marked with an end, and the stems of longer ones."""
     out: set[str] = set()
-    for w in set(_WORD.findall(text.lower())):
+    found = set(_WORD.findall(text.lower()))
+    for w in found | {_bare(w) for w in found}:
         if len(w) <= LONGEST:
             out.add(w + "$")
         for n in STEMS:
@@ -165,20 +204,24 @@ class Grammar:
             return REPORT, 0.0
         if word.startswith(THREATS):
             return THREAT, ODDS
-        return OTHER, 0.0
+        bare = _bare(word)
+        return self.kind(bare) if bare != word else (OTHER, 0.0)
 
-    def clause(self, text: str, out: np.ndarray) -> None:
-        """Adds the weights of a clause's matches to ``out``."""
-        read = [self.kind(w) for w in _WORD.findall(text)]
+    def line(self, text: str, out: np.ndarray) -> None:
+        """Adds the weights of a line's matches to ``out``."""
+        read = [(_MARKS[w], 0.0) if w in _MARKS else self.kind(w) for w in _TOKEN.findall(text)]
         if not any(k in (INSULT, THREAT) for k, _ in read):
             return
         best: dict[int, tuple[int, float]] = {}
-        # backwards, a target aims what stands before it; negation and report reach forwards only
-        back = [(OTHER if k in (NEGATION, REPORT) else k, w) for k, w in reversed(read)]
+        # backwards, a target aims what stands before it, and a verb of saying reports the quote before it alone
+        back = [(OTHER if k == NEGATION else k, w) for k, w in reversed(read)]
+        quoted = np.cumsum([k == QUOTE for k, _ in read]) % 2 == 1
         for way, place in ((read, range(len(read))), (back, range(len(read) - 1, -1, -1))):
             state = 0
             for at, (kind, weight) in zip(place, way, strict=True):
                 state, match, w = self.rows[state, kind]
+                if match is not None and way is back and match % 4 == 3 and not quoted[at]:
+                    match = match - 3
                 if match is not None and (at not in best or match > best[at][0]):
                     best[at] = (match, weight * math.exp(w))
         for match, weight in best.values():
@@ -194,14 +237,11 @@ class Grammar:
             at = end - n + 1
             if at <= done or (at and (low[at - 1].isalnum())):
                 continue
-            a = b = at
-            # the clause around the word
-            while a > 0 and at - a < 400 and not _CLAUSE.match(low[a - 1]):
-                a -= 1
-            m = _CLAUSE.search(low, b)
-            b = min(m.start() if m else len(low), at + 400)
-            self.clause(low[max(a, done + 1) : b], out)
-            done = b
+            # the line around the word, whole
+            a = max(low.rfind("\n", 0, at), low.rfind("|", 0, at)) + 1
+            m = _LINE.search(low, at)
+            done = m.start() if m else len(low)
+            self.line(low[a:done], out)
         return np.log1p(out)
 
     def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> None:
@@ -235,11 +275,18 @@ def sample(labels: DataFrame) -> DataFrame:
 
 
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Grammar:
-    """The grammar of the labelled sample."""
+    """The grammar of the labelled sample.
+
+    ``SAMPLE`` bounds the documents too: of rows that share an id, one counts,
+    the one with the smallest text hash.  Without labels or documents nothing
+    is toxic.
+    """
     # at most sum(SAMPLE) rows of two numbers
     chosen = F.broadcast(scratch.keep(sample(labels), "sample"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = scratch.keep(texts.join(chosen, "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")), "texts")
+    texts = texts.join(chosen, "doc_id").select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text"))
+    one = texts.groupBy("doc_id").agg(F.min_by(F.struct("toxic", "text"), F.xxhash64("text")).alias("one"))
+    texts = scratch.keep(one.select("one.toxic", "one.text"), "texts")
     sizes = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
 
     def counted(wanted: frozenset[str] | None):
@@ -290,7 +337,11 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, scratch: Scra
 
 
 def scored(docs: DataFrame, model: Grammar, to: str = "score") -> DataFrame:
-    """(doc_id, score): every document's score, from its whole text; null is empty."""
+    """(doc_id, score): every document's score, from its whole text; null is empty.
+
+    Row by row: repeated ids, ties and other columns have no influence, an
+    empty table gives no rows, a long text is read line by line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model._machine()

@@ -125,6 +125,34 @@ def test_html_at_rules():
     assert text("@media print{.a{display:none") == ["A", "B"]
 
 
+def test_html_visibility():
+    def text(html):
+        return html_text.visible_text(html).split()
+
+    both = "<p class=a>A</p><p class=b>B</p>"
+    assert text(f"<style>.a{{display:none}}.a{{display:block}}</style>{both}") == ["A", "B"]
+    assert text(f"<style>p.a{{display:block}}.a{{display:none}}</style>{both}") == ["A", "B"]
+    assert text(f"<style>.a{{display:none!important}}p.a{{display:block}}</style>{both}") == ["B"]
+    assert text(f"<style>div .a,#x>.b{{display:none}}</style>{both}<div><i><b class=a>C</b></i>D</div><div id=x><u class=b>E</u><u><u class=b>F</u></u></div>") == ["A", "B", "D", "F"]
+    assert text(f"<style>p[data-k=v]{{display:none}}p:hover{{display:none}}.a+.b{{display:none}}</style>{both}<p data-k=v>C") == ["A", "B"]
+    assert text("<div style='visibility:hidden'>no<p style='visibility:visible'>yes</p>no<p>no</div>after") == ["yes", "after"]
+    assert text("<style>[hidden]{display:block}</style><p hidden>A") == ["A"] and text("<p hidden style='display:block'>A") == ["A"]
+    assert html_text.visible_text("<b><p>x</b>y</p>z") == "xy\n\nz"
+    assert text("<form><input type=submit value=Go><input type=hidden value=h><input value=typed><input type=password value=p><input placeholder=hint>") == ["Go", "typed", "hint"]
+    assert html_text.visible_text("<table><tr><td style='visibility:hidden'>a<td>b<tr><td>ccc<td>d</table>") == "     b\nccc  d"
+
+
+def test_html_tables():
+    long = " ".join(["word"] * 40)
+    got = html_text.visible_text(f"<table><tr><td>k<td>{long}<td>z<tr><td>key<td>v<td>w</table>").split("\n")
+    assert max(map(len, got)) <= 5 + 80 + 3 and " ".join(x[5:85].strip() for x in got[:-1]) == long and got[0].endswith("  z") and got[-1].split() == ["key", "v", "w"]
+    assert html_text.visible_text("<table><tr><td><p>a<p>b<td>c</table>") == "a\n\nb\nc"
+    wide = html_text.visible_text("<table><tr><td colspan=500>a<td>b<tr><td rowspan=5000>c<td>d<tr><td>e</table>").split()
+    assert wide == ["a", "b", "c", "d", "e"]
+    page = "<p>" + "x y " * 300_000 + "<table>" + "<tr><td>a<td>b" * 20_000
+    assert html_text.visible_text(page).count("a  b") == 20_000
+
+
 # op2
 
 
@@ -175,6 +203,19 @@ def test_audio_recall(spark, scratch):
     assert alone and {r.rec_id: r.n_matches for r in got if r.n_matches} == want
 
 
+def test_silence_matches_nothing(spark, scratch):
+    rng = np.random.default_rng(5)
+    quiet = [None] * 40
+    a, b, near = (list(rng.normal(size=30)) for _ in range(3))
+    near = [x + 0.01 for x in a]
+    rows = [(0, a + quiet), (20, b + quiet), (40, quiet + quiet), (3, quiet + near), (5, quiet * 3)]
+    vectors = spark.createDataFrame([(k, [None if y is None else float(y) for y in x]) for k, x in rows], "vec_id long, embedding array<double>")
+    out = {r.rec_id: r for r in audio.matched(spark, audio.fingerprints(audio.recordings(vectors), "rec_id", "audio"), scratch).collect()}
+    assert set(audio.fingerprint(audio.tune(quiet)).tolist()) == {audio.SILENT}
+    assert out[0].match_id == 3 and out[0].offset == -40 and out[20].match_id is None and out[40].match_id is None
+    assert audio.matched(spark, audio.fingerprints(audio.recordings(vectors.limit(0)), "rec_id", "audio"), scratch).count() == 0
+
+
 # op3
 
 
@@ -630,4 +671,9 @@ def test_grammar():
 
     assert matched("what a grobnak") == {"insult"} and matched("you grobnak") == {"aimed insult"} and matched("grobnak, you") == {"insult"}
     assert matched("grobnak you") == {"aimed insult"} and matched("he is not a grobnak") == {"negated insult"} and matched("she said grobnak") == {"reported insult"}
+    assert matched('He said: "you are a grobnak"') == {"reported insult"} and matched('"You grobnak," he said.') == {"reported insult"}
+    assert matched("she wrote, grobnak") == {"reported insult"} and matched('He said: "Go away. You grobnak!"') == {"reported insult"}
+    assert matched('"Fine," he said. You grobnak!') == {"aimed insult"} and matched('he said it. "You grobnak"') == {"aimed insult"}
+    assert matched("he never, ever was a grobnak") == {"negated insult"} and matched("l'grobnak") == {"insult"}
+    assert matched("x" * 390 + " " + "word " * 300 + "not a grobnak") == {"negated insult"} and matched("a " * 5000 + "you grobnak" + " b" * 5000) == {"aimed insult"}
     assert matched("I will kill you") == {"aimed threat"} and matched("grobnakish") == set() and matched("not a b c d grobnak") == {"insult"}
