@@ -628,6 +628,26 @@ def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return similar(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "ngrams"))
 
 
+#: DuckDB SQL of the same rows: all pairs of documents that share a shingle.
+ORACLE = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM t
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+half AS (
+  SELECT a, b FROM common JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * k >= 85 * (p.n + q.n - k)
+), link AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least_of AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(t.doc_id, coalesce(c, t.doc_id))::BIGINT AS component_id
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN least_of ON t.doc_id = a
+"""
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` without those whose component has a smaller id; of rows that share an id, all or none stay.
 

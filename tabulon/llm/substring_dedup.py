@@ -694,6 +694,30 @@ def op5_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, docs, Scratch(spark, "spans")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+#: DuckDB SQL of the same rows: every string of 100 bytes, in the order in which they start.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s
+  FROM (SELECT doc_id, h, unnest(range(greatest(length(h) // 2 - 99, 0))) AS i FROM d)
+), later AS (
+  SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1
+), begun AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS b FROM later
+), run AS (SELECT doc_id, i, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM begun),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 100 AS z FROM run GROUP BY doc_id, r),
+kept AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM span
+  UNION ALL SELECT d.doc_id, coalesce(max(z), 0), any_value(length(h)) // 2 FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id
+), rest AS (
+  SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS t FROM kept JOIN d USING (doc_id) GROUP BY doc_id
+), n AS (SELECT doc_id, sum(z - a) AS gone, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(t)) AS kept_sha256
+FROM d JOIN rest USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated strings out of ``text``.
 
