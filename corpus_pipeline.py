@@ -1,4 +1,12 @@
-"""From raw documents to packed sequences, one stage after the other."""
+"""From raw documents to packed sequences, one stage after the other.
+
+Every stage takes null texts, languages, sources and ids, rows that share an id,
+empty tables, and columns of any further names; all but the last return the
+columns they were given.  Documents without an id are near-duplicates of
+nothing; of rows that share one, all or none stay.  Documents without words pass
+the first three stages and are not mixed in.  The result has one row for each
+sequence, with the texts of its pieces.
+"""
 
 from __future__ import annotations
 
