@@ -11,6 +11,7 @@ table at the end and decompresses only the frames of the documents it wants.
 from __future__ import annotations
 
 import io
+import re
 import struct
 import sys
 import zlib
@@ -33,13 +34,16 @@ FILE_BYTES = 32 << 20
 WORDS = 600_000
 #: Words that are encoded as one text, and what stands between them.
 JOINED, DIVIDER = 500, "\x01"
+#: Texts whose words a tokenizer must encode alike alone and together, for words to be looked up.
+PROBE = " It's  a\ttest:\n\n\n3 cafe\u0301s, 12\r\n34 don 't \x0b stop \x0c... ' s U.S. x,y , z ", "a\nb", "  ", "\u4f60 \u597d \u0301 \U0001f600 !? ! ?"
 
 
 class WordIds:
-    """Encodes texts with a tokenizer that treats white-space-separated words alone.
+    """Encodes texts; with a tokenizer that treats white-space-separated words alone, word by word.
 
-    A word is encoded once and then looked up.  Only ASCII white space
-    divides; the tokenizer sees all else.
+    A word is then encoded once and looked up.  Only ASCII white space
+    divides; the tokenizer sees all else.  Whether it treats words alone is
+    tried on ``PROBE``; another one encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -49,6 +53,7 @@ class WordIds:
         # between words stands a control character that is one id of its own, if the tokenizer has such a one
         ids = self.tokenizer.encode(f"a {DIVIDER} a", add_special_tokens=False).ids
         self.divider = ids[1] if len(ids) == 3 and ids[0] == ids[2] else None
+        self.alone = all(self._each([x])[0].tolist() == self._each([*map(bytes.decode, x.encode().split())])[0].tolist() for x in PROBE)
         self.clear()
 
     @staticmethod
@@ -83,19 +88,25 @@ class WordIds:
         """All ids of the words, and how many each has."""
         joined = [f" {DIVIDER} ".join(texts[i : i + JOINED]) + f" {DIVIDER}" for i in range(0, len(texts), JOINED)]
         if self.divider is None or sum(x.count(DIVIDER) for x in joined) != len(texts):
-            # a word holds the divider: each word of the batch goes alone
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.array([i for one in ids for i in one], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+            return self._each(texts)  # a word holds the divider
         flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
         ends = np.flatnonzero(flat == self.divider)
-        assert len(ends) == len(texts)
+        if len(ends) != len(texts):
+            return self._each(texts)  # something else became the divider's id, or it became part of another
         return flat[flat != self.divider], np.diff(ends, prepend=-1) - 1
 
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, each text alone."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for one in ids for i in one], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's documents, and the number of each document's."""
         if len(self.index) > WORDS:
             self.clear()
         raw, index = block.data.tobytes(), self.index
+        if not self.alone:
+            return self._each([raw[a:b].decode() for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)])
         split = [raw[a:b].split() for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True)]
         fresh: list[bytes] = []
         found: list[int] = []
@@ -118,24 +129,31 @@ class WordIds:
         return ids, np.diff(upto)
 
 
-def _frames(ids: np.ndarray, level: int = 3) -> Iterator[tuple[bytes, int, int]]:
+def _frames(ids: np.ndarray, frame_ids: int, level: int = 3) -> Iterator[tuple[bytes, int, int]]:
     import xxhash
     import zstandard
 
     made = zstandard.ZstdCompressor(level=level)
-    for a in range(0, max(len(ids), 1), FRAME_IDS):
-        raw = ids[a : a + FRAME_IDS].astype("<u4").tobytes()
-        yield made.compress(raw), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF
+    for a in range(0, max(len(ids), 1), frame_ids):
+        raw = ids[a : a + frame_ids].astype("<u4").tobytes()
+        yield made.compress(raw), len(raw), xxhash.xxh64_intdigest(raw)
+
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, frame_ids: int = FRAME_IDS) -> DataFrame:
+    """(doc_id, lead, row, part, frame, size, check): every document's frames, in input order.
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, part, frame, size, check): every document's frames, in input order."""
+    ``lead`` orders rows that share an id by their contents; ``row`` keeps the
+    frames of each apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
+        from pyspark import TaskContext
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = WordIds.of_worker(tokenizer)
+        row = TaskContext.get().partitionId() << 33
         for block in blocks(batches, 2 << 20):
             ids, counts = words.encode(block)
             rows, at = [], 0
@@ -143,20 +161,32 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 own = np.append(ids[at : at + n], np.uint32(end_id))
                 at += n
                 doc = None if doc == NULL_ID else doc
-                rows += [(doc, k, *x) for k, x in enumerate(_frames(own))]
+                made = list(_frames(own, frame_ids))
+                lead = _lead([x[2] for x in made])
+                rows += [(doc, lead, row, k, frame, size, digest & 0xFFFFFFFF) for k, (frame, size, digest) in enumerate(made)]
+                row += 1
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)],
-                names=["doc_id", "part", "frame", "size", "check"],
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                names=["doc_id", "lead", "row", "part", "frame", "size", "check"],
             )
 
-    return id_text(docs).mapInArrow(run, "doc_id long, part int, frame binary, size long, check long")
+    return id_text(docs).mapInArrow(run, "doc_id long, lead long, row long, part int, frame binary, size long, check long")
+
+
+def _lead(digests: list[int]) -> int:
+    """One signed 64-bit number for a document, of the digests of its frames."""
+    import xxhash
+
+    whole = digests[0] if len(digests) == 1 else xxhash.xxh64_intdigest(struct.pack(f"<{len(digests)}Q", *digests))
+    return whole - (1 << 64) if whole >> 63 else whole
 
 
 def _open(uri: str, write: bool = False):
-    """A file of the shared folder, from an executor."""
+    """A file of the shared folder, from an executor; Hadoop's names of object stores are read too."""
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
     return system, path, (system.open_output_stream if write else system.open_input_file)(path)
 
 
@@ -197,21 +227,22 @@ class TokenFile:
         return np.concatenate(out)
 
 
-def write_files(spark: SparkSession, docs: DataFrame, folder: str, scratch: Scratch, tokenizer: str, end_id: int) -> DataFrame:
+def write_files(spark: SparkSession, docs: DataFrame, folder: str, scratch: Scratch, tokenizer: str, end_id: int, frame_ids: int = FRAME_IDS) -> DataFrame:
     """Writes the files in ascending doc_id order; (file, uri, docs, tokens) of each.
 
     A document without an id comes last; rows that share an id are next to
-    each other.  A file appears under its name only when it is whole, so a
+    each other, ordered by a hash of their contents, so that equal ids may
+    fill any number of files.  A file appears under its name only when it is whole, so a
     repeated task replaces it.
     """
-    frames = scratch.keep(encoded(docs, tokenizer, end_id), "frames")
+    frames = scratch.keep(encoded(docs, tokenizer, end_id, frame_ids), "frames")
     total = frames.agg(F.sum(F.length("frame"))).first()[0] or 0
     # a few files for each task slot where the data are small, whole files where they are not
     files = max(-(-total // FILE_BYTES), min(spark.sparkContext.defaultParallelism, -(-total // (1 << 20))), 1)
     # null sorts first in a range: the id that follows all others stands for it
     ordered = frames.withColumn("key", F.coalesce("doc_id", F.lit(int(NULL_ID))))
-    # all frames of an id share its range; ``check`` keeps the parts of equal ids in one order
-    ordered = ordered.repartitionByRange(files, "key").sortWithinPartitions("key", "part", "check")
+    # all frames of a row share its range
+    ordered = ordered.repartitionByRange(files, "key", "lead", "row").sortWithinPartitions("key", "lead", "row", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -279,10 +310,16 @@ def read_files(files: DataFrame) -> DataFrame:
     return placed.repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Encodes ``docs`` to files in the shared folder and reads them back."""
+def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, frame_ids: int = FRAME_IDS) -> DataFrame:
+    """Encodes ``docs`` to files in the shared folder and reads them back.
+
+    Null texts are empty, an empty text has the end id alone, and a text of
+    more than ``frame_ids`` ids has several frames.  Rows that share an id all
+    stay, in an order given by their contents; rows without one come last.
+    Other columns are not read.
+    """
     scratch = Scratch(spark, "ids")
-    return read_files(write_files(spark, docs, scratch.path("zst"), scratch, tokenizer, end_id))
+    return read_files(write_files(spark, docs, scratch.path("zst"), scratch, tokenizer, end_id, frame_ids))
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
