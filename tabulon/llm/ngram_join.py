@@ -43,6 +43,8 @@ SIDE = 32 << 20
 FILTER = 1 << 24
 #: Prefix entries in a shard of lists, and candidate units in a block of the comparison, about.
 SHARD, BLOCK_UNITS = 200_000, 8_000
+#: Entries of one list that a task of the last round holds twice at most, about; longer lists are cut into pieces that meet in pairs.
+PIECE = 4_096
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -224,7 +226,8 @@ def candidate_pairs(frame: pd.DataFrame, centers: int, percent: int) -> tuple[np
 
     ``centers`` groups of each list meet all others, but for the first one
     where there are several: an earlier round has compared it.  0 means all
-    pairs of the lists that eight centers do not cover.
+    pairs of the lists, which eight centers do not cover; of a list in pieces,
+    those between the two pieces that the frame has.
     """
     frame = frame.sort_values(["token", "leader"], kind="stable")
     token, leader = frame["token"].to_numpy(), frame["leader"].to_numpy()
@@ -265,18 +268,42 @@ def candidate_pairs(frame: pd.DataFrame, centers: int, percent: int) -> tuple[np
             every = np.repeat(s - (ends - z), z) + np.arange(int(ends[-1]) if len(ends) else 0)
             offer(np.repeat(middle, z), every)
     else:
+        piece = frame["piece"].to_numpy()
+        two = (frame["low"] != frame["high"]).to_numpy()
+        low = frame["low"].to_numpy()
         for s, z in zip(start.tolist(), size.tolist(), strict=True):
-            if z > 8 and ((label[s : s + z] != label[s]).any() or label[s] == -1):
-                for k in range(0, z, 256):
-                    a, b = np.arange(s + k, s + min(k + 256, z)), np.arange(s + k + 1, s + z)
-                    x, y = np.repeat(a, len(b)), np.tile(b, len(a))
-                    offer(x[x < y], y[x < y])
+            if not (label[s : s + z] != label[s]).any() and label[s] != -1:
+                continue
+            here = np.arange(s, s + z)
+            left, right = (here[piece[here] == low[here]], here[piece[here] != low[here]]) if two[s] else (here, here)
+            for k in range(0, len(left), 256):
+                a, b = left[k : k + 256], right if two[s] else right[k + 1 :]
+                x, y = np.repeat(a, len(b)), np.tile(b, len(a))
+                if not two[s]:
+                    x, y = x[x < y], y[x < y]
+                offer(x, y)
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     both = np.unique(np.concatenate(out), axis=0)
     return both[:, 0], both[:, 1]
 
 
+def in_pieces(lists: DataFrame) -> DataFrame:
+    """The entries of ``lists`` with a ``piece``, once for each pair of pieces (``low``, ``high``) that they are part of.
+
+    A list of one component is not cut: none of its pairs is compared.
+    """
+    pieces = F.ceil(F.col("length") / PIECE).cast("long")
+    every = lists.where(F.col("length") <= PIECE)
+    cut = lists.where(F.col("length") > PIECE)
+    mixed = cut.groupBy("shard", "token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi OR lo = -1")
+    cut = cut.join(mixed.select("shard", "token"), ["shard", "token"], "left_semi").withColumn("piece", F.pmod(F.xxhash64("leader"), pieces))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    cut = cut.withColumns({"hot": F.col("token"), "low": F.least("piece", "other"), "high": F.greatest("piece", "other")}).drop("other")
+    zero = F.lit(0).cast("long")
+    return every.withColumns({"piece": zero, "hot": zero, "low": zero, "high": zero}).unionByName(cut)
+
+
 def _block_of(leader: np.ndarray, blocks_: int) -> np.ndarray:
     return (mix64(leader.astype(np.uint64)) % np.uint64(blocks_)).astype(np.int64)
 
@@ -582,7 +609,7 @@ def similar(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int
     # centers of each round, and the longest list that the rounds before have covered
     for number, (centers, covered) in enumerate(((1, 1), (8, 2), (0, 8))):
         labelled = full.withColumn("label", F.col("unit"))
-        open_lists = lists.where(F.col("length") > covered).drop("length")
+        open_lists = lists.where(F.col("length") > covered)
         listed_as = open_lists.withColumn("label", F.lit(-1).cast("long") if labels is None else F.lit(0))
         if labels is not None:
             labelled = full.join(labels, F.col("unit") == F.col("node"), "left").withColumn("label", F.coalesce("component", "unit")).drop("node", "component")
@@ -591,7 +618,12 @@ def similar(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int
             own = own.select("leader", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1).alias("label"))
             listed_as = open_lists.join(own, "leader")
 
-        pairs = listed_as.join(short, "leader", "left").select("shard", "token", "leader", "n", "pos", "label", "short").groupBy("shard")
+        entries_ = ["shard", "token", "leader", "n", "pos", "label", "short"]
+        listed_as = listed_as.join(short, "leader", "left").select(*entries_, "length")
+        if centers:
+            pairs = listed_as.select(*entries_).groupBy("shard")
+        else:
+            pairs = in_pieces(listed_as).drop("length").groupBy("shard", "hot", "low", "high")
         pairs = pairs.applyInPandas(paired(centers, percent, blocks_), PAIRS)
         if number == 0:  # and each group with itself
 

@@ -8,10 +8,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tabulon.llm import audio, embedding_join, html_text, language_model, mixing, ngram_join, packing, substring_dedup, token_files, toxicity
+from tabulon.llm import audio, common, embedding_join, html_text, language_model, mixing, ngram_join, packing, substring_dedup, token_files, toxicity
 from tabulon.llm.common import Scratch, components, word_count
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -551,12 +552,32 @@ def test_ngrams(spark, scratch, monkeypatch, group):
         docs.append((i, " ".join(b).title() if rnd.random() < 0.3 else "\n".join(b)))
     docs += [(1000, None), (1001, ""), (1002, " \n"), (1003, "one"), (1004, "ONE "), (1005, "é É"), (1006, "é é")]
     monkeypatch.setattr(ngram_join, "GROUP", group)
+    monkeypatch.setattr(ngram_join, "PIECE", 2 * group)
     monkeypatch.setattr(ngram_join, "SHARD", 50 * group)
     monkeypatch.setattr(ngram_join, "BLOCK_UNITS", 10 * group)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar(spark, df, scratch).collect()} == similar(docs)
 
 
+def test_pieces_of_lists_meet_all(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PIECE", 7)
+    rows = []
+    for token, z, labels in ((5, 60, 60), (6, 5, 5), (7, 40, 1), (8, 33, 3)):
+        rows += [(token % 2, token, 1000 * token + k, 50 + k % 2, k % 3, 1000 * token + k % labels, None, z) for k in range(z)]
+    df = spark.createDataFrame(rows, "shard long, token long, leader long, n int, pos int, label long, short binary, length int")
+    found: set = set()
+    tasks = {}
+    for r in ngram_join.in_pieces(df).collect():
+        tasks.setdefault((r.shard, r.hot, r.low, r.high), []).append(r.asDict())
+    for task in tasks.values():
+        pairs = {*zip(*(x.tolist() for x in ngram_join.candidate_pairs(pd.DataFrame(task), 0, 85)), strict=True)}
+        assert not pairs & found  # each pair is in one task
+        found |= pairs
+        assert len(task) <= 40
+    want = {(a[2], b[2]) for a in rows for b in rows if a[1] == b[1] and a[2] < b[2] and a[5] != b[5]}
+    assert found == want and not any(a // 1000 == 7 for a, _ in found)
+
+
 def test_histograms():
     rng = np.random.default_rng(1)
     n = np.array([0, 5, 130, 1000, 70_000, 600_000])
@@ -597,6 +618,37 @@ def test_token_files(spark, tmp_path, scratch):
     assert token_files.write_and_read(spark, spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
 
 
+def test_token_files_of_rows_that_share_an_id(spark, scratch):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    long = [" ".join(f"w{k * j}" for k in range(300)) for j in (1, 2)]
+    rows = [(5, long[0], "x"), (5, long[1], "x"), (5, long[0], None), (5, "short", "x"), (None, long[1], "x"), (None, long[1], "x"), (4, long[0], "x")]
+    ids = {t: np.array([*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 1], "<u4") for _, t, _ in rows}
+    seen = []
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lead string").repartition(parts)
+        out = sorted(token_files.write_and_read(spark, df, path, frame_ids=256).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in out] == [4, 5, 5, 5, 5, None, None]
+        assert sorted((r.doc_id or 0, r.ids_crc32) for r in out) == sorted((i or 0, zlib.crc32(ids[t].tobytes())) for i, t, _ in rows)
+        assert [r.start for r in out] == [0, *np.cumsum([r.n_tokens for r in out]).tolist()[:-1]]
+        seen.append([tuple(r) for r in out])
+    assert seen[0] == seen[1]
+
+
+def test_words_and_whole_texts():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    texts = ["It's  a\n test", "", "x\x01y \u00a0z", "tab\t\tend "]
+    block = common.text_block(pa.array(range(len(texts))), pa.array(texts))
+    for name, alone in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        words = token_files.WordIds(tokenizers.path(name))
+        ids, counts = words.encode(block)
+        want = [Tokenizer.from_file(tokenizers.path(name)).encode(t, add_special_tokens=False).ids for t in texts]
+        assert words.alone is alone and counts.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
 # op9
 
 
