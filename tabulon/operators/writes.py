@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import AlreadyExists, IncompatibleValue, ZeroID
 from ..plans import predicates as q
@@ -73,18 +74,34 @@ def duplicates(df: DataFrame, field: str, spec: TableSpec) -> DataFrame:
 
 
 def check_unique(target: DataFrame, batch: DataFrame, spec: TableSpec) -> None:
-    """Raises where a unique value of the batch is another row's, in the batch or the rest of the table."""
+    """Raises where a unique value of the batch is another row's, in the batch or the rest of the table.
+
+    All unique fields are looked at in one pass over the table.
+    """
     key = spec.id.column
+    fields = [f for f in spec.fields if f.index == "unique" and not f.id]
+    if not fields:
+        return
+
+    def values(df: DataFrame, own: bool) -> DataFrame:
+        each = [F.struct(F.lit(k).alias("field"), F.when(non_zero(f.column, f.type), _text(f)).alias("v")) for k, f in enumerate(fields)]
+        return df.select(F.explode(F.array(*each)).alias("x"), F.lit(own).alias("own")).select("x.field", "x.v", "own").where("v IS NOT NULL")
+
     rest = target.join(batch.select(key), key, "left_anti")
-    for f in spec.fields:
-        if f.index != "unique" or f.id:
-            continue
-        col = F.col(f"`{f.column}`")
-        own = batch.where(non_zero(f.column, f.type)).select(col.alias("v"))
-        twice = own.groupBy("v").count().where("count > 1").select("v")
-        taken = own.join(rest.select(col.alias("v")), "v", "left_semi")
-        if not twice.unionByName(taken).isEmpty():
-            raise AlreadyExists(f"a value of {f.name} is taken")
+    shared = values(batch, True).unionByName(values(rest, False)).groupBy("field", "v").agg(F.count("*").alias("n"), F.max("own").alias("own"))
+    first = shared.where("n > 1 AND own").agg(F.min("field")).first()[0]
+    if first is not None:
+        raise AlreadyExists(f"a value of {fields[first].name} is taken")
+
+
+def _text(f):
+    """A field's value as text that no other value has."""
+    col = F.col(f"`{f.column}`")
+    if isinstance(f.type, T.BinaryType):
+        return F.hex(col)
+    if isinstance(f.type, T.TimestampType):
+        return F.unix_micros(col).cast("string")
+    return col.cast("string") if isinstance(f.type, T.AtomicType) else F.to_json(F.struct(col))
 
 
 def partial_update(target: DataFrame, changes: DataFrame, spec: TableSpec) -> DataFrame:

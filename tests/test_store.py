@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon import errors as e
 from tabulon.operators.query import select
@@ -372,3 +373,21 @@ def test_partitioned_namespaces(db, spark):
     df = spark.range(10).select(F.col("id").alias("ID"), F.concat(F.lit("a/"), (F.col("id") % 3).cast("string")).alias("day"))
     nodes = db.from_("logs").put_partitioned(df, "day", spec)
     assert [n.path[-1] for n in nodes] == ["a/0", "a/1", "a/2"] and sorted(r.ID for r in nodes[1].table("log").df.collect()) == [1, 4, 7]
+
+
+def test_unique_fields_of_several_types(spark):
+    from datetime import datetime
+
+    from tabulon.operators import writes
+
+    spec = TableSpec("t", (
+        FieldSpec("id", T.LongType(), id=True), FieldSpec("a", T.DoubleType(), index="unique"), FieldSpec("b", T.BinaryType(), index="unique"),
+        FieldSpec("c", T.TimestampType(), index="unique"),
+    ))
+    at = datetime(2024, 1, 1)
+    rows = [(1, 1.5, b"x", at), (2, 1.5, b"y", None), (3, 0.0, None, None)]  # a value that old rows share is not the batch's fault
+    old = spark.createDataFrame(rows, spec.schema)
+    writes.check_unique(old, spark.createDataFrame([(3, 0.0, b"z", None), (4, 0.0, None, None), (1, 2.0, b"x", at)], spec.schema), spec)
+    for row, field in (((5, 1.5, None, None), "a"), ((5, 0.0, b"y", None), "b"), ((5, 0.0, None, at), "c")):
+        with pytest.raises(e.AlreadyExists, match=f"of {field} "):
+            writes.check_unique(old, spark.createDataFrame([row], spec.schema), spec)
