@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, mix64, table, text_block
+from .common import Scratch, mix64, release, released, table, text_block
 
 #: Bytes of an n-gram, and bytes before its last one that name a shard.
 ORDER, KEY = 6, 3
@@ -250,7 +250,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "block long, payload binary")
+    return docs.mapInArrow(released(run), "block long, payload binary")
 
 
 def _whole(raw: bytes) -> pa.RecordBatch:
@@ -271,7 +271,7 @@ def seen(blocks: DataFrame) -> DataFrame:
                     [pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "mark", "keys", "counts"]
                 )
 
-    return blocks.mapInArrow(run, "block long, mark long, keys binary, counts binary")
+    return blocks.mapInArrow(released(run), "block long, mark long, keys binary, counts binary")
 
 
 def count(found: DataFrame, shards: int) -> DataFrame:
@@ -286,6 +286,7 @@ def count(found: DataFrame, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "payload"])
 
     def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         keys, counts, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
         for frame in frames:
             for raw in frame["payload"]:
@@ -303,7 +304,7 @@ def count(found: DataFrame, shards: int) -> DataFrame:
         raw_low = _planes(_steps(low.codes), low.counts.astype("<u4"))
         yield pd.DataFrame({"shard": [key[0]], "payload": [_planes(_steps(k), c.astype("<u8"))], "low": [raw_low], "sizes": [sizes]})
 
-    sent = found.mapInArrow(run, "shard int, payload binary")
+    sent = found.mapInArrow(released(run), "shard int, payload binary")
     return sent.groupBy("shard").applyInPandas(add, "shard int, payload binary, low binary, sizes array<long>")
 
 
@@ -341,6 +342,7 @@ class Model:
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["block", "shard", "salt", "asked"])
 
         def answer(key: tuple, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            release()
             if len(own):
                 steps, n = _unplanes(own["payload"].iloc[0], "<u8", "<u8")
                 high = levels(np.cumsum(steps, dtype=np.uint64), n)
@@ -352,7 +354,7 @@ class Model:
                 out.append(_planes(np.clip(np.round(-STEPS * log_p(_keys(raw), low, high, d)), 0, 65535).astype("<u2")))
             return pd.DataFrame({"block": asked["block"], "shard": key[0], "answer": out})
 
-        asks = found.select("block", "mark", "keys").mapInArrow(ask, "block long, shard int, salt int, asked binary")
+        asks = found.select("block", "mark", "keys").mapInArrow(released(ask), "block long, shard int, salt int, asked binary")
         own = self.counted.select("shard", "payload", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
         said = asks.groupBy("shard", "salt").cogroup(own.groupBy("shard", "salt")).applyInPandas(answer, "block long, shard int, answer binary")
         return said.groupBy("block").agg(F.collect_list(F.struct("shard", "answer")).alias("answers"))
@@ -401,7 +403,7 @@ def scored(blocks: DataFrame, found: DataFrame, model: Model, schema: T.StructTy
     fields = [f for f in schema if f.name in names] + [T.StructField("perplexity", T.DoubleType()), T.StructField("size", T.LongType())]
     said = found.select("block", "mark", "keys").join(model.answers(found), "block", "left")
     met = blocks.join(said, "block", "left").select("block", "mark", "payload", "keys", "answers")
-    return met.mapInArrow(run, T.StructType(fields))
+    return met.mapInArrow(released(run), T.StructType(fields))
 
 
 def steadied(perplexity: Column, size: Column, mean: float) -> Column:

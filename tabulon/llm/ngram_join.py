@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Block, Scratch, blocks, components, id_text, mix64, table, unused
+from .common import NULL_ID, Block, Scratch, blocks, components, id_text, mix64, release, released, table, unused
 
 #: Counters of the frequency classes, and slices in which tasks send them.
 COUNTERS, SLICES = 1 << 20, 64
@@ -119,6 +119,7 @@ def _sum_slices(parts: DataFrame, kind: str, combine) -> np.ndarray:
     """Slices (slice, data) of all tasks, combined per slice and put together; the total is bounded."""
 
     def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         out = None
         for frame in frames:
             for raw in frame["data"]:
@@ -146,7 +147,7 @@ def frequency_classes(docs: DataFrame, words: int) -> np.ndarray:
             names=["slice", "data"],
         )
 
-    counts = _sum_slices(docs.mapInArrow(run, "slice int, data binary"), "<i8", np.add)
+    counts = _sum_slices(docs.mapInArrow(released(run), "slice int, data binary"), "<i8", np.add)
     if not len(counts) or not counts.sum():
         return np.zeros(COUNTERS, np.uint8)
     usual = np.median(counts)
@@ -212,7 +213,7 @@ def profiles(docs: DataFrame, classes: np.ndarray, percent: int, words: int) ->
                 names=["doc_id", "n", "f1", "f2", "g1", "g2", "prefix", "histogram"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, g1 long, g2 long, prefix binary, histogram binary")
+    return docs.mapInArrow(released(run), "doc_id long, n long, f1 long, f2 long, g1 long, g2 long, prefix binary, histogram binary")
 
 
 def _sums(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -331,6 +332,7 @@ PAIRS = "bx long, by long, pairs binary"
 
 def paired(centers: int, percent: int, blocks_: int):
     def pairs_of(frame: pd.DataFrame) -> pd.DataFrame:
+        release()
         return pd.DataFrame(_packed(*candidate_pairs(frame, centers, percent), blocks_), columns=["bx", "by", "pairs"])
 
     return pairs_of
@@ -340,6 +342,7 @@ def unique(pairs: DataFrame, done: list[DataFrame]) -> DataFrame:
     """Each pair of a block pair once, without those that earlier rounds have compared."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        release()
         both = _unique_pairs(frame["pairs"][frame["fresh"]].tolist())
         old = _unique_pairs(frame["pairs"][~frame["fresh"]].tolist())
         if len(old) and len(both):
@@ -366,7 +369,7 @@ def leaders_in(pairs: DataFrame) -> DataFrame:
                     [pa.array(np.full(k, bx)), pa.array(np.full(k, by)), pa.array(leaders)], names=["bx", "by", "leader"]
                 )
 
-    return pairs.mapInArrow(run, "bx long, by long, leader long")
+    return pairs.mapInArrow(released(run), "bx long, by long, leader long")
 
 
 def leaders_of(pairs: DataFrame) -> DataFrame:
@@ -382,6 +385,7 @@ def meet(pairs: DataFrame, units: DataFrame, compare, schema: str) -> DataFrame:
     sent = leaders_in(pairs).distinct().join(units, "leader")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        release()
         return compare(_unique_pairs(left["pairs"].tolist()), right)
 
     return pairs.groupBy("bx", "by").cogroup(sent.groupBy("bx", "by")).applyInPandas(run, schema)
@@ -484,7 +488,7 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
             [pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(packed, SLICES)], pa.binary())], names=["slice", "data"]
         )
 
-    packed = _sum_slices(ids.mapInArrow(run, "slice int, data binary"), "u1", np.bitwise_or)
+    packed = _sum_slices(ids.mapInArrow(released(run), "slice int, data binary"), "u1", np.bitwise_or)
     return packed if len(packed) else np.zeros(FILTER // 8, np.uint8)
 
 
@@ -542,6 +546,7 @@ def similar(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int
 
     def repeated(frame: pd.DataFrame) -> pd.DataFrame:
         """The lists of a shard that hold two groups or more."""
+        release()
         cols: list[list[np.ndarray]] = [[], [], [], []]
         for k, raw in zip(frame["k"], frame["payload"], strict=True):
             for c, (kind, at) in enumerate((("<u8", 0), ("<i8", 8 * k), ("<i4", 16 * k), ("<i4", 20 * k))):
@@ -554,7 +559,7 @@ def similar(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int
             "length": count[at][many],
         })
 
-    lists = leaders.select("leader", "n", "prefix").mapInArrow(listed, "shard long, k int, payload binary")
+    lists = leaders.select("leader", "n", "prefix").mapInArrow(released(listed), "shard long, k int, payload binary")
     lists = lists.groupBy("shard").applyInPandas(repeated, "shard long, token long, leader long, n int, pos int, length int")
     lists = scratch.keep(lists, "lists")
     candidates = lists.select("leader").unionByName(groups.where("units > 1").select("leader")).distinct()
@@ -597,7 +602,7 @@ def similar(spark: SparkSession, docs: DataFrame, scratch: Scratch, percent: int
                     names=["unit", "n", "f1", "shingles"],
                 )
 
-        found = texts.mapInArrow(sets, "unit long, n long, f1 long, shingles binary")
+        found = texts.mapInArrow(released(sets), "unit long, n long, f1 long, shingles binary")
         keyed = wanted.join(one_each, ["unit", "n"])
         return found.join(keyed, ["unit", "n", "f1"]).dropDuplicates(["unit", "n", "f1", "leader"]).select("leader", "unit", "n", "label", "shingles")
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Scratch, blocks, id_text, mix64, table
+from .common import NULL_ID, Scratch, blocks, id_text, mix64, release, released, table
 
 SPAN, GRAM = 100, 24
 #: Windows that are scanned at once.
@@ -602,10 +602,11 @@ def _removed(spark: SparkSession, docs: DataFrame, scratch: Scratch, texts: bool
                 names=["kind", "block", "shard", "n", "payload"],
             )
 
-    read_in = texts_of.mapInArrow(read, "kind string, block long, shard int, n int, payload binary")
+    read_in = texts_of.mapInArrow(released(read), "kind string, block long, shard int, n int, payload binary")
     text, ask = _by_kind(read_in, scratch, "blocks", ("text", "ask"))
 
     def first(frame: pd.DataFrame) -> pd.DataFrame:
+        release()
         return pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "answer": first_answers(frame), "runs": None})
 
     said = ask.groupBy("shard").applyInPandas(first, "block long, shard int, answer binary, runs binary")
@@ -652,11 +653,12 @@ def _removed(spark: SparkSession, docs: DataFrame, scratch: Scratch, texts: bool
                 )
 
     met = text.select("block", "payload").join(_answers(said), "block", "left").select("block", "payload", "answers")
-    met = met.mapInArrow(second, f"kind string, block long, shard int, n int, payload binary, {RESULT}")
+    met = met.mapInArrow(released(second), f"kind string, block long, shard int, n int, payload binary, {RESULT}")
     done, ask, carry = _by_kind(met, scratch, "resolved", ("done", "ask", "carry"))
     scratch.drop(text, said)
 
     def expanded(frame: pd.DataFrame) -> pd.DataFrame:
+        release()
         got = second_answers(frame)
         return pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "answer": [g[0] for g in got], "runs": [g[1] for g in got]})
 
@@ -684,7 +686,7 @@ def _removed(spark: SparkSession, docs: DataFrame, scratch: Scratch, texts: bool
                 yield pa.RecordBatch.from_arrays(_result_arrays(results(ids, data, offsets, gone, np.arange(len(ids)), texts)), names=_NAMES)
 
     late = carry.select("block", "payload").join(_answers(scratch.keep(said, "expanded")), "block", "left").select("block", "payload", "answers")
-    late = scratch.keep(late.mapInArrow(last, RESULT), "late")
+    late = scratch.keep(late.mapInArrow(released(last), RESULT), "late")
     scratch.drop(ask, carry)
     return done.select(*_NAMES).unionByName(late)
 
