@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -14,6 +14,7 @@ from ..plans import sql as front
 from ..schema import TableSpec
 from . import writes
 from .query import Query
+from .shapes import instances, shaped
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,18 @@ class SQL:
             return query.df.select(*[F.col(f"`{f.column}`") for f in sorted(spec.fields, key=lambda f: f.name)])
         return query.df.select(*[F.col(f"`{spec.lookup(n).column}`").alias(label) for n, label in node.columns])
 
+    def project_frame(self, into: type, text: str, *args: Any) -> DataFrame:
+        """The chosen columns as the fields of a dataclass, without running it."""
+        node, query, spec = self._select(text, args)
+        if node.count:
+            raise SQLBadProjection("COUNT(*) is counted, not projected")
+        chosen = [(label, spec.lookup(n)) for n, label in node.columns] if not node.star else [(f.name, f) for f in sorted(spec.fields, key=lambda f: f.name)]
+        return shaped(query.df, [(label, f.name, f.column) for label, f in chosen], into)
+
+    def project_into(self, into: type, text: str, *args: Any) -> Iterator[Any]:
+        """An object of the dataclass ``into`` for each row."""
+        return instances(self.project_frame(into, text, *args), into)
+
     def count(self, text: str, *args: Any) -> int:
         node, query, _ = self._select(text, args)
         if not node.count:

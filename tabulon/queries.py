@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -289,6 +290,24 @@ sql("p01_star", "SELECT * FROM nation WHERE n_regionkey = 1", "SELECT * FROM nat
 sql("p02_columns", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 30", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 30")
 sql("p03_alias", "SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_totalprice > 300000", "select `o_orderkey` as id, o_totalprice price from orders where o_totalprice > ?", 300000)
 sql("p04_star_project", "SELECT n_name, n_nationkey, n_regionkey FROM nation", "SELECT * FROM nation", table="nation")
+
+
+@dataclass
+class Account:
+    """A class of the caller's own: filled by label, name or stored column."""
+
+    number: int
+    balance: int
+    owner: str = field(default="", metadata={"json": "c_name"})
+    note: str = ""
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS number, CAST(trunc(c_acctbal) AS BIGINT) AS balance, c_name AS owner FROM customer WHERE c_acctbal < 0")
+def p08_class_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = SQL({"customer": load(spark, sf_dir, "customer")})
+    return found.project_frame(Account, "SELECT c_custkey AS Number, c_name, c_acctbal balance, c_mktsegment FROM customer WHERE c_acctbal < 0")
+
+
 sql("p05_qualified", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 3", "SELECT t.o_orderkey, t.o_custkey FROM orders AS t WHERE t.o_custkey = 3")
 sql("p06_case_insensitive", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P'", "SELECT o_orderkey FROM orders WHERE O_ORDERSTATUS = \"P\"")
 sql("sql_not_in", f"{_OC} WHERE o_orderstatus NOT IN ('F', 'O') AND NOT (o_totalprice < 200000)", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus NOT IN (?, ?) AND NOT (o_totalprice < 200000)", "F", "O")

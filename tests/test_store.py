@@ -1,5 +1,8 @@
 """Builder, finders, SQL, writes, transactions, namespaces, key/value, change log."""
 
+from dataclasses import dataclass, field
+from typing import Any
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +12,7 @@ from tabulon.operators.query import select
 from tabulon.operators.sql import SQL
 from tabulon.plans import predicates as q
 from tabulon.schema import FieldSpec, TableSpec
-from tabulon.sources.codecs import Aes, Json
+from tabulon.sources.codecs import Aes, Json, Protobuf
 from tabulon.sources.store import Database
 from tabulon.operators.finders import Finder
 from tabulon.sources.files import Files
@@ -225,7 +228,49 @@ def test_namespaces_and_catalog(db):
         db.node().drop("logs")
 
 
-@pytest.mark.parametrize("codec", [Json(), Aes(Json(), b"k" * 16)])
+def test_class_output(spark):
+    @dataclass
+    class Person:
+        who: str
+        years: int
+        Bio: str | None = "?"
+        Team: str = field(default="none", metadata={"json": "group"})
+        anything: Any = None
+        ratio: float = 0.5
+
+    df = spark.createDataFrame([(1, "Alice", 31.9, None, b"x"), (2, None, -0.5, "text", None)], "id long, name string, age double, bio string, raw binary")
+    sql = SQL({"users": (df, TableSpec.of("users", df, "id"))})
+    got = list(sql.project_into(Person, "SELECT name AS WHO, age AS years, bio, id FROM users ORDER BY id"))
+    assert got == [Person("Alice", 31, None), Person("", 0, "text")]
+    frame = sql.project_frame(Person, "SELECT name who, age years, raw AS anything FROM users WHERE id = 1")
+    assert frame.columns == ["who", "years", "anything"] and bytes(frame.first()["anything"]) == b"x"
+    # what no column fills has its default, or a zero value
+    assert list(sql.project_into(Person, "SELECT bio FROM users WHERE id = 2")) == [Person("", 0, "text")]
+    assert list(sql.project_into(Person, "SELECT bio AS `group`, age years, id AS years FROM users WHERE id = 2")) == [Person("", 2, "?", "text")]
+    assert list(sql.project_into(Person, "SELECT * FROM users WHERE id = 9")) == []
+    for cls, text in ((Person, "SELECT age AS who FROM users"), (Person, "SELECT name AS years FROM users")):
+        with pytest.raises(e.IncompatibleValue):
+            sql.project_frame(cls, text)
+    with pytest.raises(e.BadType):
+        sql.project_frame(dict, "SELECT name FROM users")
+    with pytest.raises(e.SQLBadProjection):
+        sql.project_frame(Person, "SELECT COUNT(*) FROM users")
+    big = spark.createDataFrame([(1, 1e300)], "id long, age double")
+    with pytest.raises(Exception, match="overflows field years"):
+        list(SQL({"users": (big, TableSpec.of("users", big, "id"))}).project_into(Person, "SELECT age AS years FROM users"))
+
+
+def test_protobuf_without_a_message(spark):
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType()), T.StructField("c", T.ArrayType(T.DoubleType()))])
+    df = spark.createDataFrame([(1, "x", [0.5]), (None, None, None), (3, "ü", [])], schema)
+    codec = Protobuf()
+    coded = df.select("a", codec.encode(F.struct("*")).alias("value"))
+    assert dict(coded.dtypes)["value"] == "binary"
+    back = coded.select(codec.decode(F.col("value"), schema).alias("r")).select("r.*")
+    assert sorted(back.collect(), key=str) == sorted(df.collect(), key=str)
+
+
+@pytest.mark.parametrize("codec", [Json(), Protobuf(), Aes(Json(), b"k" * 16)])
 def test_key_value(db, codec):
     kv = db.node().bucket("settings", codec)
     kv.set("a", {"x": 1, "y": "z"}, "struct<x:int,y:string>")
